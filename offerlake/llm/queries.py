@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, mixing, topk
+from . import chat, ctw, decontam, langid, mixing, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chat.to_turns(rows.unionByName(more))))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -36,4 +44,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op6_mixing, op8_decontamination, op9_lm_scoring, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op4_language_id, op6_mixing, op8_decontamination, op9_lm_scoring, op10_exact_top_k)}
