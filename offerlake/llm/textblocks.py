@@ -119,9 +119,9 @@ def shingles(words: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.
         for j in range(k):
             has = n_words > j
             if has.all():
-                out = mix(out + words[where + j]) if j else words[where].copy()
+                out = mix(out + words[where + j]) if j else mix(words[where])
             else:
-                out[has] = mix(out[has] + words[where[has] + j]) if j else words[where[has]]
+                out[has] = mix(out[has] + words[where[has] + j]) if j else mix(words[where[has]])
         out += n_words.astype(U64) * U64(0xD6E8FEB86659FD93)
     return mix(out), to
 
