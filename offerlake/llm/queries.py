@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compact_windows, ctw, decontam, langid, mixing, setsketch, topk, toxicity
+from . import chat, compact_windows, ctw, decontam, html_diff, langid, mixing, setsketch, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_read(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op4_language_id, op5_substring_dedup, op6_mixing, op7_minhash_near_dedup, op8_decontamination, op9_lm_scoring, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_mixing, op7_minhash_near_dedup, op8_decontamination, op9_lm_scoring, op10_exact_top_k)}
