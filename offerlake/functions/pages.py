@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, collapsed, group, null_if_empty
+from .text import WS, collapsed, group, let, null_if_empty
 from .urls import path, query_string
 
 _THOUSANDS = r"\d{1,3}(?:[  ,]\d{3})+|\d+(?:[.,]\d+)?"
@@ -39,7 +39,8 @@ def price_amount(c: Column) -> Column:
 
 
 def _priced(amount: Column, currency: Column, raw: Column) -> Column:
-    return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), currency_code(currency).alias("currency"), raw.alias("raw")))
+    found = F.struct(amount.alias("amount"), let(currency, currency_code).alias("currency"), raw.alias("raw"))
+    return let(found, lambda f: F.when(f["amount"].isNotNull(), f))
 
 
 def list_price(text: Column) -> Column:

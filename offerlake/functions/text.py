@@ -15,6 +15,11 @@ WS = r"\s   -     　﻿"
 B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def let(c: Column, body) -> Column:
+    """body(c), with c evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -47,9 +52,11 @@ def slug(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """A double as ECMAScript prints it: no trailing .0, no exponent up to 1e21."""
-    whole = c == F.floor(c)
-    small = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(whole & (F.abs(c) < 9e18), c.cast("long").cast("string")).otherwise(small)
+    def written(n: Column) -> Column:
+        small = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.when((n == F.floor(n)) & (F.abs(n) < 9e18), n.cast("long").cast("string")).otherwise(small)
+
+    return let(c, written)
 
 
 def number_prefix(c: Column) -> Column:
