@@ -128,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = POSI
         return fit_nnpu([], [], (n_pos + 0.5) / (n_known + 1))
     unit = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     shares = {1: min(1.0, positives / n_pos), 0: min(1.0, unlabelled / (n_all - n_pos))}
-    rows = docs.where(train).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("p", F.coalesce((F.col("_toxic") == 1).cast("int"), F.lit(0)))
-    rows = rows.where(unit < F.when(F.col("p") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))).select("doc_id", "p", "text")
+    picked = known.withColumn("p", F.coalesce((F.col("_toxic") == 1).cast("int"), F.lit(0)))
+    picked = picked.where(unit < F.when(F.col("p") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))).select(F.col("doc_id").alias("_id"), "p").distinct()
+    # The sample is bounded by its parameters, so its ids go to the texts, not the texts to them.
+    rows = docs.where(train).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "p", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
