@@ -36,10 +36,10 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows of df whose id is in ids, a table of distinct ids in one column of that name.
+def keep_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The rows of df whose id is in ids, a table of distinct ids in one column of that name; with how = left_anti the others.
 
     Up to BROADCAST_IDS ids are broadcast, so that df isn't shuffled; more are joined by shuffle.
     """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, column, how)
