@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = POSI
     n = known.agg(F.count(F.when(F.col("_toxic") == 1, 1)), F.count("_toxic"), F.count(F.lit(1))).first()
     n_pos, n_known, n_all = (int(x or 0) for x in n)
     if not n_pos or n_pos == n_all:
-        return fit_nnpu([], [], (n_pos + 0.5) / (n_known + 1))
+        return fit_nnpu([], [], n_pos / (n_known + 1))
     unit = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     shares = {1: min(1.0, positives / n_pos), 0: min(1.0, unlabelled / (n_all - n_pos))}
     picked = known.withColumn("p", F.coalesce((F.col("_toxic") == 1).cast("int"), F.lit(0)))
