@@ -61,7 +61,7 @@ BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDE
 #: Relevance for SEARCH: tokens tict, small, ring, ic-61e; model tokens ic-61e and 61e, which stand in a title together.
 RELEVANT = f"""
 SELECT *, greatest(0, least(1, (CASE WHEN brand = 'tict' THEN 30 WHEN brand IS NOT NULL THEN -18 ELSE 0 END
-    + ((brand = 'tict' AND brand IS NOT NULL)::INT + (split_part(p_name, ' ', 1) = 'small')::INT + (split_part(p_name, ' ', 2) = 'ring')::INT + (code = '61e')::INT + 0) / 4.0 * 35
+    + ((brand = 'tict' AND brand IS NOT NULL)::INT + (split_part(p_name, ' ', 1) = 'small' OR p_type = 'SMALL')::INT + (split_part(p_name, ' ', 2) = 'ring')::INT + (code = '61e')::INT) / 4.0 * 35
     + CASE WHEN code = '61e' THEN 25 + 24 ELSE -55 END
     + CASE WHEN contains(lower(title), 'tict small ring ic-61e') THEN 12 ELSE 0 END + 4 + CASE WHEN condition = 'used' THEN 2 ELSE 0 END) / 100)) AS relevance
 FROM ({BEST})
