@@ -23,8 +23,8 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value")
     except AnalysisException:
         return empty
-    lines = raw.where("value <> ''").withColumn("r", F.from_json("value", schema)).withColumn("_ok", F.is_variant_null(F.try_parse_json("value")) == F.lit(False))
-    if lines.where("_ok is null or not _ok").limit(1).count():
+    lines = raw.where("value <> ''").withColumn("r", F.from_json("value", schema))
+    if lines.where(F.try_parse_json("value").isNull()).limit(1).count():
         return empty
     return lines.select("file", "seq", "r")
 
