@@ -8,7 +8,7 @@ A linear classifier over hashed words is trained in numpy from confirmed toxic t
 the last bracket being the negative risk corrected for the positives among the unlabelled; where it turns negative, the
 step goes the other way (Kiryo et al., 2017). The prior is the share of confirmed toxic rows among labelled training rows.
 
-A text's features are its distinct words, hashed to 2**22 slots, out of those that are clearly more frequent in positive
+A text's features are its distinct words, hashed to 2**20 slots, out of those that are clearly more frequent in positive
 texts; all others weigh nothing, so that the length of a text doesn't drown its few telling words. Scoring reads whole texts and needs no shuffle.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .textblocks import ALPHANUMERIC, blocks, distinct_within, word_hashes
 
-SLOT_BITS = 22
+SLOT_BITS = 20
 #: Texts that the classifier is fitted on, at most about: a bounded sample by hash of doc_id.
 POSITIVES, UNLABELLED = 6_000, 24_000
 
@@ -57,7 +57,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling_slots(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: float = 8.0, least_texts: int = 5) -> np.ndarray:
+def telling_slots(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: float = 10.0, least_texts: int = 5) -> np.ndarray:
     """Slots whose share of positive texts lies above their share of unlabelled ones by least_z standard errors."""
     size = 1 << SLOT_BITS
     n_p, n_u = len(positive), len(unlabelled)
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: LinearModel) -> DataFrame:
 
     Rows stay one for one, with all columns as they were (a column _score is replaced).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 16 MiB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 4 MiB
     docs = docs.drop("_score")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
