@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Every shard (a run of whole documents of about 1 MB) gets a sparse suffix array over its words: the suffixes whose first
+Every shard (a run of whole documents of about half a MB) gets a sparse suffix array over its words: the suffixes whose first
 words begin some test window, sorted by their first words. Every test suffix, as far as a window reaches, is binary-searched
 there, which gives all verbatim occurrences; runs of them along one item are the longest matches. Suffixes that can't begin
 a match are left out of the sort: it doesn't change what is found.
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import text_batches
 from .textblocks import ALPHANUMERIC, blocks, mix, word_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast at once.
 BENCHMARK_BLOCK_BYTES = 8 << 20
-_SHARD_BYTES = 1 << 20
+_SHARD_BYTES = 1 << 19
 _TABLE_BITS = 20
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
 
@@ -185,6 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     columns of docs with the three names are replaced. An empty benchmark: no hits.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BENCHMARK_BLOCK_BYTES))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import text_batches
 from .textblocks import blocks
 from .toxicity import held_out
 
@@ -126,6 +127,7 @@ def fit(docs: DataFrame, train: Column, texts: int = TEXTS_PER_LANGUAGE) -> Byte
 
     A language of more rows than texts is sampled by a hash of the text, and each text gives WINDOWS_PER_TEXT windows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect())
     if not counts:

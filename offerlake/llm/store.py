@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 4_000_000
 
 
+#: Rows of one Arrow batch. Rows hold whole texts, so that Spark's default of 10 000 would make batches of tens of MB.
+BATCH_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of this session hold at most BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests on one machine)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return a DataFrame that reads it."""
+    text_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import text_batches
 from .textblocks import ALPHANUMERIC, blocks, distinct_within, word_hashes
 
 SLOT_BITS = 20
@@ -120,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, positives: int = POSI
     a hash of doc_id. The class prior is taken from all labelled training rows. Null labels count as none; of repeated labels
     for one doc_id the highest counts.
     """
+    text_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     known = docs.where(train).select("doc_id").join(marks, F.col("doc_id") == F.col("_id"), "left")
     n = known.agg(F.count(F.when(F.col("_toxic") == 1, 1)), F.count("_toxic"), F.count(F.lit(1))).first()
