@@ -244,7 +244,7 @@ f AS (SELECT m.month, p, lo, hi, n FROM (SELECT DISTINCT month FROM g) m LEFT JO
 
 def history_flatten_csv(spark, sf_dir):
     rows = history.flatten_history(_records(spark, sf_dir).drop("seq"))
-    return rows.select("timestamp", F.coalesce("groupKey", F.lit("-")).alias("group_key"), F.col("minPrice").alias("min_price"), F.col("offerCount").alias("offer_count"), F.coalesce("sources", F.lit("-")).alias("sources"), "alerts", F.col("alertCount").alias("alert_count"), history.csv_cell(F.col("groupLabel")).alias("label_cell"))
+    return rows.select("timestamp", F.coalesce("groupKey", F.lit("-")).alias("group_key"), F.col("minPrice").alias("min_price"), F.coalesce("offerCount", F.lit(0)).cast("long").alias("offer_count"), F.coalesce("sources", F.lit("-")).alias("sources"), "alerts", F.col("alertCount").alias("alert_count"), history.csv_cell(F.col("groupLabel")).alias("label_cell"))
 
 
 def cheapest_group_per_record(spark, sf_dir):
@@ -367,7 +367,7 @@ z AS (SELECT seq, rank, (CASE WHEN provider LIKE 'ukrainian-market-search:%' THE
 SELECT seq, fetch_score, rank FROM z ORDER BY fetch_score DESC, rank, seq LIMIT 30""",
     "relevance_grade": f"SELECT CASE WHEN relevance >= 0.82 THEN 'exact' WHEN relevance >= 0.58 THEN 'close' WHEN relevance >= 0.34 THEN 'broad' ELSE 'weak' END AS grade, CASE WHEN code = '61e' THEN 'exact' ELSE 'conflict' END AS model_match, count(*) AS n, round(sum(relevance), 4)::DOUBLE AS relevance FROM ({RELEVANT}) GROUP BY 1, 2",
     "offer_dedupe_best": f"SELECT first_seq AS seq, canonical, price, confidence FROM ({BEST})",
-    "price_condition_filter": f"""SELECT seq, price, condition, round(greatest(0, least(1, ((split_part(p_name, ' ', 2) = 'ring')::INT / 2.0 * 35 + 17.5 + 25 + 24 + 4 + 2) / 100)), 6)::DOUBLE AS relevance
+    "price_condition_filter": f"""SELECT seq, price, condition, round(greatest(0, least(1, ((split_part(p_name, ' ', 2) = 'ring')::INT / 2.0 * 35 + 17.5 + 12.5 + 18 + 4 + 2) / 100)), 6)::DOUBLE AS relevance
 FROM ({OFFERS}) WHERE code = '61e' AND price BETWEEN 20000 AND 60000 AND condition = 'used' AND contains(source, 'shop1')""",
     "ranked_offers_topk": f"""SELECT first_seq AS seq, title, price, round(relevance, 6)::DOUBLE AS relevance, CASE WHEN relevance >= 0.82 THEN 'exact' WHEN relevance >= 0.58 THEN 'close' WHEN relevance >= 0.34 THEN 'broad' ELSE 'weak' END AS grade,
 CASE WHEN brand = 'tict' THEN 'brand tict; ' ELSE '' END || 'model tokens: ic-61e, 61e; matched: ' || array_to_string(list_filter([CASE WHEN brand = 'tict' THEN 'tict' END, CASE WHEN split_part(p_name, ' ', 1) = 'small' THEN 'small' END, CASE WHEN split_part(p_name, ' ', 2) = 'ring' THEN 'ring' END, 'ic-61e'], lambda x: x IS NOT NULL), ', ') AS reason
@@ -383,7 +383,7 @@ SELECT 'new_group' AS kind, key, '-' AS url, NULL::DOUBLE AS previous, p AS curr
 UNION ALL SELECT 'price_drop', now.key, '-', was.p, now.p, 'Price dropped for ' || upper(now.key) || ': ' || w.t || ' -> ' || n.t FROM now JOIN was USING (key) JOIN n USING (key) JOIN w USING (key) WHERE now.p < was.p
 UNION ALL SELECT 'new_offer', o.key, o.url, NULL, o.price, 'New offer for ' || upper(o.key) || ': ' || o.title FROM o WHERE month = '1997-04' AND key IN (SELECT key FROM was) AND NOT EXISTS (SELECT 1 FROM o x WHERE x.month = '1997-03' AND x.key = o.key AND x.url = o.url)""",
     "snapshot_first_run": f"{_DIFF} SELECT 'new_group' AS kind, count(*) AS n, count(*) AS initial FROM was",
-    "history_flatten_csv": f"""{_RECORDS} SELECT month AS timestamp, coalesce('k' || p, '-') AS group_key, lo AS min_price, n AS offer_count, CASE WHEN p IS NULL THEN '-' ELSE 'a; b' END AS sources, 'new_group: m' AS alerts, 1::INT AS alert_count, CASE WHEN p IS NULL THEN '' ELSE '"label ""' || p || '"", x"' END AS label_cell FROM f""",
+    "history_flatten_csv": f"""{_RECORDS} SELECT month AS timestamp, coalesce('k' || p, '-') AS group_key, lo AS min_price, coalesce(n, 0)::BIGINT AS offer_count, CASE WHEN p IS NULL THEN '-' ELSE 'a; b' END AS sources, 'new_group: m' AS alerts, 1::INT AS alert_count, CASE WHEN p IS NULL THEN '' ELSE '"label ""' || p || '"", x"' END AS label_cell FROM f""",
     "cheapest_group_per_record": f"{_RECORDS} SELECT month AS timestamp, min_by('k' || p, lo) AS key, min(lo) AS min_price FROM f GROUP BY month",
     "history_last_n": f"{_RECORDS} SELECT month AS timestamp, count(p)::INT AS n_groups FROM f GROUP BY month ORDER BY month DESC LIMIT 7",
     "page_predicates": """SELECT page_id, contains(lower(regexp_extract(url, '[?]([^#]*)', 1)), 'q=') OR contains(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'search') AS search, page_id % 13 = 0 AND page_id % 11 <> 0 AS missing, page_id % 11 = 0 AND page_id % 2 = 0 AS blocked FROM pages""",
