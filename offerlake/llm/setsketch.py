@@ -6,7 +6,8 @@
    values over its elements. Registers of a union are the maxima of registers, and two sets agree on a register about as
    often as their Jaccard similarity.
 3. Runs of ROWS registers make band keys. In TURNS turns, the members of a bucket are paired with its leaders, unless links
-   found so far join them already (see _pairs): the pairs grow with the members, not with their square.
+   found so far join them already (see _pairs). After that, all pairs of a bucket that are still in different components are
+   tried (see _leftover), so that no partner is missed for want of a leader.
 4. The joint likelihood of two sketches estimates the similarity; pairs far below the bound are dropped.
 5. The rest is verified on full sets, and connected components give the classes.
 """
@@ -150,8 +151,8 @@ def band_keys(sketches: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sizes allow the similarity and whose estimate isn't five standard errors below it."""
-    floor = similarity - 5 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
+    """The pairs (u, v) whose sizes allow the similarity and whose estimate isn't six standard errors below it."""
+    floor = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
     wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "setsketch-ids")
     few = keep_ids(sketches, wanted)
     one = few.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("registers").alias("r_u"))
@@ -221,6 +222,23 @@ def _pairs(buckets: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
     return pairs.select(F.least("doc_id", "leader.doc_id").alias("u"), F.greatest("doc_id", "leader.doc_id").alias("v")).distinct()
 
 
+def _leftover(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v), u < v, within buckets that are in different components so far and whose sizes (doc_id, n) allow a link.
+
+    Members outside the component that holds most of a bucket meet all members of other components, so that the work is
+    the odd members times the members, not the square of a bucket that one component nearly fills.
+    """
+    mixed = durable(_mixed(buckets, parts).select("band", "doc_id", "part").join(sizes, "doc_id"), "setsketch-mixed")
+    filled = mixed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("part", F.struct("held", "part")).alias("main"))
+    # Written before the join, so that AQE can split a bucket that many members share.
+    tagged = durable(mixed.join(filled, "band"), "setsketch-mixed")
+    odd = durable(tagged.where("part <> main").select("band", F.col("doc_id").alias("odd"), F.col("part").alias("odd_part"), F.col("n").alias("odd_n")), "setsketch-odd")
+    apart = (F.col("part") != F.col("odd_part")) & ((F.col("part") == F.col("main")) | (F.col("odd") < F.col("doc_id")))
+    alike = 100 * F.least("n", "odd_n") >= percent * F.greatest("n", "odd_n")
+    pairs = odd.join(tagged, "band").where(apart & alike)
+    return pairs.select(F.least("doc_id", "odd").alias("u"), F.greatest("doc_id", "odd").alias("v")).distinct()
+
+
 def near_duplicate_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links, parts): classes (doc_id, n_shingles, rep) for each row of docs; verified links (u, v) between class
     representatives; parts (id, component) of the representatives that have links."""
@@ -239,8 +257,8 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tupl
     buckets = durable(shared.drop("members").join(weights, "doc_id"), "setsketch-buckets")
     discard(bands, shared)
     links, tried, parts = None, None, None
-    for turn in range(TURNS):
-        pairs = _pairs(buckets, parts, turn)
+    for turn in range(TURNS + 1):
+        pairs = _pairs(buckets, parts, turn) if turn < TURNS else _leftover(buckets, parts, sketches.select("doc_id", "n"), percent)
         pairs = durable(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "setsketch-pairs")
         likely = durable(_likely(pairs, sketches, percent / 100), "setsketch-likely")
         found = durable(_verified(likely, texts, k, percent), "setsketch-links")

@@ -447,6 +447,23 @@ def test_near_duplicates(spark, k):
     assert setsketch.near_duplicates(d.limit(0), k).count() == 0
 
 
+def test_partners_that_never_lead(spark, monkeypatch):
+    """Variants of one text, too far apart to link but for pairs: one turn of leaders is not enough."""
+    monkeypatch.setattr(setsketch, "TURNS", 1)
+    rng, rows, n = random.Random(31), [], 300
+    for g in range(60):
+        variant = [f"b{i}" for i in range(n)]
+        for p in rng.sample(range(n), 8):
+            variant[p] = f"g{g}x{p}"
+        for copy in range(2):
+            words = list(variant)
+            for p in rng.sample(range(n), 15):
+                words[p] = f"d{g}x{copy}x{p}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs(spark, rows), k=1).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 # Passages
 
 
