@@ -71,9 +71,14 @@ def plan_query(spark: SparkSession, query: str) -> DataFrame:
     return plan_queries(spark.createDataFrame([(query,)], "query string"))
 
 
+#: Providers up to this many are broadcast; more are joined without a hint.
+BROADCAST_PROVIDERS = 1000
+
+
 def fan_out(plans: DataFrame, providers: DataFrame) -> DataFrame:
     """(original, query, variant_place, provider): each variant with each provider; providers is the short table of those configured."""
-    return plans.select("original", F.posexplode("variants").alias("variant_place", "query")).join(F.broadcast(providers.limit(1000)), F.lit(True))
+    few = providers.limit(BROADCAST_PROVIDERS + 1).count() <= BROADCAST_PROVIDERS
+    return plans.select("original", F.posexplode("variants").alias("variant_place", "query")).join(F.broadcast(providers) if few else providers, F.lit(True))
 
 
 def wants_deep_search(query: Column) -> Column:

@@ -287,7 +287,7 @@ def query_variants(spark, sf_dir):
 
 
 def direct_catalog(spark, sf_dir):
-    q = titled_parts(spark, sf_dir).where("p_partkey < 8").select(F.col("title").alias("query"))
+    q = titled_parts(spark, sf_dir).select(F.col("title").alias("query"))
     return providers.direct_candidates(q).select("query", "url", "sourceProvider", F.col("rank").cast("long").alias("rank"))
 
 

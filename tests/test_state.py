@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from offerlake import queries
 from offerlake.operators import diff, discovery
+from offerlake.plans import query_plan
 from offerlake.sources import history, providers
 from offerlake.sources.market_search import MarketSearchSource
 
@@ -79,6 +81,19 @@ def test_direct_catalog(spark):
     assert value_of(spark, providers.encoded(F.lit("a b!~'()*+"))) == "a%20b!~'()*%2B"
 
 
+def test_direct_catalog_takes_every_part(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    titles = queries.titled_parts(spark, sf_dir).select("title").distinct().count()
+    assert queries.direct_catalog(spark, sf_dir).select("query").distinct().count() == titles
+
+
+def test_fan_out_takes_every_provider(spark):
+    plans = query_plan.plan_query(spark, "tict ice cube ic-69p")
+    named = spark.range(1003).select(F.concat(F.lit("p"), "id").alias("provider"))
+    assert query_plan.fan_out(plans, named).count() == 15 * 1003
+    assert query_plan.fan_out(plans, named.limit(2)).count() == 15 * 2
+
+
 def value_of(spark, c):
     return spark.range(1).select(c.alias("x")).first()["x"]
 
