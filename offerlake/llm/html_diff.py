@@ -2,8 +2,8 @@
 
 1. A page is read into visible text lines (blocks), each of which knows whether it is inside article or main, and whether it is
    inside an element that is never main text (menus, forms, adverts and the like, by element, role, class or id).
-2. Pages of one host are dealt into bounded groups and sorted by URL path there; each page is paired with its neighbour of the longest
-   common path prefix. The two pages' lines are aligned by their longest common subsequence, and shared lines are deleted.
+2. All pages are sorted by host and URL path, over as many tasks as the data needs; each page is paired with its neighbour in the
+   host of the longest common path prefix, also across the bounds of tasks. The two pages' lines are aligned by their longest common subsequence, and shared lines are deleted.
 3. Lines inside article or main are kept although shared: pages of one host do repeat paragraphs, which are main text all the
    same. If a page has such an element, only its lines are the main text. Where all is shared the partner is a copy, and
    nothing is deleted.
@@ -15,15 +15,15 @@ import html
 import os
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of one group; hosts with more are dealt into several.
-GROUP = 512
-BROADCAST_HOSTS = 100_000
+from .store import durable
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -160,36 +160,86 @@ def main_text(lines: list[Line], partner: list[Line] | None) -> str:
     return "\n".join(lines[i].text for i in (kept or wanted))
 
 
-def _partners(paths: list[str]) -> list[int | None]:
-    """For each of the sorted paths, the neighbour with the longer common prefix; the one before, if equally long."""
-    near = [len(os.path.commonprefix([a, b])) for a, b in zip(paths, paths[1:], strict=False)]
-    out: list[int | None] = []
-    for i in range(len(paths)):
-        before, after = near[i - 1] if i else -1, near[i] if i < len(near) else -1
-        out.append(None if before < 0 and after < 0 else i - 1 if before >= after else i + 1)
-    return out
+class _Page(NamedTuple):
+    page_id: int | None
+    url: str | None
+    host: str
+    path: str
+    html: str | None
+    lines: list[Line]
+
+
+def _differenced(page: _Page, before: _Page | None, after: _Page | None) -> str:
+    """The main text of a page, given its neighbours in order: that of the longer common path prefix is its partner, the one before if equally long."""
+    near = [len(os.path.commonprefix([page.path, x.path])) if x and x.host == page.host else -1 for x in (before, after)]
+    partner = None if max(near) < 0 else before if near[0] >= near[1] else after
+    return main_text(page.lines, partner.lines if partner else None)
+
+
+_OUT = "page_id long, url string, text string, n_chars long"
+_EDGE = "pid int, side int, host string, path string, html string, near_host string, near_path string, near_html string"
+FIRST, LAST = 1, 2
+
+
+def _sorted_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of one range of sorted pages. Its first and last page (side) come without a text, but with what they need to get one:
+    their html and the neighbour that they have in the range."""
+    pid = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in f"{_OUT}, {_EDGE}".split(", ")]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()] + [pa.string()] * 6
+
+    def row(before: _Page | None, page: _Page, after: _Page | None) -> tuple:
+        if before and after:
+            text = _differenced(page, before, after)
+            return (page.page_id, page.url, text, len(text), pid, 0) + (None,) * 6
+        side, near = (0 if before else FIRST) | (0 if after else LAST), before or after
+        return (page.page_id, page.url, None, None, pid, side, page.host, page.path, page.html, *((near.host, near.path, near.html) if near else (None,) * 3))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    before = page = None
+    for batch in batches:
+        rows = []
+        for i, u, h, p, x in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "_host", "_path", "html")), strict=True):
+            after = _Page(i, u, h, p, x, lines_of(x))
+            if page:
+                rows.append(row(before, page, after))
+            before, page = page, after
+        if rows:
+            yield batch_of(rows)
+    if page:
+        yield batch_of([row(before, page, None)])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the first and last pages of ranges, given their neighbours in the ranges beside."""
+    for batch in batches:
+        texts = []
+        for r in batch.to_pylist():
+            other = lambda x, r=r: _Page(None, None, r[f"{x}_host"], r[f"{x}_path"], None, lines_of(r[f"{x}_html"])) if r[f"{x}_host"] is not None else None
+            before, after = other("b" if r["side"] & FIRST else "near"), other("a" if r["side"] & LAST else "near")
+            texts.append(_differenced(_Page(None, None, r["host"], r["path"], None, lines_of(r["html"])), before, after))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
     Null and empty html give an empty text. Pages without a host (null or odd URLs) form a host of their own; a page that is alone
-    in its group has no partner. Repeated rows are pages each. Other columns are left aside.
+    in its host has no partner. Repeated rows are pages each. Other columns are left aside.
     """
-    located = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("_host"))
-    busy = located.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select(F.col("_host").alias("_busy"), F.ceil(F.col("_n") / GROUP).alias("_groups"))
-    busy = F.broadcast(busy) if busy.count() <= BROADCAST_HOSTS else busy
-    dealt = located.join(busy, F.col("_host") == F.col("_busy"), "left").withColumn("_group", F.pmod(F.xxhash64("url", "page_id"), F.coalesce("_groups", F.lit(1))))
-
-    def group(table: pa.Table) -> pa.Table:
-        urls = table.column("url").to_pylist()
-        ids = table.column("page_id").to_pylist()
-        bodies = table.column("html").to_pylist()
-        paths = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*", "", u or "") for u in urls]
-        order = sorted(range(len(ids)), key=lambda i: (paths[i], urls[i] or "", ids[i] is None, ids[i] or 0))
-        partners = _partners([paths[i] for i in order])
-        lines = [lines_of(bodies[i]) for i in order]
-        texts = [main_text(lines[k], lines[p] if p is not None else None) for k, p in enumerate(partners)]
-        return pa.table({"page_id": pa.array([ids[i] for i in order], pa.int64()), "url": pa.array([urls[i] for i in order], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    return dealt.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_host", "_group").groupBy("_host", "_group").applyInArrow(group, "page_id long, url string, text string, n_chars long")
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    path = F.coalesce(F.regexp_replace("url", r"(?d)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*", ""), F.lit(""))
+    located = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("_host"), path.alias("_path"))
+    order = [F.asc("_host"), F.asc("_path"), F.asc_nulls_first("url"), F.asc_nulls_last("page_id"), F.xxhash64("html").asc()]
+    ranges = located.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = durable(ranges.mapInArrow(_sorted_pages, f"{_OUT}, {_EDGE}"), "pages-sorted")
+    names = ["page_id", "url", "text", "n_chars"]
+    edges = out.where("side > 0")
+    # One number for each task of the sort.
+    held = sorted(r["pid"] for r in edges.select("pid").distinct().collect())
+    beside = pages.sparkSession.createDataFrame(list(zip(held, [-1, *held], [*held[1:], -1], strict=False)), "pid int, prior int, following int")
+    side = lambda bit, name, key: edges.where(F.col("side").bitwiseAND(bit) != 0).select(F.col("pid").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "html")])
+    met = edges.join(F.broadcast(beside), "pid").join(side(LAST, "b", "prior"), "prior", "left").join(side(FIRST, "a", "following"), "following", "left")
+    return out.where("side = 0").select(*names).unionByName(met.mapInArrow(_settled, _OUT))

@@ -547,3 +547,19 @@ def test_page_differencing(spark):
     assert got[4] == got[5] == ("", 0)
     assert got[6] == got[7] == ("Site\nz\nSame line", 16)
     assert html_diff.extract_main_text(d.limit(0)).count() == 0
+
+
+def test_neighbours_in_a_large_host(spark):
+    """Pages of one section share a line with each other only; the nearest URL is found whatever the host's size and the ranges."""
+    page = lambda i: f"<div>Section {i // 2}</div><p>own {i}</p>"
+    rows = [(i, f"http://a.example/s{i // 2:04d}/{i}", page(i)) for i in range(1400)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r["page_id"]: r["text"] for r in html_diff.extract_main_text(d).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == {i: f"own {i}" for i, _, _ in rows}
