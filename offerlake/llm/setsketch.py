@@ -5,9 +5,10 @@
 2. A set's SetSketch has REGISTERS registers, each the truncated logarithm (base BASE) of the least of exponentially spaced
    values over its elements. Registers of a union are the maxima of registers, and two sets agree on a register about as
    often as their Jaccard similarity.
-3. Runs of ROWS registers make band keys. In TURNS turns, the members of a bucket are paired with its leaders, unless links
-   found so far join them already (see _pairs). After that, all pairs of a bucket that are still in different components are
-   tried (see _leftover), so that no partner is missed for want of a leader.
+3. Runs of ROWS registers make band keys. The members of a bucket are paired with its leader, whose links settle most buckets
+   (see _pairs). What is left are buckets that hold several components: their members are dealt into tiles of bounded bytes, and
+   pairs of tiles that share a bucket are compared member by member inside a task (see _remainder), so that no pair of a bucket
+   stays untried, and no more rows come out than links that join something.
 4. The joint likelihood of two sketches estimates the similarity; pairs far below the bound are dropped.
 5. The rest is verified on full sets, and connected components give the classes.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,12 @@ from .textblocks import blocks, distinct_within, mix, shingles, word_hashes
 
 REGISTERS, ROWS = 300, 6
 BASE = 1.001
-#: Turns of pairing, and leaders of a bucket after the first turn.
-TURNS, LEADERS = 3, 10
+#: Turns of pairing with leaders, before the remainder is compared in full.
+TURNS = 1
+#: Bytes of sketches and sets of one tile, about (one set may be larger); a task of the remainder holds two tiles.
+TILE_BYTES = 8 << 20
+#: Standard errors of an estimate below the similarity at which a pair is dropped unverified.
+ERRORS = 6
 _TOP = (1 << 16) - 2
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -89,23 +94,33 @@ def joint_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
     The likelihood of the counts of registers that are larger, smaller and equal is maximised over the feasible similarities by
     bisection of its derivative (it is concave there).
     """
+    lo, hi = np.zeros(len(a)), np.minimum(n_a / n_b, n_b / n_a)
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        up = _slope(a, b, n_a, n_b, mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return (lo + hi) / 2
+
+
+def _slope(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, j: np.ndarray | float) -> np.ndarray:
+    """The derivative at j of the log likelihood of pairs of sketches."""
     above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
     equal = a.shape[1] - above - below
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
-    lo, hi = np.zeros(len(a)), np.minimum(u / v, v / u)
     c = (BASE - 1) / BASE
+    x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    p, q = -np.log1p(-x * c) / math.log(BASE), -np.log1p(-y * c) / math.log(BASE)
+    dp, dq = -v * c / (1 - x * c) / math.log(BASE), -u * c / (1 - y * c) / math.log(BASE)
+    return above * dp / np.maximum(p, 1e-12) + below * dq / np.maximum(q, 1e-12) - equal * (dp + dq) / np.maximum(1 - p - q, 1e-12)
 
-    def slope(j: np.ndarray) -> np.ndarray:
-        x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
-        p, q = -np.log1p(-x * c) / math.log(BASE), -np.log1p(-y * c) / math.log(BASE)
-        dp, dq = -v * c / (1 - x * c) / math.log(BASE), -u * c / (1 - y * c) / math.log(BASE)
-        return above * dp / np.maximum(p, 1e-12) + below * dq / np.maximum(q, 1e-12) - equal * (dp + dq) / np.maximum(1 - p - q, 1e-12)
 
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        up = slope(mid) > 0
-        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-    return (lo + hi) / 2
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes of pairs allow the similarity and their estimate (see joint_jaccard) isn't ERRORS standard errors below it.
+
+    The likelihood being concave, its maximum lies above the floor where it still rises there.
+    """
+    floor = similarity - ERRORS * math.sqrt(similarity * (1 - similarity) / a.shape[1])
+    return (np.minimum(n_a, n_b) >= np.maximum(n_a, n_b) * (similarity - 1e-9)) & (_slope(a, b, n_a, n_b, floor) > 0)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -150,9 +165,12 @@ def band_keys(sketches: DataFrame) -> DataFrame:
     return sketches.select("doc_id", "registers").mapInArrow(make, "doc_id long, band long")
 
 
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sizes allow the similarity and whose estimate isn't six standard errors below it."""
-    floor = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
+    """The pairs (u, v) whose sizes allow the similarity and whose estimate isn't far below it."""
     wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "setsketch-ids")
     few = keep_ids(sketches, wanted)
     one = few.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), F.col("registers").alias("r_u"))
@@ -162,19 +180,15 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1)  # noqa: E731,B023
-            good = joint_jaccard(read("r_u"), read("r_v"), batch.column("n_u").to_numpy().astype(float), batch.column("n_v").to_numpy().astype(float)) >= floor if len(batch) else np.zeros(0, bool)
+            sizes = [batch.column(c).to_numpy().astype(float) for c in ("n_u", "n_v")]
+            good = may_reach(_registers(batch.column("r_u")), _registers(batch.column("r_v")), *sizes, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], names=["u", "v"])
 
     return joined.select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(estimate, "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets hold 100 * intersection >= percent * union.
-
-    Each text is hashed to its sorted set once; pairs then meet their two sets by joins, and are compared in bounded batches.
-    """
-    wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "setsketch-ids")
+def _full_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s): the sorted shingle hashes of the texts whose ids are in ids, as bytes."""
     kept = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("s", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             cut = zip(of[:-1].tolist(), of[1:].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([elements[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "s"])
 
-    full = durable(keep_ids(texts, wanted).select("doc_id", "text").mapInArrow(sets, kept), "setsketch-sets")
+    return durable(keep_ids(texts, ids).select("doc_id", "text").mapInArrow(sets, kept), "setsketch-full")
+
+
+def common_elements(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of the sorted set a with each of the others, which aren't empty."""
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    return np.add.reduceat(a[place] == flat, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets hold 100 * intersection >= percent * union.
+
+    Each text is hashed to its sorted set once; pairs then meet their two sets by joins, and are compared in bounded batches.
+    """
+    wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "setsketch-ids")
+    full = _full_sets(texts, wanted, k)
     joined = pairs.join(full.select(F.col("doc_id").alias("u"), F.col("s").alias("s_u")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("s").alias("s_v")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +220,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             good = []
             for x, y in zip(batch.column("s_u"), batch.column("s_v"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int((b[place] == a).sum())
+                common = int(common_elements(a, [b])[0])
                 good.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("u", "v")], names=["u", "v"])
 
@@ -207,41 +236,87 @@ def _mixed(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
     return tagged.join(mixed, "band", "left_semi")
 
 
-def _pairs(buckets: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (u, v), u < v, of each bucket's members with its leaders, where they are in different components so far.
+def _pairs(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Pairs (u, v), u < v, of each bucket's members with its leader, where they are in different components so far.
 
     In a group of variants of one text, the text itself shares most bucket places over all bands, and all others link with it,
-    though not with each other. So the leader of turn 0 is the member of the largest such weight. Later, members are dealt by hash
-    into LEADERS classes, another deal in each turn, and each class's member of the largest weight leads: members that are still
-    apart meet LEADERS likely partners in each of their buckets, and a bucket gives no more pairs than that many a member.
+    though not with each other. So the leader is the member of the largest such weight.
     """
     mixed = _mixed(buckets, parts)
-    side = F.lit(0) if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "doc_id"), F.lit(LEADERS)).cast("int")
-    leaders = mixed.groupBy("band", side.alias("side")).agg(F.max_by(F.struct("doc_id", "part"), F.struct("weight", -F.col("doc_id"))).alias("leader"))
+    leaders = mixed.groupBy("band").agg(F.max_by(F.struct("doc_id", "part"), F.struct("weight", -F.col("doc_id"))).alias("leader"))
     pairs = mixed.join(leaders, "band").where(F.col("part") != F.col("leader.part"))
     return pairs.select(F.least("doc_id", "leader.doc_id").alias("u"), F.greatest("doc_id", "leader.doc_id").alias("v")).distinct()
 
 
-def _leftover(buckets: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v), u < v, within buckets that are in different components so far and whose sizes (doc_id, n) allow a link.
+def joining_links(ids: np.ndarray, part: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the parts of two tiles (side 1 and 2; all members on side 1: of one tile) as far as verified links between them do.
 
-    Members outside the component that holds most of a bucket meet all members of other components, so that the work is
-    the odd members times the members, not the square of a bucket that one component nearly fills.
+    Every pair across the sides that is in different parts still, and whose sketches don't rule it out, is verified on full sets.
+    """
+    part = np.unique(part, return_inverse=True)[1]
+    n = np.array([len(s) for s in sets])
+    first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    links = []
+    for at, i in enumerate(first.tolist()):
+        others = second if len(second) else first[at + 1 :]
+        others = others[part[others] != part[i]]
+        if not len(others):
+            continue
+        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        near = [may_reach(registers[x], registers[i][None], n[x].astype(float), np.full(len(x), float(n[i])), percent / 100) for x in np.split(others, range(1024, len(others), 1024))]
+        others = others[np.concatenate(near)]
+        while len(others):
+            some = others[:64]
+            common = common_elements(sets[i], [sets[j] for j in some])
+            for j in some[100 * common >= percent * (n[some] + n[i] - common)].tolist():
+                if part[j] != part[i]:
+                    links.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+                    part[part == part[j]] = part[i]
+            others = others[64:]
+            others = others[part[others] != part[i]]
+    return links
+
+
+def _remainder(buckets: DataFrame, parts: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (u, v) that join the components of mixed buckets, all pairs of which are tried.
+
+    Each member gets a label, the largest bucket among those of its buckets' members, so that members of overlapping buckets stand
+    together; a label's members are dealt by hash into tiles of about TILE_BYTES. Two tiles meet in a task if a bucket has members
+    in both. The tiles of a bucket, and not its members, are paired before that, and only joining links come out.
     """
-    mixed = durable(_mixed(buckets, parts).select("band", "doc_id", "part").join(sizes, "doc_id"), "setsketch-mixed")
-    filled = mixed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("part", F.struct("held", "part")).alias("main"))
-    # Written before the join, so that AQE can split a bucket that many members share.
-    tagged = durable(mixed.join(filled, "band"), "setsketch-mixed")
-    odd = durable(tagged.where("part <> main").select("band", F.col("doc_id").alias("odd"), F.col("part").alias("odd_part"), F.col("n").alias("odd_n")), "setsketch-odd")
-    apart = (F.col("part") != F.col("odd_part")) & ((F.col("part") == F.col("main")) | (F.col("odd") < F.col("doc_id")))
-    alike = 100 * F.least("n", "odd_n") >= percent * F.greatest("n", "odd_n")
-    pairs = odd.join(tagged, "band").where(apart & alike)
-    return pairs.select(F.least("doc_id", "odd").alias("u"), F.greatest("doc_id", "odd").alias("v")).distinct()
+    mixed = durable(_mixed(buckets, parts).select("band", "doc_id", "part"), "setsketch-mixed")
+    held = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("held"))
+    widest = mixed.join(held, "band").groupBy("doc_id").agg(F.max(F.struct("held", "band")).alias("label"))
+    reach = mixed.join(widest, "doc_id").groupBy("band").agg(F.max("label").alias("label"))
+    labels = mixed.join(reach, "band").groupBy("doc_id").agg(F.max("label.band").alias("label"), F.min("part").alias("part"))
+    labels = durable(labels, "setsketch-labels")
+    ids = labels.select("doc_id")
+    members = keep_ids(sketches, ids).join(_full_sets(texts, ids, k).dropDuplicates(["doc_id"]), "doc_id").join(labels, "doc_id")
+    weight = labels.join(keep_ids(sketches.select("doc_id", "n"), ids), "doc_id").groupBy("label").agg((1 + F.sum(2 * REGISTERS + 8 * F.col("n")) / TILE_BYTES).cast("long").alias("tiles"))
+    # Written before the joins below, so that AQE can split what many rows share.
+    placed = labels.join(weight, "label").select("doc_id", F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.col("tiles"))).alias("tile"))
+    placed = durable(placed, "setsketch-tiles")
+    members = durable(members.drop("label").join(placed, "doc_id"), "setsketch-members")
+    spread = durable(mixed.join(placed, "doc_id").select("band", "tile").distinct(), "setsketch-spread")
+    cells = spread.join(spread.withColumnRenamed("tile", "other"), "band").where("tile <= other").select("tile", "other").distinct()
+    cells = durable(cells.withColumn("cell", F.xxhash64("tile", "other")), "setsketch-cells")
+    sides = cells.select("cell", "tile", F.lit(1).alias("side")).union(cells.where("tile < other").select("cell", "other", F.lit(2)))
+
+    def compare(_: tuple, cell: pa.Table) -> pa.Table:
+        column = lambda name: cell.column(name).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("s")]
+        links = joining_links(column("doc_id"), column("part"), _registers(cell.column("registers")), sets, column("side"), percent)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    links = sides.join(members, "tile").select("cell", "side", "doc_id", "part", "registers", "s").groupBy("cell").applyInArrow(lambda key, cell: compare(key, cell), "u long, v long")
+    links = durable(links, "setsketch-links")
+    discard(mixed, labels, placed, members, spread, cells)
+    return links
 
 
 def near_duplicate_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links, parts): classes (doc_id, n_shingles, rep) for each row of docs; verified links (u, v) between class
-    representatives; parts (id, component) of the representatives that have links."""
+    representatives, at least as many as join each component; parts (id, component) of the representatives that have links."""
     sets = durable(sketched_sets(docs, k), "setsketch-sets")
     digests = sets.select("doc_id", "n_shingles", "d1", "d2")
     reps = digests.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -256,16 +331,17 @@ def near_duplicate_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tupl
     weights = shared.groupBy("doc_id").agg(F.sum("members").alias("weight"))
     buckets = durable(shared.drop("members").join(weights, "doc_id"), "setsketch-buckets")
     discard(bands, shared)
-    links, tried, parts = None, None, None
-    for turn in range(TURNS + 1):
-        pairs = _pairs(buckets, parts, turn) if turn < TURNS else _leftover(buckets, parts, sketches.select("doc_id", "n"), percent)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "setsketch-pairs")
+    links, parts = None, None
+    for _ in range(TURNS):
+        pairs = durable(_pairs(buckets, parts), "setsketch-pairs")
         likely = durable(_likely(pairs, sketches, percent / 100), "setsketch-likely")
         found = durable(_verified(likely, texts, k, percent), "setsketch-links")
         links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if parts is None or found.limit(1).count():
-            parts = connected_components(links)
+        parts = connected_components(links)
+    found = _remainder(buckets, parts, sketches, texts, k, percent)
+    if found.limit(1).count():
+        links = links.union(found)
+        parts = connected_components(links)
     return classes, links, parts
 
 
@@ -286,9 +362,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns as they were. Of rows with one id one stays."""
+    """One document of each group, the one with the smallest doc_id; all columns as they were.
+
+    Of rows with one id the one of the smallest hash over all columns stays. Columns that can't be hashed (maps) aren't allowed.
+    """
     gone = durable(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "setsketch-gone")
     twice = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "setsketch-twice")
     # Only rows whose id repeats, if there are any, are shuffled to find one of each.
-    once = keep_ids(docs, twice, how="left_anti").unionByName(keep_ids(docs, twice).dropDuplicates(["doc_id"]))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text"))
+    again = keep_ids(docs, twice)
+    place = "_place" + "_" * max(map(len, docs.columns))
+    again = again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    once = keep_ids(docs, twice, how="left_anti").unionByName(again)
     return keep_ids(once, gone, how="left_anti").select(*docs.columns)
