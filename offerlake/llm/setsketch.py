@@ -67,14 +67,17 @@ def sketch(elements: np.ndarray, of: np.ndarray, m: int = REGISTERS) -> np.ndarr
             time = np.zeros(len(key))
             step = 0
             while len(key):
-                step += 1
-                with np.errstate(over="ignore"):
-                    draw = mix(key + np.uint64(step) * _SEED)
-                time = time - np.log(_uniform(draw)) / m
-                live = time <= horizon[owner]
-                key, time, owner, draw = key[live], time[live], owner[live], draw[live]
-                if len(key):
-                    np.minimum.at(least.ravel(), owner * m + (mix(draw) % np.uint64(m)).astype(np.int64), time)
+                # Several steps of a stream at once where few streams are left; times add up in the same order whatever the run.
+                run = min(256, max(1, 16384 // len(key)))
+                steps = np.arange(step + 1, step + run + 1, dtype=np.uint64) * _SEED
+                step += run
+                draw = mix(key[:, None] + steps)
+                times = np.cumsum(np.concatenate([time[:, None], -np.log(_uniform(draw)) / m], axis=1), axis=1)[:, 1:]
+                live = times <= horizon[owner][:, None]
+                where = (owner[:, None] * m + (mix(draw) % np.uint64(m)).astype(np.int64))[live]
+                np.minimum.at(least.ravel(), where, times[live])
+                on = live[:, -1]
+                key, time, owner = key[on], times[on, -1], owner[on]
         todo = todo[np.isinf(least[todo]).any(axis=1)]
         horizon[todo] *= 2
         least[todo] = np.inf

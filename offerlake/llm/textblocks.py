@@ -33,15 +33,11 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (the published splitmix64 constants)."""
-    x = np.asarray(x, dtype=U64).copy()
-    with np.errstate(over="ignore"):
-        x += U64(0x9E3779B97F4A7C15)
-        x ^= x >> U64(30)
-        x *= U64(0xBF58476D1CE4E5B9)
-        x ^= x >> U64(27)
-        x *= U64(0x94D049BB133111EB)
-        x ^= x >> U64(31)
-    return x
+    x = np.asarray(x, dtype=U64) + U64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> U64(shift)
+        x *= U64(factor)
+    return x ^ (x >> U64(31))
 
 
 _BYTE_VALUES = mix(_lower.astype(U64)) | U64(1)
