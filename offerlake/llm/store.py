@@ -12,19 +12,37 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 4_000_000
 
 
-#: Rows of one Arrow batch. Rows hold whole texts, so that Spark's default of 10 000 would make batches of tens of MB.
-BATCH_ROWS = 1_000
+#: Bounds of one Arrow batch. Rows hold whole texts, so that Spark's default of 10 000 rows would make batches of tens of MB.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of this session hold at most BATCH_ROWS rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Have Arrow batches of this session hold at most BATCH_ROWS rows and about BATCH_BYTES, unless the session has tighter bounds.
+
+    The bounds stay for the session, since what operators return is run later.
+    """
+    for name, most in _BATCHES.items():
+        now = spark.conf.get(name, None)
+        digits = (now or "").removesuffix("b")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(name, str(most))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes not to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of our own, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
