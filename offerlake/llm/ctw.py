@@ -1,38 +1,45 @@
 """Language-model scoring by context-tree weighting over bytes, beside an add-one unigram baseline.
 
 Each next byte is eight binary decisions (the nodes of a 255-node prefix tree); each decision has a context tree over the
-previous DEPTH = 2 bytes. Krichevsky-Trofimov estimates of all depths are mixed with the context-tree weights, which follow
-from the block probabilities of the training counts:
+previous DEPTH bytes. Krichevsky-Trofimov estimates of all depths are mixed with the context-tree weights, which follow from
+the block probabilities of the training counts:
 
-    P_w(s) = 1/2 P_e(s) + 1/2 prod_c P_w(cs)      (P_w = P_e at depth 2)
+    P_w(s) = 1/2 P_e(s) + 1/2 prod_c P_w(cs)      (P_w = P_e at full depth)
 
-and P(bit) runs from the deepest context to the root, each depth weighing in with 1/2 P_e(s) / P_w(s). A text begins after
-two start bytes and ends with an end byte, none of which occurs in UTF-8, so the model is a probability over texts.
+and P(bit) runs from the root to the deepest context that occurs, each depth weighing in with 1/2 P_e(s) / P_w(s); beyond it a
+decision is a half. A text begins after DEPTH start bytes and ends with an end byte, neither of which occurs in UTF-8, so the
+model is a probability over texts.
 
-The model is a table of at most 256**2 contexts by 256 bytes (64 MiB in float32), whatever the corpus; only contexts that
-occur have rows of their own.
+All of it is tables that grow with the corpus. A gram is a byte with its DEPTH previous ones. Grams are counted; a level of the tree
+is aggregated from the level below it, from the deepest to the root; mixing goes down again by joins; then each distinct gram
+of the corpus has its probability. Texts meet them in one scan: the most frequent grams are broadcast, a fixed number at most, and
+the others are joined by shuffle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import durable
+from .store import discard, durable
 from .textblocks import blocks, word_hashes
 
-DEPTH = 2
+#: Bytes of context, six at most: a gram is one 64-bit number.
+DEPTH = 5
 START_BYTE, END_BYTE = 0xFE, 0xFF
-#: Words with at least 1 / HEAVY of all training tokens are broadcast with their counts: at most HEAVY of them, 16 bytes each.
-HEAVY = 1 << 21
+#: Words, and grams, with at least one in HEAVY of all training tokens (positions) are broadcast: at most HEAVY of them, 16 (12) bytes each.
+HEAVY, HEAVY_GRAMS = 1 << 21, 1 << 21
 END_TOKEN = np.uint64(0x5EED)
-_FLUSH = 1 << 23
+_TEXT, _WORD, _GRAM = 0, 1, 2
+#: Distinct keys that a task gathers before it hands on their counts.
+_TALLY = 1 << 20
 
 
 def training_fold(doc_id: Column, folds: int = 7, held: int = 2) -> Column:
@@ -40,145 +47,180 @@ def training_fold(doc_id: Column, folds: int = 7, held: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held
 
 
-def _contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The previous two bytes (as older << 8 | newer) and the next byte at each position, end bytes included."""
+def grams_of(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram at each position of the texts, end bytes included (the byte in the lowest 8 bits, then the previous ones), and offsets."""
     n, docs = len(data), len(at) - 1
-    rows = np.diff(at)
-    out = np.full(n + 3 * docs, END_BYTE, np.uint8)
-    begin = at[:-1] + 3 * np.arange(docs)
-    out[begin] = START_BYTE
-    out[begin + 1] = START_BYTE
+    begin = at[:-1] + (depth + 1) * np.arange(docs)
+    end = begin + depth + np.diff(at)
+    out = np.full(n + (depth + 1) * docs, END_BYTE, np.uint8)
     body = np.ones(len(out), dtype=bool)
-    body[begin] = body[begin + 1] = False
-    body[begin + rows + 2] = False
+    body[end] = False
+    for j in range(depth):
+        out[begin + j] = START_BYTE
+        body[begin + j] = False
     out[body] = data
-    predicted = body
-    predicted[begin + rows + 2] = True
-    where = np.flatnonzero(predicted)
-    return out[where - 2].astype(np.int32) << 8 | out[where - 1], out[where]
+    body[end] = True
+    where = np.flatnonzero(body)
+    grams = np.zeros(len(where), np.uint64)
+    for j in range(depth + 1):
+        grams |= out[where - j].astype(np.uint64) << np.uint64(8 * j)
+    return grams, at + np.arange(docs + 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: kind 0 the words, kind 1 the (context, byte) pairs."""
-    words: list[np.ndarray] = []
-    grams: list[np.ndarray] = []
-    held = 0
+class _Tally:
+    """Counts of keys, held as sorted arrays that are merged now and then."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind, parts in ((0, words), (1, grams)):
-            if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
-                parts.clear()
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        keys, n = np.unique(keys, return_counts=True)
+        self.parts.append((keys, n * weight))
+        self.held += len(keys)
+        if self.held > 2 * _TALLY and len(self.parts) > 1:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, place, np.concatenate([c for _, c in self.parts]))
+        self.parts, self.held = [(keys, n)], len(keys)
+        return keys, n
+
+
+def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts (kind, key, n): words of training texts, grams of all texts, n being how often they occur in training."""
+    tallies = {_WORD: _Tally(), _GRAM: _Tally()}
+
+    def flush(kind: int) -> pa.RecordBatch:
+        keys, n = tallies[kind].merge()
+        tallies[kind] = _Tally()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
     for batch in batches:
+        trained = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, data, at in blocks(batch.column("text")):
-            hashes, _ = word_hashes(data, at)
-            words += [hashes, np.full(hi - lo, END_TOKEN)]
-            context, byte = _contexts(data, at)
-            grams.append((context << 8 | byte).astype(np.uint32))
-            held += len(data) + 3 * (hi - lo)
-            if held > _FLUSH:
-                yield from flush()
-                held = 0
-    yield from flush()
-
-
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): counts of all words (kind 0, by hash; the end token included) and byte triples (kind 1) of docs."""
-    partial = docs.select("text").mapInArrow(_count, "kind int, key long, n long")
+            words, of = word_hashes(data, at)
+            mine = np.repeat(trained[lo:hi], np.diff(of))
+            if trained[lo:hi].any():
+                tallies[_WORD].add(np.concatenate([words[mine], np.full(int(trained[lo:hi].sum()), END_TOKEN)]), 1)
+            grams, of = grams_of(data, at, depth)
+            mine = np.repeat(trained[lo:hi], np.diff(of))
+            for part, weight in ((grams[mine], 1), (grams[~mine], 0)):
+                if len(part):
+                    tallies[_GRAM].add(part, weight)
+            for kind, tally in tallies.items():
+                if tally.held > _TALLY and len(tally.merge()[0]) > _TALLY:
+                    yield flush(kind)
+    for kind, tally in tallies.items():
+        if tally.parts:
+            yield flush(kind)
+
+
+def corpus_counts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): training counts of the words of training texts (kind 1, by hash; the end token included) and of all grams (kind 2)."""
+    partial = docs.select("text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(lambda b: _count(b, depth), "kind int, key long, n long")
     return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for x >= 1/2, to about 1e-10."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        small = y < 8
-        shift[small] += np.log(y[small])
-        y[small] += 1
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1/2, to about 1e-10: Stirling's series at x + 8."""
+    y = x + 8
+    risen = x
+    for i in range(1, 8):
+        risen = risen * (x + i)
     r = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + r / 12 - r**3 / 360 + r**5 / 1260 - r**7 / 1680 - shift
-
-
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From next-byte counts (rows x 256): log KT block probability and the KT probability of a 1, for nodes 1..255 (column 0 unused)."""
-    totals = np.zeros((len(counts), 512))
-    totals[:, 256:] = counts
-    for node in range(255, 0, -1):
-        totals[:, node] = totals[:, 2 * node] + totals[:, 2 * node + 1]
-    zeros, ones = totals[:, 2:512:2], totals[:, 3:512:2]
-    log_e = np.zeros((len(counts), 256))
-    log_e[:, 1:] = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
-    one = np.full((len(counts), 256), 0.5)
-    one[:, 1:] = (ones + 0.5) / (zeros + ones + 1)
-    return log_e, one
-
-
-def _byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the probabilities of a 1 at each node (rows x 256)."""
-    out = np.zeros((len(one), 256))
-    byte = np.arange(256)
-    for bit in range(8):
-        node = (1 << bit) | (byte >> (8 - bit))
-        p = one[:, node]
-        out += np.log10(np.where(byte >> (7 - bit) & 1, p, 1 - p))
-    return out
-
-
-@dataclass
-class ContextTree:
-    index: np.ndarray  # row of each of the 65536 contexts
-    logs: np.ndarray  # rows x 256, log10 probabilities
-
-    @staticmethod
-    def build(keys: np.ndarray, n: np.ndarray) -> ContextTree:
-        """From distinct byte triples (older << 16 | newer << 8 | next) and their counts."""
-        order = np.argsort(keys)
-        keys, n = keys[order].astype(np.int64), n[order].astype(np.float64)
-        near = keys >> 8 & 255
-        half = math.log(0.5)
-        by_near = np.zeros((256, 256))
-        np.add.at(by_near, (near, keys & 255), n)
-        seen = np.unique(near)
-        log_e1, one1 = _nodes(by_near)
-        # Depth 2 by newer byte, so that no more than 256 contexts are unfolded at once.
-        parts, weight1, log_w1 = {}, np.ones((256, 256)), np.zeros((256, 256))
-        for b in seen.tolist():
-            mine = near == b
-            older, place = np.unique(keys[mine] >> 16, return_inverse=True)
-            counts = np.zeros((len(older), 256))
-            np.add.at(counts, (place, keys[mine] & 255), n[mine])
-            log_e2, one2 = _nodes(counts)
-            below = log_e2.sum(axis=0)
-            log_w1[b] = half + np.logaddexp(log_e1[b], below)
-            weight1[b] = np.exp(half + log_e1[b] - log_w1[b])
-            parts[b] = older, one2.astype(np.float32)
-        log_e0, one0 = _nodes(by_near.sum(axis=0, keepdims=True))
-        log_w0 = half + np.logaddexp(log_e0[0], log_w1[seen].sum(axis=0))
-        weight0 = np.exp(half + log_e0[0] - log_w0)
-        root = lambda deeper: weight0 * one0 + (1 - weight0) * deeper
-        # Contexts that don't occur: a half for each decision that no count informs.
-        rows = [_byte_logs(root(np.full((1, 256), 0.5))).astype(np.float32)]
-        index, at = np.zeros(1 << 16, np.int32), 1
-        for b in seen.tolist():
-            older, one2 = parts.pop(b)
-            deep = np.concatenate([np.full((1, 256), 0.5), one2])
-            rows.append(_byte_logs(root(weight1[b] * one1[b] + (1 - weight1[b]) * deep)).astype(np.float32))
-            index[(np.arange(256) << 8) | b] = at
-            index[(older << 8) | b] = at + 1 + np.arange(len(older))
-            at += 1 + len(older)
-        return ContextTree(index, np.concatenate(rows))
-
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, end byte included."""
-        context, byte = _contexts(data, at)
-        logs = self.logs.ravel()[self.index[context].astype(np.int64) * 256 + byte]
-        return np.add.reduceat(logs.astype(np.float64), at[:-1] + np.arange(len(at) - 1)) if len(at) > 1 else np.zeros(0)
-
-
-def lm_scores(docs: DataFrame, train: Column | None = None) -> DataFrame:
+    r2 = r * r
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) - F.log(risen)
+
+
+def _path(byte: Column) -> Column:
+    """array<struct<node, bit>> of a byte's eight decisions."""
+    return F.array(*[F.struct((F.shiftright(byte, 8 - i) + (1 << i)).cast("int").alias("node"), F.shiftright(byte, 7 - i).bitwiseAND(1).cast("int").alias("bit")) for i in range(8)])
+
+
+def _suffix(context: Column, depth: int) -> Column:
+    """The newest `depth` bytes of a context."""
+    return context.bitwiseAND(F.lit((1 << (8 * depth)) - 1))
+
+
+def context_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """(context, node, p) for each depth from 0: the probability of a 1 at a node for texts whose deepest known context it is.
+
+    grams: (key, n) with n > 0.
+    """
+    spread = grams.select(F.shiftright("key", 8).alias("context"), "n", F.inline(_path(F.col("key").bitwiseAND(255))))
+    level = spread.groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("zeros"), F.sum(F.col("n") * F.col("bit")).alias("ones"))
+    log_e = _log_gamma(F.col("zeros") + 0.5) + _log_gamma(F.col("ones") + 0.5) - _log_gamma(F.col("zeros") + F.col("ones") + 1.0) - math.log(math.pi)
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    levels = [durable(level.select("context", "node", "zeros", "ones", log_e.alias("log_w"), F.lit(1.0).alias("weight")), "ctw-level")]
+    for d in range(depth - 1, -1, -1):
+        summed = levels[0].groupBy(_suffix(F.col("context"), d).alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
+        split = summed.withColumn("log_e", log_e)
+        log_w = math.log(0.5) + F.greatest("log_e", "below") + F.log1p(F.exp(-F.abs(F.col("log_e") - F.col("below"))))
+        level = split.withColumn("log_w", log_w).select("context", "node", "zeros", "ones", "log_w", F.exp(math.log(0.5) + F.col("log_e") - F.col("log_w")).alias("weight"))
+        levels.insert(0, durable(level, "ctw-level"))
+    # Down again: `mixed` is what the depths so far give, `rest` the weight that is left for deeper ones.
+    tables = []
+    for d, level in enumerate(levels):
+        if d == 0:
+            down = level.select("context", "node", (F.col("weight") * one).alias("mixed"), (1 - F.col("weight")).alias("rest"))
+        else:
+            above = tables[-1].select(F.col("context").alias("parent"), "node", F.col("mixed").alias("so_far"), F.col("rest").alias("share"))
+            down = level.withColumn("parent", _suffix(F.col("context"), d - 1)).join(above, ["parent", "node"])
+            down = down.select("context", "node", (F.col("so_far") + F.col("share") * F.col("weight") * one).alias("mixed"), (F.col("share") * (1 - F.col("weight"))).alias("rest"))
+        tables.append(durable(down, "ctw-mixed"))
+    discard(*levels)
+    return [t.select("context", "node", (F.col("mixed") + 0.5 * F.col("rest")).alias("p")) for t in tables]
+
+
+def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, log): log10 of the probability of each gram's byte after its context, learned from the counts n in grams (key, n).
+
+    Grams with n = 0 take no part in learning; they get the probability that the contexts known from training give them.
+    """
+    levels = context_levels(grams.where("n > 0"), depth)
+    spread = grams.select("key", "n", F.shiftright("key", 8).alias("context"), F.inline(_path(F.col("key").bitwiseAND(255))))
+    log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    # The contexts of grams that occur in training are there in full depth.
+    seen = spread.where("n > 0").join(levels[depth], ["context", "node"]).groupBy("key").agg(F.max("n").alias("n"), F.sum(log).alias("log"))
+    # Of others, each decision goes by its deepest context that is known, or is a half.
+    depths = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    tried = spread.where("n = 0").withColumn("depth", depths).withColumn("context", F.expr(f"context & (shiftleft(1L, 8 * depth) - 1)"))
+    known = levels[0].withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        known = known.union(levels[d].withColumn("depth", F.lit(d)))
+    deepest = tried.join(known, ["depth", "context", "node"], "left").groupBy("key", "node").agg(F.max("bit").alias("bit"), F.coalesce(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("depth"))), F.lit(0.5)).alias("p"))
+    unseen = deepest.groupBy("key").agg(F.lit(0).cast("long").alias("n"), F.sum(log).alias("log"))
+    return seen.union(unseen)
+
+
+def _heavy(table: DataFrame, total: int, most: int, *values: str) -> list[np.ndarray]:
+    """key (as uint64, sorted) and values of the rows whose n is at least one in `most` of total: most rows at most."""
+    rows = table.where(F.col("n") * most >= total).select("key", *values).toArrow()
+    key = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return [key[order], *[rows.column(v).to_numpy()[order] for v in values]]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands in the sorted keys, and whether it is there."""
+    place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return place, keys[place] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+
+
+def _rare_rows(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, times) of the distinct keys of each text."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
+def lm_scores(docs: DataFrame, train: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes, code_length (bits per byte).
 
     train: which rows to learn from (training_fold of doc_id if None). Counts cover every training row. Null texts are empty;
@@ -187,58 +229,64 @@ def lm_scores(docs: DataFrame, train: Column | None = None) -> DataFrame:
     code_length is null for an empty text.
     """
     spark = docs.sparkSession
-    train = training_fold(F.col("doc_id")) if train is None else train
-    counts = durable(corpus_counts(docs.where(train)), "ctw-counts")
-    total, distinct = counts.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    train = F.coalesce(training_fold(F.col("doc_id")) if train is None else train, F.lit(True))
+    counts = durable(corpus_counts(docs, train, depth), "ctw-counts")
+    words = counts.where(f"kind = {_WORD}").select("key", "n")
+    total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(total or 0), int(distinct)
-    triples = counts.where("kind = 1").select("key", "n").toPandas()  # at most 256**3 rows, as many as byte triples occur
-    tree = ContextTree.build(triples["key"].to_numpy(), triples["n"].to_numpy())
-    words = counts.where("kind = 0").select("key", "n")
-    heavy = words.where(F.col("n") * HEAVY >= total).toPandas()  # at most HEAVY rows, since counts sum to total
-    by_key = np.argsort(heavy["key"].to_numpy().view(np.uint64))
-    model = spark.sparkContext.broadcast((tree, heavy["key"].to_numpy().view(np.uint64)[by_key], heavy["n"].to_numpy()[by_key]))
-    end_count = int(heavy["n"][heavy["key"] == int(END_TOKEN)].sum()) if len(heavy) else 0
-    if total and not end_count:
-        end_count = int((words.where(F.col("key") == int(END_TOKEN)).first() or {"n": 0})["n"])
+    grams = durable(gram_logs(counts.where(f"kind = {_GRAM}").select("key", "n"), depth), "ctw-grams")
+    positions = int(grams.agg(F.sum("n")).first()[0] or 0)
+    heavy = _heavy(words, max(1, total), HEAVY, "n")
+    model = spark.sparkContext.broadcast((*heavy, *_heavy(grams.withColumn("log", F.col("log").cast("float")), max(1, positions), HEAVY_GRAMS, "log")))
+    end_count = int((words.where(F.col("key") == int(END_TOKEN)).first() or {"n": 0})["n"])
+    kinds = [docs.schema["doc_id"].dataType, *[T.BooleanType(), T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()]]
+    names = ["doc_id", "held_out", "rid", "kind", "key", "times", "known", "base", "score", "n_bytes"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with word null for each text; a row for each of its distinct words that isn't heavy."""
-        tree, keys, ns = model.value
+        """A row for each text with what the broadcast keys give; a row for each of its distinct words and grams that aren't among them."""
+        keys, ns, grams, gram_log = model.value
         logs = np.log10(ns + 1.0)
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rid = batch.column("_rid").to_numpy()
             for lo, hi, data, at in blocks(batch.column("text")):
+                n = hi - lo
                 hashes, of = word_hashes(data, at)
-                doc = np.repeat(np.arange(hi - lo), np.diff(of))
-                place = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-                known = keys[place] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
-                base = np.bincount(doc[known], weights=logs[place[known]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
-                n_known = np.bincount(doc[known], minlength=hi - lo)
-                n_bytes = np.diff(at)
-                row = [rid[lo:hi], None, np.diff(of) + 1, n_known + (1 if end_count else 0), base + math.log10(end_count + 1), tree.score(data, at), n_bytes]
-                rare_doc, rare = doc[~known], hashes[~known]
-                order = np.lexsort((rare, rare_doc))
-                rare_doc, rare = rare_doc[order], rare[order]
-                new = np.ones(len(rare), dtype=bool)
-                new[1:] = (rare_doc[1:] != rare_doc[:-1]) | (rare[1:] != rare[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare)))
-                n, m = hi - lo, len(first)
+                doc = np.repeat(np.arange(n), np.diff(of))
+                place, known = _found(keys, hashes)
+                base = np.bincount(doc[known], weights=logs[place[known]], minlength=n)
+                n_known = np.bincount(doc[known], minlength=n)
+                rare = [(_WORD, *_rare_rows(doc[~known], hashes[~known]))]
+                mine, gram_of = grams_of(data, at, depth)
+                one, where = np.unique(mine, return_inverse=True)
+                place, there = _found(grams, one)
+                log = np.zeros(len(one))
+                log[there] = gram_log[place[there]]
+                score = np.add.reduceat(log[where], gram_of[:-1])
+                doc = np.repeat(np.arange(n), np.diff(gram_of))
+                left = ~there[where]
+                rare.append((_GRAM, *_rare_rows(doc[left], mine[left])))
+                rids = rid + np.arange(n)
+                rid += n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([row[0], rid[lo:hi][rare_doc[first]]])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), rare[first].view(np.int64)]), mask=np.arange(n + m) < n),
-                        pa.array(np.concatenate([row[2], times]).astype(np.int64)),
-                        *[pa.array(np.concatenate([x, np.zeros(m)]).astype(kind), mask=np.arange(n + m) >= n) for x, kind in ((row[3], np.int64), (row[4], np.float64), (row[5], np.float64), (row[6], np.int64))],
+                        batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(rids), pa.array(np.full(n, _TEXT, np.int32)), pa.nulls(n, pa.int64()), pa.array(np.diff(of) + 1),
+                        pa.array(n_known + (1 if end_count else 0)), pa.array(base + math.log10(end_count + 1)), pa.array(score), pa.array(np.diff(at)),
                     ],
-                    names=["_rid", "word", "times", "known", "base", "score", "n_bytes"],
-                )
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id"), "text", F.coalesce(~train, F.lit(False)).alias("held_out"))
-    ids = numbered.select("_rid", "doc_id", "held_out")
-    seen = durable(numbered.select("_rid", "text").mapInArrow(scan, "_rid long, word long, times long, known long, base double, score double, n_bytes long"), "ctw-scan")
-    rare = seen.where("word is not null").join(words, seen["word"] == words["key"]).groupBy("_rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base"))
-    whole = seen.where("word is null").join(rare, "_rid", "left").join(ids, "_rid")
+                    names=names,
+                )
+                for kind, of_text, key, times in rare:
+                    if m := len(key):
+                        none = [pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.bool_())]
+                        yield pa.RecordBatch.from_arrays([*none, pa.array(rids[of_text]), pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(times), *[pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64())]], names=names)
+
+    rows = docs.select("doc_id", "text", (~train).alias("held_out"))
+    seen = durable(rows.mapInArrow(scan, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])), "ctw-scan")
+    known = words.select(F.lit(_WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value")).union(grams.select(F.lit(_GRAM), "key", "log"))
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0))
+    worth = F.col("times") * F.col("value")
+    rare = seen.where(f"kind <> {_TEXT}").select("rid", "kind", "key", "times").join(known, ["kind", "key"]).groupBy("rid").agg(of(_WORD, F.col("times")).alias("more"), of(_WORD, worth).alias("more_base"), of(_GRAM, worth).alias("more_score"))
+    whole = seen.where(f"kind = {_TEXT}").join(rare, "rid", "left")
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return whole.select(
         "doc_id",
         "held_out",
@@ -246,7 +294,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None) -> DataFrame:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("times") * F.lit(math.log10(total + distinct + 1))).alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("code_length"),
+        F.when(F.col("n_bytes") > 0, -score * math.log2(10) / F.col("n_bytes")).alias("code_length"),
     )

@@ -231,29 +231,32 @@ def test_longest_match(spark):
 # LM scoring
 
 
-def ctw_brute(train, text):
+def ctw_brute(train, text, depth):
     """log10 probability of text by the definition, contexts as tuples of previous bytes (nearest last)."""
     counts = {}
     for x in train:
-        seq = [0xFE, 0xFE, *x.encode(), 0xFF]
-        for i in range(2, len(seq)):
+        seq = [0xFE] * depth + [*x.encode(), 0xFF]
+        for i in range(depth, len(seq)):
             node = 1
             for bit in range(7, -1, -1):
                 b = seq[i] >> bit & 1
-                for d in range(3):
+                for d in range(depth + 1):
                     c = counts.setdefault((tuple(seq[i - d : i]), node), [0, 0])
                     c[b] += 1
                 node = 2 * node + b
     log_e = lambda c: math.lgamma(c[0] + 0.5) + math.lgamma(c[1] + 0.5) - math.lgamma(c[0] + c[1] + 1) - math.log(math.pi)
-    weights = {}
+    weights, longer = {}, {}
+    for t, n in counts:
+        if t:
+            longer.setdefault((t[1:], n), set()).add(t[0])
 
     def log_w(s, node):
         c = counts.get((s, node))
         if c is None:
             return 0.0
-        if len(s) == 2:
+        if len(s) == depth:
             return log_e(c)
-        below = sum(log_w((b, *s), node) for b in {t[0] for t, n in counts if n == node and len(t) == len(s) + 1 and t[1:] == s})
+        below = sum(log_w((b, *s), node) for b in longer.get((s, node), ()))
         a, b = math.log(0.5) + log_e(c), math.log(0.5) + below
         top = max(a, b)
         out = top + math.log(math.exp(a - top) + math.exp(b - top))
@@ -262,20 +265,18 @@ def ctw_brute(train, text):
 
     for node in {n for _, n in counts}:
         log_w((), node)
-        for s in {t for t, n in counts if n == node and len(t) == 1}:
-            log_w(s, node)
 
     def p_one(s, node, history):
         c = counts.get((s, node), [0, 0])
         kt = (c[1] + 0.5) / (sum(c) + 1)
-        if len(s) == 2:
-            return kt
+        if len(s) == depth:
+            return kt if (s, node) in counts else 0.5
         deeper = p_one((history[-len(s) - 1], *s), node, history)
         w = weights.get((s, node))
         return (deeper if not s and w is None else w * kt + (1 - w) * deeper) if w is not None else 0.5
 
-    total, seq = 0.0, [0xFE, 0xFE, *text.encode(), 0xFF]
-    for i in range(2, len(seq)):
+    total, seq = 0.0, [0xFE] * depth + [*text.encode(), 0xFF]
+    for i in range(depth, len(seq)):
         node = 1
         for bit in range(7, -1, -1):
             b, p = seq[i] >> bit & 1, p_one((), node, seq[:i])
@@ -301,27 +302,39 @@ def test_lm_scores(spark):
         base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(x))
         want[(i, held(i), len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), n, round(base, 6))] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    for i, x in (rows[0], rows[7], rows[41]):
-        mine = [r["score"] for r in got if r["doc_id"] == i and r["n_bytes"] == len((x or "").encode())]
-        assert abs(mine[0] - ctw_brute(train, x or "")) < 1e-3
+    for depth, found in ((ctw.DEPTH, got), (2, ctw.lm_scores(d, depth=2).collect())):
+        for i, x in (rows[0], rows[7], rows[41], rows[40]):
+            mine = [r["score"] for r in found if r["doc_id"] == i and r["n_bytes"] == len((x or "").encode())]
+            assert abs(mine[0] - ctw_brute(train, x or "", depth)) < 1e-3
     assert ctw.lm_scores(d.limit(0)).count() == 0
 
 
-def test_rare_words_join(spark):
+def test_rare_words_and_grams_join(spark, monkeypatch):
     rows = [(i, f"common w{i} w{i}") for i in range(30)]
-    want = {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in ctw.lm_scores(docs(spark, rows)).collect()}
-    old = ctw.HEAVY
-    ctw.HEAVY = 2
-    try:
-        assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in ctw.lm_scores(docs(spark, rows)).collect()} == want
-    finally:
-        ctw.HEAVY = old
-
-
-def test_context_tree_is_a_distribution():
-    keys = np.array([0x414243, 0x414244, 0x004142, 0xFEFE41])
-    tree = ctw.ContextTree.build(keys, np.array([5, 2, 9, 1]))
-    assert np.allclose((10.0 ** tree.logs.astype(np.float64)).sum(axis=1), 1, atol=1e-5)
+    seen = lambda: {r["doc_id"]: (r["n_known"], round(r["base_score"], 9), round(r["score"], 4)) for r in ctw.lm_scores(docs(spark, rows)).collect()}
+    want = seen()
+    monkeypatch.setattr(ctw, "HEAVY", 2)
+    monkeypatch.setattr(ctw, "HEAVY_GRAMS", 2)
+    assert seen() == want
+
+
+def test_context_tree_is_a_distribution(spark):
+    """After contexts that occur in full, in part and not at all, the probabilities of all bytes sum to 1."""
+    known = {0x41424361: 5, 0x41424362: 2, 0x58424361: 9, 0x41424461: 1}
+    contexts = (0x414243, 0x584243, 0x7A4243, 0x7A7A43, 0x7A7A7A)
+    grams = [(c << 8 | b, known.get(c << 8 | b, 0)) for c in contexts for b in range(256)] + [(0x41424461, 1)]
+    got = {r["key"]: r["log"] for r in ctw.gram_logs(spark.createDataFrame(grams, "key long, n long"), 3).collect()}
+    assert len(got) == len(grams)
+    for c in contexts:
+        assert abs(sum(10.0 ** got[c << 8 | b] for b in range(256)) - 1) < 1e-9
+
+
+def test_texts_without_training_rows(spark):
+    d = docs(spark, [(1, "ab"), (2, None)])
+    got = {r["doc_id"]: r for r in ctw.lm_scores(d, F.lit(False)).collect()}
+    assert got[1]["train_tokens"] == 0 and got[1]["n_known"] == 0
+    assert abs(got[1]["score"] + 3 * math.log10(256)) < 1e-9
+    assert abs(got[2]["score"] + math.log10(256)) < 1e-9
 
 
 # Toxicity and language
