@@ -2,8 +2,9 @@
 
 1. A page is read into visible text lines (blocks), each of which knows whether it is inside article or main, and whether it is
    inside an element that is never main text (menus, forms, adverts and the like, by element, role, class or id).
-2. All pages are sorted by host and URL path, over as many tasks as the data needs; each page is paired with its neighbour in the
-   host of the longest common path prefix, also across the bounds of tasks. The two pages' lines are aligned by their longest common subsequence, and shared lines are deleted.
+2. All pages are sorted by host and URL path into ranges of bounded size; each page is paired with its neighbour in the host of the
+   longest common path prefix, also across the bounds of ranges. The two pages' lines are aligned by their longest common
+   subsequence, and shared lines are deleted.
 3. Lines inside article or main are kept although shared: pages of one host do repeat paragraphs, which are main text all the
    same. If a page has such an element, only its lines are the main text. Where all is shared the partner is a copy, and
    nothing is deleted.
@@ -14,24 +15,26 @@ from __future__ import annotations
 import html
 import os
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import durable
+from .store import text_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head script style noscript template nav footer aside form button select textarea svg math canvas iframe object dialog menu title xmp noembed noframes".split())
+NEVER = frozenset("head script style noscript template nav footer aside button select textarea svg math canvas iframe object dialog menu title xmp noembed noframes".split())
+#: What holds no main text either, unless an article or main stands inside: elements, and those named as below.
+MAYBE = frozenset(("form",))
 MAIN = frozenset(("article", "main"))
 #: Words of class, id and role that tell what isn't main text.
 NEVER_NAMED = frozenset(
@@ -47,29 +50,35 @@ class Line(NamedTuple):
     never: bool
 
 
-def _named_never(attributes: str) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role") and not NEVER_NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+NO, SOFT, HARD = 0, 1, 2
+
+
+def _never(name: str, attributes: str, main: bool) -> int:
+    """Whether an element with these attributes is never main text: HARD, or SOFT where an article or main inside it still is."""
+    found = HARD if name in NEVER else SOFT if name in MAYBE or (name == "header" and not main) else NO
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            return HARD
+        # An article's own class words say what it is about, not that it isn't one.
+        if name not in MAIN and key in ("class", "id", "role") and not NEVER_NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            found = max(found, SOFT)
+    return found
 
 
 def lines_of(page: str | None) -> list[Line]:
     """The visible blocks of a page in order; broken markup is read as browsers do, roughly: an end tag closes what is open inside."""
     out: list[Line] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside main, inside what is never main
-    main = never = False
+    stack: list[tuple[str, bool, int]] = []  # element, inside main, inside what is never main
+    main, never = False, NO
 
     def end_block() -> None:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append(Line(text, main, never))
+                out.append(Line(text, main, never > NO))
 
     page = page or ""
     at = 0
@@ -101,7 +110,7 @@ def lines_of(page: str | None) -> list[Line]:
                         else:
                             del stack[i]
                         break
-            main, never = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            main, never = (stack[-1][1], stack[-1][2]) if stack else (False, NO)
             continue
         if name == "br":
             held.append(" ")
@@ -109,45 +118,103 @@ def lines_of(page: str | None) -> list[Line]:
             if name == "hr":
                 end_block()
             continue
-        off = never or name in NEVER or (name == "header" and not main) or _named_never(token[3])
+        off = max(never, _never(name, token[3], main))
         if name not in INLINE or (off and not never):
             end_block()
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-            main, never = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            off = never or _named_never(token[3])
+            main, never = (stack[-1][1], stack[-1][2]) if stack else (False, NO)
+            off = max(never, _never(name, token[3], main))
         if token[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        main, never = (main or name in MAIN) and not off, off
+        if name in MAIN and off < HARD:
+            main, never = True, NO
+        else:
+            main, never = main and not off, off
         stack.append((name, main, never))
     end_block()
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of one longest common subsequence of a and b (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
+def _rows(a: list[int], where: dict[int, int], width: int) -> list[int]:
+    """After each item of a, the bits j of b for which b[: j + 1] has no longer common subsequence than b[:j] (Crochemore and others, 2001)."""
+    full = (1 << width) - 1
+    v, rows = full, []
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    return rows
+
+
+def _places(b: list[int]) -> dict[int, int]:
+    """For each item of b, the bits of its places."""
+    at: dict[int, list[int]] = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple | None] = []  # (position in a, node before)
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
+        at.setdefault(x, []).append(j)
+    out = {}
+    for x, js in at.items():
+        bits = bytearray(len(b) // 8 + 1)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _lengths(v: int, width: int) -> list[int]:
+    """Lengths of common subsequences with b[:0], b[:1], ... from a row of bits."""
+    out = [0]
+    for bit in reversed(f"{v:0{width}b}" if width else ""):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+#: Bits of alignment rows that are kept at once; larger alignments are halved.
+_ROW_BITS = 1 << 28
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in a of one longest common subsequence of a and b.
+
+    Rows of bits stand for rows of the usual table, so that many repeated lines cost no more than others; alignments that are too
+    large for that are halved (Hirschberg, 1975).
+    """
+    ids: dict[str, int] = {}
+    x, y = ([ids.setdefault(t, len(ids)) for t in side] for side in (a, b))
+    found: set[int] = set()
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and x[i] == y[j]:
+            found.add(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            found.add(n - 1)
+            n, m = n - 1, m - 1
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) > _ROW_BITS and n - i > 1:
+            middle = (i + n) // 2
+            ahead = _lengths(_rows(x[i:middle], _places(y[j:m]), m - j)[-1], m - j)
+            back = _lengths(_rows(x[middle:n][::-1], _places(y[j:m][::-1]), m - j)[-1], m - j)[::-1]
+            cut = j + max(range(m - j + 1), key=lambda t: ahead[t] + back[t])
+            todo += [(i, middle, j, cut), (middle, n, cut, m)]
+            continue
+        rows = _rows(x[i:n], _places(y[j:m]), m - j)
+        row, column = n - i, m - j
+        while row and column:
+            bit = 1 << (column - 1)
+            if rows[row - 1] & bit:
+                column -= 1
+            elif row > 1 and not rows[row - 2] & bit:
+                row -= 1
             else:
-                tails[k], nodes[k] = j, node
-    found, node = set(), nodes[-1] if nodes else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+                row, column = row - 1, column - 1
+                found.add(i + row)
     return found
 
 
@@ -177,50 +244,39 @@ def _differenced(page: _Page, before: _Page | None, after: _Page | None) -> str:
 
 
 _OUT = "page_id long, url string, text string, n_chars long"
-_EDGE = "pid int, side int, host string, path string, html string, near_host string, near_path string, near_html string"
-FIRST, LAST = 1, 2
+#: Keys of pages that are sampled to part the order into ranges: a bounded number, whatever the input.
+SAMPLED_KEYS = 20_000
+#: Ranges for each shuffle partition.
+RANGES_PER_PARTITION = 4
 
 
-def _sorted_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of one range of sorted pages. Its first and last page (side) come without a text, but with what they need to get one:
-    their html and the neighbour that they have in the range."""
-    pid = TaskContext.get().partitionId()
-    names = [x.split()[0] for x in f"{_OUT}, {_EDGE}".split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()] + [pa.string()] * 6
-
-    def row(before: _Page | None, page: _Page, after: _Page | None) -> tuple:
-        if before and after:
-            text = _differenced(page, before, after)
-            return (page.page_id, page.url, text, len(text), pid, 0) + (None,) * 6
-        side, near = (0 if before else FIRST) | (0 if after else LAST), before or after
-        return (page.page_id, page.url, None, None, pid, side, page.host, page.path, page.html, *((near.host, near.path, near.html) if near else (None,) * 3))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of sorted pages, range by range; pages that only stand by as neighbours give none."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    before = page = None
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+
+    def settle(before: tuple | None, here: tuple, after: tuple | None) -> list[tuple]:
+        number, own, page = here
+        if not own:
+            return []
+        near = [x[2] if x and x[0] == number else None for x in (before, after)]
+        text = _differenced(page, *near)
+        return [(page.page_id, page.url, text, len(text))]
+
+    before = here = None
     for batch in batches:
         rows = []
-        for i, u, h, p, x in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "_host", "_path", "html")), strict=True):
-            after = _Page(i, u, h, p, x, lines_of(x))
-            if page:
-                rows.append(row(before, page, after))
-            before, page = page, after
+        for number, own, i, u, h, p, x in zip(*(batch.column(n).to_pylist() for n in ("range", "own", "page_id", "url", "host", "path", "html")), strict=True):
+            after = (number, own, _Page(i, u, h, p, x, lines_of(x)))
+            if here:
+                rows += settle(before, here, after)
+            before, here = here, after
         if rows:
             yield batch_of(rows)
-    if page:
-        yield batch_of([row(before, page, None)])
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the first and last pages of ranges, given their neighbours in the ranges beside."""
-    for batch in batches:
-        texts = []
-        for r in batch.to_pylist():
-            other = lambda x, r=r: _Page(None, None, r[f"{x}_host"], r[f"{x}_path"], None, lines_of(r[f"{x}_html"])) if r[f"{x}_host"] is not None else None
-            before, after = other("b" if r["side"] & FIRST else "near"), other("a" if r["side"] & LAST else "near")
-            texts.append(_differenced(_Page(None, None, r["host"], r["path"], None, lines_of(r["html"])), before, after))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    if here:
+        yield batch_of(settle(before, here, None))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -228,18 +284,33 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Pages without a host (null or odd URLs) form a host of their own; a page that is alone
     in its host has no partner. Repeated rows are pages each. Other columns are left aside.
+
+    The order of pages is parted into ranges at keys that are sampled once, so that ranges stay the same however often a task is run
+    again. Each range also gets the last page before it and the first page behind it.
     """
+    spark = pages.sparkSession
+    text_batches(spark)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_replace("url", r"(?d)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*", ""), F.lit(""))
-    located = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("_host"), path.alias("_path"))
-    order = [F.asc("_host"), F.asc("_path"), F.asc_nulls_first("url"), F.asc_nulls_last("page_id"), F.xxhash64("html").asc()]
-    ranges = located.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = durable(ranges.mapInArrow(_sorted_pages, f"{_OUT}, {_EDGE}"), "pages-sorted")
-    names = ["page_id", "url", "text", "n_chars"]
-    edges = out.where("side > 0")
-    # One number for each task of the sort.
-    held = sorted(r["pid"] for r in edges.select("pid").distinct().collect())
-    beside = pages.sparkSession.createDataFrame(list(zip(held, [-1, *held], [*held[1:], -1], strict=False)), "pid int, prior int, following int")
-    side = lambda bit, name, key: edges.where(F.col("side").bitwiseAND(bit) != 0).select(F.col("pid").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "html")])
-    met = edges.join(F.broadcast(beside), "pid").join(side(LAST, "b", "prior"), "prior", "left").join(side(FIRST, "a", "following"), "following", "left")
-    return out.where("side = 0").select(*names).unionByName(met.mapInArrow(_settled, _OUT))
+    key = F.concat_ws("\u0000", "host", "path", F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex(F.xxhash64("html")))
+    located = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path")).withColumn("key", key)
+    n_pages = located.count()
+    share = min(1.0, SAMPLED_KEYS / max(1, n_pages))
+    picked = located.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").distinct()
+    keys = sorted(r[0] for r in picked.limit(2 * SAMPLED_KEYS).collect())
+    n_ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, x) for x in k], dtype="int32")
+
+    dealt = located.withColumn("range", range_of("key"))
+    # The first and last page of each range: at most two a range, whose keys the driver pairs with the ranges beside.
+    ends = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.min("key"), F.max("key")).collect())
+    beside = [(first, r) for (r, _, _), (_, first, _) in zip(ends, ends[1:], strict=False)] + [(last, r) for (_, _, last), (r, _, _) in zip(ends, ends[1:], strict=False)]
+    names = ["page_id", "url", "html", "host", "path", "key"]
+    guests = located.join(F.broadcast(spark.createDataFrame(beside, "key string, range int")), "key").dropDuplicates(["key", "range"]).select(*names, "range", F.lit(False).alias("own"))
+    rows = dealt.select(*names, "range", F.lit(True).alias("own")).unionByName(guests)
+    ordered = rows.repartition("range").sortWithinPartitions("range", "key", "own")
+    return ordered.select("range", "own", "page_id", "url", "host", "path", "html").mapInArrow(_texts, _OUT)

@@ -544,9 +544,35 @@ def test_html_lines():
     assert html_diff.main_text(html_diff.lines_of("plain <b>text"), None) == "plain text"
 
 
-def test_common_lines():
+def test_html_attributes():
+    page = '<p title="5" tall">Hello world</p><p class="x">b</p><p title=\'a>b\' data-x="<i>">c</p>'
+    assert html_diff.main_text(html_diff.lines_of(page), None) == "Hello world\nb\nc"
+    # An article is main text whatever its own classes, and inside a page-wide form.
+    for open_, close in (('<article class="post related-x">', "</article>"), ('<form class="widget"><main>', "</main></form>")):
+        assert html_diff.main_text(html_diff.lines_of(f"<div>menu</div>{open_}<p>text</p><div class=share>no</div>{close}"), None) == "text"
+    assert html_diff.lines_of("<div hidden><article>no</article></div>") == [html_diff.Line("no", False, True)]
+
+
+@pytest.mark.parametrize("row_bits", [1 << 28, 40])
+def test_common_lines(monkeypatch, row_bits):
+    monkeypatch.setattr(html_diff, "_ROW_BITS", row_bits)
     assert html_diff.common_lines(list("abcbd"), list("bcdb")) in ({1, 2, 4}, {1, 2, 3})
     assert html_diff.common_lines([], ["a"]) == set()
+    rng = random.Random(14)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+        got = [a[i] for i in sorted(html_diff.common_lines(a, b))]
+        rest = iter(b)
+        assert len(got) == length[-1][-1] and all(x in rest for x in got)
+
+
+def test_many_equal_lines():
+    a, b = ["x"] * 20_000 + ["a"], ["y"] + ["x"] * 19_000 + ["b", "x"]
+    assert len(html_diff.common_lines(a, b)) == 19_001
 
 
 def test_page_differencing(spark):
