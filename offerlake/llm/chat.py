@@ -23,6 +23,7 @@ _TURN = "struct<turn:bigint,role:string,text:string>"
 class Layout:
     """paths: the field paths that such a row holds, array elements as []; optional: paths that may be missing.
 
+    A layout of rows applies to tables that have its turn column, whatever a row of them holds.
     turns: for a flat layout the (role, column) pairs in order; for a list layout ("list column", role field, text field).
     """
 
@@ -36,7 +37,7 @@ class Layout:
 
 #: Declarative mappings; a row that fits none yields no turns (see to_turns).
 LAYOUTS = (
-    Layout("turn rows", ("turn",), ("role", "text"), row=("turn", "role", "text")),
+    Layout("turn rows", (), ("turn", "role", "text"), row=("turn", "role", "text")),
     Layout("messages", ("messages", "messages[].role"), ("messages[].content",), listed=("messages", "role", "content")),
     Layout("conversations", ("conversations", "conversations[].from"), ("conversations[].value",), listed=("conversations", "from", "value")),
     Layout("instruction", ("instruction", "output"), ("input", "system"), flat=(("system", "system"), ("user", "instruction"), ("user+", "input"), ("assistant", "output"))),
@@ -97,7 +98,7 @@ def _role(c: Column) -> Column:
 
 def _turns(df: DataFrame, layout: Layout) -> Column | None:
     """array<struct<turn,role,text>> by the layout; None if the schema can't hold it."""
-    if any(_presence(df.schema, p) is None for p in layout.paths):
+    if any(_presence(df.schema, p) is None for p in (*layout.paths, *(layout.row or ())[:1])):
         return None
     text = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name in df.columns else F.lit("")
     if layout.row:
@@ -129,8 +130,9 @@ def _turns(df: DataFrame, layout: Layout) -> Column | None:
 def to_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of rows in any of the known layouts.
 
-    Null roles and texts are empty; a row that fits no layout (such as one whose turn is null) gives no turn, and
-    unmatched(df) returns such rows. Extra columns are left aside; layouts may differ from row to row.
+    Null roles and texts are empty, a null turn stays null (and comes first, see format_chats); a row that fits no layout gives no
+    turn, and unmatched(df) returns such rows. Extra columns are left aside; layouts may differ from row to row. Repeated rows are
+    turns each. Empty table: no rows.
     """
     picked = F.lit(None).cast(f"array<{_TURN}>")
     for layout in LAYOUTS:
@@ -142,7 +144,7 @@ def to_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 def unmatched(df: DataFrame) -> DataFrame:
     """The rows whose fingerprint no layout has."""
-    known = [f for x in LAYOUTS for f in _variants(x)]
+    known = [f for x in LAYOUTS if _turns(df, x) is not None for f in _variants(x)]
     return df.where(~schema_fingerprint(df).isin(known))
 
 

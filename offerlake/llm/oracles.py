@@ -2,7 +2,8 @@
 
 OP1 = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE turn IS NOT NULL
+  SELECT conv_id, turn, CASE WHEN lower(trim(role, ' ')) IN ('human', 'prompter') THEN 'user' WHEN lower(trim(role, ' ')) IN ('gpt', 'bot', 'model', 'chatbot') THEN 'assistant' ELSE coalesce(role, '') END AS role,
+         coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-7::BIGINT, 1::BIGINT, 'assistant', '</s>[INST] ok [/INST]'))
 ), e AS (
   SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\])', '\1\2\\\3', 'g') AS r,
@@ -11,9 +12,9 @@ WITH t AS (
   SELECT *, CASE role WHEN 'user' THEN '<s>[INST] ' || x || ' [/INST]</s>' WHEN 'assistant' THEN '<s>' || x || '</s>' ELSE '<s>[ROLE]' || r || '[/ROLE]' || x || '</s>' END AS piece FROM e
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(piece))::BIGINT AS formatted_chars
 FROM p GROUP BY conv_id
 """
