@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import durable
+from .store import durable, unused
 
 BROADCAST_SOURCES = 100_000
 
@@ -70,17 +70,21 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None = None
     return wanted.select("source", (F.col("w") * F.lit(scale) / F.col("n")).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, size: float = 1.0, temperature: float = 0.5, seed: int = 17, partitions: int | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, size: float = 1.0, temperature: float = 0.5, seed: int = 17, partitions: int | None = None, source_col: str = "source") -> DataFrame:
     """docs with each row repeated Poisson-many times, plus copy (from 0), shuffled globally.
 
     The columns of docs stay as they are, other names included; a column named copy is replaced. Rows that repeat a doc_id get
-    equal counts; null doc_ids share one hash. No rows, or no weight on any source there: no rows. The result depends on data
-    and seed alone. The rates, one row per source, are broadcast up to BROADCAST_SOURCES of them, and joined by shuffle beyond.
+    equal counts; null doc_ids share one count, and their texts place them. No rows, or no weight on any source there: no rows. The
+    result depends on data and seed alone. The rates, one row per source, are broadcast up to BROADCAST_SOURCES of them, and
+    joined by shuffle beyond.
     """
-    rates = repetition_rates(docs, weights, size, temperature).withColumnRenamed("source", "_source")
+    docs = docs.drop("copy")
+    source, rate, count, place = (unused(docs, x) for x in ("mixed_source", "rate", "count", "place"))
+    rates = repetition_rates(docs, weights, size, temperature, source_col).select(F.col("source").alias(source), F.col("rate").alias(rate))
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    counted = docs.drop("copy").join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_count", poisson_count(hashed_uniform(seed, "doc_id"), F.col("rate")))
-    copies = counted.where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_source", "rate", "_count")
-    copies = copies.withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    dealt = copies.repartition("_place") if partitions is None else copies.repartition(partitions, "_place")
-    return dealt.sortWithinPartitions("_place", "doc_id", "copy").drop("_place")
+    counted = docs.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(source))).withColumn(count, poisson_count(hashed_uniform(seed, "doc_id"), F.col(rate)))
+    copies = counted.where(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(source, rate, count)
+    told = [F.col("doc_id"), F.col("copy"), *([F.col("text")] if "text" in docs.columns else [])]
+    copies = copies.withColumn(place, F.xxhash64(F.lit(seed), *told))
+    dealt = copies.repartition(place) if partitions is None else copies.repartition(partitions, place)
+    return dealt.sortWithinPartitions(place, "doc_id", "copy").drop(place)
