@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import text_batches
+from .store import durable, text_batches, unused
 from .textblocks import ALPHANUMERIC, blocks, mix, word_hashes
 
 WINDOW = 10
@@ -30,12 +30,8 @@ _SHARD_BYTES = 1 << 19
 _TABLE_BITS = 20
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
 
-_ADDED = [
-    T.StructField("_n_words", T.LongType()),
-    T.StructField("_n_hit", T.LongType()),
-    T.StructField("_ranges", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("_matches", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "doc_word", "item_word", "n_words")]))),
-]
+_RANGES = T.ArrayType(T.ArrayType(T.LongType()))
+_MATCHES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "doc_word", "item_word", "n_words")]))
 
 
 def _start_hash(words: np.ndarray, n: int) -> np.ndarray:
@@ -167,51 +163,71 @@ def find_matches(texts: pa.Array, test: TestWindows) -> tuple[list, list, list]:
     return n_words, ranges, matches
 
 
-def _merged(ranges: list) -> list:
-    out: list = []
+def _merged_size(ranges: list) -> int:
+    """Words in the union of ranges."""
+    size, reached = 0, 0
     for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+        size += max(0, b - max(a, reached))
+        reached = max(reached, b)
+    return size
+
+
+def _windows_of(items: DataFrame, window: int) -> TestWindows:
+    rows = items.orderBy("item_id", "text").collect()  # at most about BENCHMARK_BLOCK_BYTES
+    return TestWindows.build(np.array([r[0] for r in rows], np.int64), pa.array([r[1] for r in rows], pa.large_string()), window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _n_words, _n_hit and _matches array<struct<item_id, doc_word, item_word, n_words>>.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, names: tuple[str, str, str] = ("_n_words", "_n_hit", "_matches")) -> DataFrame:
+    """docs with three columns: the words, the words hit, and array<struct<item_id, doc_word, item_word, n_words>> of longest matches.
 
     A window is `window` words in a row of an item, or the whole of a shorter one; words are compared as in
     textblocks.ALPHANUMERIC, lower-cased. A null or empty text has no words; an item without words has no window; items with a
     null item_id are left out; items that repeat an id count as one id. Rows of docs stay one for one, whatever their ids;
-    columns of docs with the three names are replaced. An empty benchmark: no hits.
+    columns of docs with those names are replaced. An empty benchmark: no hits.
+
+    A benchmark beyond BENCHMARK_BLOCK_BYTES is taken in blocks, one pass over the texts for each; a pass writes its hits only.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BENCHMARK_BLOCK_BYTES))
-    out = docs.drop("_n_words", "_n_hit", "_ranges", "_matches")
-    names = out.columns
-    bare = out.schema
-    for i in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i)
-        rows = block.orderBy("item_id", "text").collect()  # at most about BENCHMARK_BLOCK_BYTES
-        test = spark.sparkContext.broadcast(TestWindows.build(np.array([r[0] for r in rows], np.int64), pa.array([r[1] for r in rows], pa.large_string()), window))
+    out = docs.drop(*names)
+    added = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], _MATCHES)]
+    if n_blocks == 1:
+        test = spark.sparkContext.broadcast(_windows_of(items, window))
 
-        def scan(batches: Iterator[pa.RecordBatch], test=test, again=i > 0) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n_words, ranges, matches = find_matches(batch.column("text"), test.value)
-                if again:
-                    ranges = [_merged([*x, *y]) for x, y in zip(batch.column("_ranges").to_pylist(), ranges, strict=True)]
-                    matches = [[*x, *y] for x, y in zip(batch.column("_matches").to_pylist(), matches, strict=True)]
-                n_hit = [sum(b - a for a, b in x) for x in ranges]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in names], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(matches, _MATCH)],
-                    names=[*names, "_n_words", "_n_hit", "_ranges", "_matches"],
-                )
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(map(_merged_size, ranges), pa.int64()), pa.array(matches, _MATCH)], names=[*batch.schema.names, *names])
 
-        out = out.mapInArrow(scan, T.StructType([*bare.fields, *_ADDED]))
-    return out.drop("_ranges")
+        return out.mapInArrow(scan, T.StructType([*out.schema.fields, *added]))
+    row, ranges_of = unused(out, "row"), unused(out, "ranges")
+    numbered = durable(out.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    hits = None
+    for i in range(n_blocks):
+        test = spark.sparkContext.broadcast(_windows_of(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i), window))
+
+        def find(batches: Iterator[pa.RecordBatch], test=test, first=i == 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_words, ranges, matches = find_matches(batch.column("text"), test.value)
+                keep = pa.array([first or bool(r) for r in ranges], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(row), pa.array([n if first else 0 for n in n_words], pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(matches, _MATCH)], names=[row, names[0], ranges_of, names[2]]).filter(keep)
+
+        found = T.StructType([T.StructField(row, T.LongType()), added[0], T.StructField(ranges_of, _RANGES), added[2]])
+        part = durable(numbered.select(row, "text").mapInArrow(find, found), "decontam-hits")
+        test.destroy()
+        hits = part if hits is None else hits.union(part)
+    # A text's hits are bounded by its own length and the items that share its words.
+    gathered = hits.groupBy(row).agg(F.sum(names[0]).alias(names[0]), F.flatten(F.collect_list(ranges_of)).alias(ranges_of), F.flatten(F.collect_list(names[2])).alias(names[2]))
+    reached = F.aggregate(
+        F.array_sort(ranges_of),
+        F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("end")),
+        lambda s, r: F.struct((s["size"] + F.greatest(F.lit(0).cast("long"), r[1] - F.greatest(r[0], s["end"]))).alias("size"), F.greatest(s["end"], r[1]).alias("end")),
+        lambda s: s["size"],
+    )
+    return numbered.join(gathered.select(row, names[0], reached.alias(names[1]), names[2]), row).drop(row)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -229,5 +245,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without any hit, all columns as they were."""
-    return contamination(docs, benchmark, window).where("_n_hit = 0").select(*docs.columns)
+    """The rows of docs without any hit, all columns as they were, whatever their names."""
+    names = tuple(unused(docs, n) for n in ("n_words", "n_hit", "matches"))
+    return contamination(docs, benchmark, window, names).where(F.col(names[1]) == 0).drop(*names)
