@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 5)
 #: Texts that the network is fitted on, of each language, at most about; and windows of one text, spread over it.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1500, 6
+#: Languages that are learned, the most frequent ones, and texts of all of them, at most about: what the driver fits on is bounded.
+LANGUAGES, TEXTS = 200, 60_000
 _AT_ONCE = 512
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -125,17 +127,22 @@ class ByteNetwork:
 def fit(docs: DataFrame, train: Column, texts: int = TEXTS_PER_LANGUAGE) -> ByteNetwork | None:
     """A network for the non-null lang values of the rows where train holds; None if there are no such rows.
 
-    A language of more rows than texts is sampled by a hash of the text, and each text gives WINDOWS_PER_TEXT windows.
+    The LANGUAGES most frequent values are learned. A language of more rows than texts is sampled by a hash of doc_id and text, rows
+    that repeat both counting once, and each text gives about WINDOWS_PER_TEXT windows. The sample is bounded, however rows repeat.
     """
     text_batches(docs.sparkSession)
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect())
-    if not counts:
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(31), "doc_id", "text").alias("_place"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    known = sorted((r[0], r[1]) for r in counts.collect())
+    if not known:
         return None
-    share = F.lit(0.0)
-    for language, n in counts:
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, texts / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.lit(31), "text"), F.lit(1 << 30)) / float(1 << 30)
+    texts = max(1, min(texts, TEXTS // len(known)))
+    # One row for each language, at most LANGUAGES.
+    shares = docs.sparkSession.createDataFrame([(language, min(1.0, 2 * texts / n)) for language, n in known], "lang string, share double")
+    unit = F.pmod(F.col("_place"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).drop("share").dropDuplicates(["lang", "_place"])
+    first = Window.partitionBy("lang").orderBy("_place")
+    drawn = drawn.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= texts).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +154,9 @@ def fit(docs: DataFrame, train: Column, texts: int = TEXTS_PER_LANGUAGE) -> Byte
                 pick = place % np.maximum(1, spread) == 0
                 yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(lo + doc[pick])), pa.array([x.tobytes() for x in w[pick]], pa.binary())], names=["lang", "window"])
 
-    got = rows.where(unit < share).mapInArrow(cut, T.StructType([T.StructField("lang", T.StringType()), T.StructField("window", T.BinaryType())])).toArrow()
+    got = drawn.mapInArrow(cut, T.StructType([T.StructField("lang", T.StringType()), T.StructField("window", T.BinaryType())])).toArrow()
     got = got.sort_by([("lang", "ascending"), ("window", "ascending")])
-    languages = [x for x, _ in counts if x in set(got.column("lang").to_pylist())]
+    languages = [x for x, _ in known if x in set(got.column("lang").to_pylist())]
     if not languages:
         return None
     network = ByteNetwork.new(languages)
