@@ -1,21 +1,26 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Vectors are sparse rows of integer weights by dimension ("term"). Queries and candidates meet in a grid of
-bounded blocks: each (query block, candidate block) cell is one group. In a cell, the postings of each term are
-scattered, weighted, into a dense score array; a partition selection keeps k for each query, and the partial lists
-of all cells are merged in a window. No cell grows with the data: more rows make more cells.
+Vectors are sparse rows of integer weights by dimension ("term"). Queries are taken in blocks of bounded size, one pass over the
+candidates for each: the block's postings are broadcast, and a task takes its candidates in runs of bounded size. For each run the
+postings of each term are scattered, weighted, into a dense score array; a partition selection keeps k for each query. A task hands
+on its k best for each query, and the partial lists of all tasks are merged in a window. Candidates aren't shuffled or repeated.
 """
 
 from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from .store import durable
+
+#: Queries of one pass, about, and candidates whose scores a task holds at once.
+QUERY_BLOCK = 16384
 CANDIDATE_BLOCK = 4096
 _QUERIES_AT_ONCE = 512
 _SCHEMA = "query_id long, vec_id long, score long"
@@ -101,25 +106,48 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in x], dtype=np.int64) if x.dtype == object else x.astype(np.int64)
 
 
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query out of partial lists."""
+    query, vec, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((vec, -score, query)) if score.dtype != object else np.array(sorted(range(len(query)), key=lambda i: (query[i], -score[i], vec[i])), np.int64)
+    query = query[order]
+    start = np.ones(len(query), dtype=bool)
+    start[1:] = query[1:] != query[:-1]
+    first = np.flatnonzero(start)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    order = order[place < k]
+    return query[place < k], vec[order], score[order]
+
+
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest integer inner product for each query.
 
     Both inputs have vec_id and weights (see quantise). A candidate with the query's own id is left out. Ties go to the
     smaller vec_id; a missing dimension counts as 0; fewer than k candidates give fewer rows; repeated rows with one id
-    are candidates each, and a repeated query id is answered once. Either input empty: no rows.
+    are candidates each. A repeated query id is answered once, by the smallest of its vectors. Either input empty: no rows.
     """
-    queries = queries.dropDuplicates(["vec_id"])
-    n_q, n_c = queries.count(), candidates.count()
-    q_blocks, c_blocks = max(1, math.ceil(n_q / QUERY_BLOCK)), max(1, math.ceil(n_c / CANDIDATE_BLOCK))
-    # Queries are unique by id, so a hash spreads them; candidates may repeat, so they are dealt by their place in the scan.
-    q = queries.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    c = candidates.select("vec_id", "weights", (F.monotonically_increasing_id() % c_blocks).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-
-    def cell(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = best_in_block(_rows(left), _rows(right), k) if len(left) and len(right) else []
-        pick = lambda i: np.concatenate([_as_long(x[i]) for x in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"query_id": pick(0), "vec_id": pick(1), "score": pick(2)})
-
-    partial = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(cell, _SCHEMA)
+    spark = queries.sparkSession
+    queries = queries.groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    partial = None
+    for i in range(n_blocks):
+        block = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i)
+        shared = spark.sparkContext.broadcast(_rows(block.orderBy("vec_id").toArrow()))  # about QUERY_BLOCK vectors
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: list = []
+            for batch in batches:
+                for at in range(0, len(batch), CANDIDATE_BLOCK):
+                    best += best_in_block(shared.value, _rows(pa.Table.from_batches([batch.slice(at, CANDIDATE_BLOCK)])), k)
+                    best = [_best(best, k)] if best else []
+            if best:
+                query, vec, score = best[0]
+                yield pa.RecordBatch.from_arrays([pa.array(_as_long(x)) for x in (query, vec, score)], names=["query_id", "vec_id", "score"])
+
+        found = candidates.select("vec_id", "weights").mapInArrow(scan, _SCHEMA)
+        if n_blocks > 1:
+            found = durable(found, "topk-partial")
+            shared.destroy()
+        partial = found if partial is None else partial.union(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,12 +66,12 @@ def test_chat_round_trip(spark):
     rng = random.Random(1)
     bits = ["<s>", "</s>", "[INST]", " [/INST]", "[ROLE]", "[/ROLE]", "\\", "<", "[", "x", "\n", "é", "<\\s>", "<\\\\/s>", "", " "]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "to[ROLE]ol", None]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))])) for c in range(30) for t in range(rng.randint(1, 5))]
-    rows += [(99, 0, "user", "same"), (99, 0, "user", "same"), (98, None, "user", "no turn")]
+    rows += [(99, 0, "user", "same"), (99, 0, "user", "same"), (98, None, "user", "no turn"), (97, 3, "user", "later"), (97, None, None, None), (97, None, "assistant", "first"), (None, 1, "user", "no id")]
     turns = chat.to_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")))
     formatted = chat.format_chats(turns)
     back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in formatted.select("conv_id", chat.parse_chat(F.col("formatted")).alias("turns")).collect()}
     want = {}
-    for c, t, role, text in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2] or "", r[3] or "") if r[0] is not None else (False, 0, r[1] is not None, r[1], r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
     assert back == want
     for r in formatted.collect():
@@ -84,6 +84,12 @@ def test_chat_round_trip(spark):
         assert digest[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
 
 
+def test_no_chats(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(chat.to_turns(none)).count() == 0
+    assert chat.unmatched(none).count() == 0
+
+
 def test_layouts(spark):
     rows = [
         '{"id":1,"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}',
@@ -124,10 +130,22 @@ def test_top_k(spark):
     for q, w in ((i, w) for i, w in kept if i % 50 == 0):
         best = sorted(((-sum(a * b for a, b in zip(w, e, strict=False)), i) for i, e in kept if i != q))[:5]
         assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
+    twice = v.union(v.where("vec_id = 50").withColumn("weights", F.expr("transform(weights, x -> -1000L)")))
+    again = {r["rank"]: r["vec_id"] for r in topk.exact_top_k(twice.where("vec_id = 50"), v, 5).collect()}
+    assert again == {r["rank"]: r["vec_id"] for r in topk.exact_top_k(twice.where("vec_id = 50 and weights[0] = -1000"), v, 5).collect()}
     assert topk.exact_top_k(v.limit(0), v).count() == 0
     assert topk.exact_top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = topk.quantise(spark.createDataFrame([(i, [float(x) for x in rng.integers(-9, 9, 5) / 256]) for i in range(300)], "vec_id long, embedding array<double>"))
+    want = sorted(map(tuple, topk.exact_top_k(v, v, 3).collect()))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 70)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    assert sorted(map(tuple, topk.exact_top_k(v, v, 3).collect())) == want and len(want) == 900
+
+
 def test_top_k_beyond_doubles():
     big = (np.array([1, 2]), np.array([0, 1]), np.array([0, 0]), np.array([1 << 40, 3], dtype=np.int64))
     found = topk.best_in_block(big, big, 2)
@@ -158,8 +176,16 @@ def test_poisson_inverse():
 def test_mixing(spark):
     rows = [(i, "t", "a" if i % 3 else None) for i in range(900)] + [(5, "t", "a")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("clash")).withColumn("rate", F.lit("x"))
-    d = d.withColumnRenamed("rate", "kept")
+    for clash in ("count", "place", "mixed_source", "_count", "_place", "_source"):
+        d = d.withColumn(clash, F.lit("kept"))
+    assert mixing.mix_sources(d, {"a": 1.0}).columns == [*d.drop("copy").columns, "copy"]
+    by_other = mixing.mix_sources(d.withColumn("kind", F.col("source")).withColumn("source", F.lit(7)), {"a": 1.0}, source_col="kind").collect()
     got = mixing.mix_sources(d, {"a": 1.0}).collect()
+    assert sorted(r["doc_id"] for r in by_other) == sorted(r["doc_id"] for r in got)
+    assert {(r["rate"], r["_count"], r["place"]) for r in got} == {("x", "kept", "kept")}
+    no_ids = mixing.mix_sources(d.withColumn("doc_id", F.lit(None).cast("long")), size=3.0).collect()
+    sizes = Counter("a" if i % 3 else None for i in range(900)) + Counter("a")
+    assert all(n % sizes[source] == 0 for source, n in Counter(r["source"] for r in no_ids).items())
     counts = Counter(r["doc_id"] for r in got)
     assert {r["source"] for r in got} == {"a"}
     assert 800 < len(got) < 1000
@@ -214,8 +240,11 @@ def test_decontamination(spark):
         assert Counter(tuple(r) for r in decontam.contamination_report(d, b).collect()) == want
     finally:
         decontam.BENCHMARK_BLOCK_BYTES = old
+    for clash in ("_ranges", "_matches", "_n_words", "n_hit"):
+        d = d.withColumn(clash, F.lit("kept"))
     clean = decontam.decontaminate(d, b)
     assert clean.columns == d.columns
+    assert {(r["_ranges"], r["_matches"], r["_n_words"], r["n_hit"], r["_n_hit"]) for r in clean.collect()} == {("kept", "kept", "kept", "kept", "clash")}
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, x in rows if not brute(x)[-1])
     assert decontam.decontaminate(d, b.limit(0)).count() == len(rows)
     assert decontam.contamination_report(d.limit(0), b).count() == 0
@@ -365,12 +394,47 @@ def test_nnpu_learns(spark):
     assert toxicity.toxicity_report(d.limit(0), table).count() == 0
 
 
+def test_risk_and_its_gradient():
+    """The non-negative risk by its definition, and its gradient by differences; the step turns where the corrected part is negative."""
+    rng = np.random.default_rng(3)
+    texts = lambda n: [np.unique(rng.integers(0, 6, rng.integers(0, 5))) for _ in range(n)]
+    positive, unlabelled = texts(9), texts(14)
+    w = rng.standard_normal(7)
+    loss = lambda text, sign: math.log1p(math.exp(-sign * (w[text].sum() + w[-1])))
+    for prior in (0.05, 0.999):
+        if prior > 0.9:
+            w, unlabelled = np.append(np.abs(w[:-1]) * 5, -4.0), [np.zeros(0, np.int64)] * 14
+        up = prior * np.mean([loss(x, 1) for x in positive])
+        rest = np.mean([loss(x, -1) for x in unlabelled]) - prior * np.mean([loss(x, -1) for x in positive])
+        value, gradient = toxicity.risk(w, positive, unlabelled, prior)
+        assert abs(value - (up + max(0.0, rest))) < 1e-9
+        part = (lambda: toxicity.risk(w, positive, unlabelled, prior)[0]) if rest >= 0 else (lambda: -(np.mean([loss(x, -1) for x in unlabelled]) - prior * np.mean([loss(x, -1) for x in positive])))
+        for i in range(len(w)):
+            w[i] += 1e-6
+            above = part()
+            w[i] -= 2e-6
+            below = part()
+            w[i] += 1e-6
+            assert abs((above - below) / 2e-6 - gradient[i]) < 1e-5
+    assert rest < 0
+
+
+def test_few_toxic_examples(spark):
+    rng = random.Random(15)
+    rows = [(i, text_of(rng, 30) + (" vile" if i in (1, 2, 3) else "")) for i in range(300)]
+    table = spark.createDataFrame([(i, int(i in (1, 2, 3))) for i in range(0, 200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_report(docs(spark, [*rows, (400, "so vile")]), table).collect()}
+    assert [i for i, p in got.items() if p] == [1, 2, 3, 400]
+
+
 def test_language(spark):
     rng = random.Random(8)
     words = {"aa": ["kala", "mana", "tila", "sora"], "bb": ["stöß", "größ", "übel", "weiß"]}
     rows = [(i, " ".join(rng.choice(words["aa" if i % 2 else "bb"]) for _ in range(rng.randint(1, 60))), "aa" if i % 2 else "bb") for i in range(400)]
     rows += [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !", "bb"), (1003, "kala mana tila", None)]
+    rows += [(5, rows[5][1], "aa")] * 50 + [(None, "kala mana", "aa")] * 50
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_lang", F.lit("clash"))
+    assert langid.language_report(d).count() == len(rows)
     got = {r["doc_id"]: r for r in langid.language_report(d).collect()}
     assert sum(got[i]["lang_pred"] == ("aa" if i % 2 else "bb") for i in range(400)) > 395
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"]
@@ -379,6 +443,20 @@ def test_language(spark):
     assert langid.language_report(d.limit(0)).count() == 0
 
 
+def test_network_learns_what_it_is_shown():
+    """Fitting lowers the cross-entropy of the windows it is fitted on."""
+    rng = np.random.default_rng(9)
+    windows, target = rng.integers(1, 256, (12, langid.WINDOW)).astype(np.uint8), np.arange(12) % 3
+    network = langid.ByteNetwork.new(["a", "b", "c"], e=2, f=3)
+
+    def loss() -> float:
+        return float(-np.log(network.probabilities(windows)[np.arange(12), target]).mean())
+
+    before = loss()
+    network.fit(windows, target, steps=60, batch=12)
+    assert loss() < 0.5 * before
+
+
 def test_windows_hold_all_bytes():
     data, at = textblocks.utf8(pa.array(["x" * 300, "", "ab"]))
     w, doc, held = langid.windows_of(data, at)
@@ -524,6 +602,71 @@ def test_repeated_passages(spark):
     assert compact_windows.passage_pairs(d.limit(0)).count() == 0
 
 
+def test_recall_of_near_duplicate_passages(spark):
+    """Of passages planted between strange words, with word edits, those whose shingle sets are 0.8 or more alike are found."""
+    rng = random.Random(21)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    own = lambda n: [next(fresh) for _ in range(n)]
+    rows, planted, shingle = [], [], lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    common = own(12)
+    for g in range(150):
+        base = own(rng.choice([60, 80, 150]))
+        other = list(base)
+        for p in rng.sample(range(len(base)), rng.randint(0, len(base) // 60 + 1)):
+            other[p] = next(fresh)
+        # A line that all documents hold makes strangers lead some buckets.
+        rows += [(2 * g, own(30) + base + common + own(30)), (2 * g + 1, own(9) + common + own(20) + other + own(25))]
+        x, y = shingle(base), shingle(other)
+        if len(x & y) >= 0.8 * len(x | y):
+            planted.append((2 * g + 1, 9 + 12 + 20, len(other)))
+    found = {}
+    for r in compact_windows.passage_pairs(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        assert r["of_doc_id"] == r["doc_id"] - 1
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    hit = sum(len(found.get(d, set()) & set(range(a, a + n))) >= 0.8 * n for d, a, n in planted)
+    assert len(planted) > 80 and hit >= 0.95 * len(planted)
+
+
+def test_variant_before_base(spark):
+    """The first of three is too far from the third, which repeats the second word for word."""
+    rng = random.Random(22)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    own = lambda n: [next(fresh) for _ in range(n)]
+    rows = []
+    for g in range(60):
+        base = own(60)
+        one, two = list(base), list(base)
+        one[20], two[40] = next(fresh), next(fresh)
+        rows += [(3 * g + i, " ".join(own(15) + w + own(15))) for i, w in enumerate((one, two, two))]
+    found = {(r["doc_id"], r["of_doc_id"]) for r in compact_windows.passage_pairs(docs(spark, rows)).collect() if r["end"] - r["start"] >= 58}
+    assert sum((3 * g + 2, 3 * g + 1) in found for g in range(60)) >= 57
+
+
+def test_long_texts(spark):
+    """Beyond 65 535 tokens and one block: a passage at the end of one long text that another begins with."""
+    words = [f"w{i}" for i in range(90_000)]
+    found = compact_windows.passage_pairs(docs(spark, [(1, " ".join(words)), (2, " ".join(words[-300:] + ["z"] * 20))])).collect()
+    covered = set().union(*[range(r["start"], r["end"]) for r in found if r["doc_id"] == 2])
+    assert covered == set(range(300))
+
+
+def test_crashes_of_old(spark):
+    """A doc_id with several texts and a null one, clashing columns, one word on end."""
+    rng = random.Random(23)
+    passage = text_of(rng, 60)
+    rows = [(1, passage), (2, passage + " " + text_of(rng, 9)), (2, None), (2, "short"), (2, passage + " " + text_of(rng, 9)), (3, "for " * 900), (4, passage), (4, passage)]
+    d = docs(spark, rows)
+    for clash in ("_passages", "ranges", "text_hash", "doc", "_hash", "wanted"):
+        d = d.withColumn(clash, F.lit("kept"))
+    left = compact_windows.drop_repeated_passages(d)
+    assert left.columns == d.columns
+    got = left.collect()
+    assert {(r["_passages"], r["ranges"]) for r in got} == {("kept", "kept")}
+    texts = Counter((r["doc_id"], r["text"]) for r in got)
+    assert texts[(1, passage)] == 1 and texts[(2, None)] == 1 and texts[(2, "short")] == 1 and not any(i == 4 for i, _ in texts)
+    assert all(len(x.split()) < 300 for i, x in texts if i == 3)
+
+
 def test_repeats_within_a_document(spark):
     rng = random.Random(12)
     passage = text_of(rng, 70)
