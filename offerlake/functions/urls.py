@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, null_if_empty, number_text, slug
+from .text import collapsed, let, null_if_empty, number_text, slug
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Query parameters that only track visits.
@@ -33,27 +33,42 @@ def query_string(url: Column) -> Column:
     return _part(url, 4)
 
 
-def _parameters(url: Column) -> Column:
-    """array<struct<name, value, i>> of the query string, in order."""
-    pairs = F.filter(F.split(query_string(url), "&"), lambda p: p != "")
-    return F.transform(pairs, lambda p, i: F.struct(F.split(p, "=", 2)[0].alias("name"), i.alias("i"), p.alias("pair")))
+def _parsed(url: Column, body) -> Column:
+    """body(scheme, host, path, parameters) of a valid URL, which is read once; null for others.
+
+    scheme and host are lower-cased, an empty path is /, parameters are array<struct<name, i, pair>> in order.
+    """
+    parts = F.split(F.regexp_replace(F.trim(url), _PARTS, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+
+    def made(p: Column) -> Column:
+        pairs = F.filter(F.split(p[3], "&"), lambda x: x != "")
+        parameters = F.transform(pairs, lambda x, i: F.struct(F.split(x, "=", 2)[0].alias("name"), i.alias("i"), x.alias("pair")))
+        return F.when(F.size(p) == 4, body(F.lower(p[0]), F.lower(p[1]), F.when(p[2] == "", "/").otherwise(p[2]), parameters))
+
+    return let(parts, made)
 
 
 def canonical_url(url: Column) -> Column:
     """Lower-cased host without www, no fragment, no trailing slashes, shop collection paths cut, no tracking, parameters by name."""
-    trimmed_path = F.regexp_replace(F.regexp_replace(path(url), "/+$", ""), r"^/collections/[^/]+(/products/[^/]+)$", "$1")
-    short = F.when(trimmed_path == "", "/").otherwise(trimmed_path)
-    kept = F.filter(_parameters(url), lambda p: ~F.lower(p["name"]).startswith("utm_") & ~F.lower(p["name"]).isin(*TRACKING))
-    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.when(p["pair"].contains("="), p["pair"]).otherwise(F.concat(p["pair"], F.lit("=")))), "&")
-    return F.concat(F.lower(_part(url, 1)), F.lit("://"), site(url), short, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    def made(scheme: Column, host: Column, path: Column, parameters: Column) -> Column:
+        short = F.regexp_replace(F.regexp_replace(path, "/+$", ""), r"^/collections/[^/]+(/products/[^/]+)$", "$1")
+        kept = F.filter(parameters, lambda p: ~F.lower(p["name"]).startswith("utm_") & ~F.lower(p["name"]).isin(*TRACKING))
+        query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.when(p["pair"].contains("="), p["pair"]).otherwise(F.concat(p["pair"], F.lit("=")))), "&")
+        return F.concat(scheme, F.lit("://"), F.regexp_replace(host, r"^www\.", ""), F.when(short == "", "/").otherwise(short), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    return _parsed(url, made)
 
 
 def normalized_url(url: Column) -> Column:
     """No fragment and no campaign parameters; an invalid URL as it is."""
-    kept = F.filter(_parameters(url), lambda p: ~F.lower(p["name"]).rlike("^(utm_|fbclid|gclid|yclid)"))
-    query = F.array_join(F.transform(kept, lambda p: p["pair"]), "&")
-    whole = F.concat(F.lower(_part(url, 1)), F.lit("://"), host(url), path(url), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.coalesce(whole, url)
+
+    def made(scheme: Column, host: Column, path: Column, parameters: Column) -> Column:
+        kept = F.filter(parameters, lambda p: ~F.lower(p["name"]).rlike("^(utm_|fbclid|gclid|yclid)"))
+        query = F.array_join(F.transform(kept, lambda p: p["pair"]), "&")
+        return F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    return F.coalesce(_parsed(url, made), url)
 
 
 def source_name(source: Column) -> Column:

@@ -151,9 +151,13 @@ def card_offers(pages: DataFrame) -> DataFrame:
     """Offers of the result pages of known shops: the first PER_PAGE cards of each page, the first of each url."""
     mine = pages.withColumn("shop", shop_of(F.col("finalUrl"))).where("shop is not null").select("url", "finalUrl", "html", "shop")
     cards = mine.mapInArrow(_read_cards, _CARD)
-    text = F.coalesce(null_if_empty(F.col("price_text")), F.col("card"))
-    found = _pick(lambda s: last_list_price(text) if s.mode == "last" else list_price(F.col("price_text") if s.host == "jdm.com.ua" else text) if s.mode == "first" else None)
-    number = _pick(lambda s: _digits(F.col("price_text")) if s.mode == "number" else F.coalesce(_digits(F.col("special")), list_price(F.col("price_text"))["amount"]) if s.mode == "special" else None)
+    # Each shop says which text its price stands in and how it is read; then one expression reads it.
+    mode, own_text = _pick(lambda s: F.lit(s.mode), "first"), _pick(lambda s: F.lit(True) if s.host == "jdm.com.ua" else None, False)
+    cards = cards.withColumn("_mode", mode).withColumn("_priced", F.when((F.col("_mode") == "special") | own_text, F.col("price_text")).otherwise(F.coalesce(null_if_empty(F.col("price_text")), F.col("card"))))
+    price = F.when(F.col("_mode") == "last", last_list_price(F.col("_priced"))).when(F.col("_mode").isin("first", "special"), list_price(F.col("_priced")))
+    cards = cards.withColumn("_read", price)
+    found = F.when(F.col("_mode").isin("first", "last"), F.col("_read"))
+    number = F.when(F.col("_mode") == "number", _digits(F.col("price_text"))).when(F.col("_mode") == "special", F.coalesce(_digits(F.col("special")), F.col("_read.amount")))
     amount = F.coalesce(number.cast("double"), found["amount"])
     amount = F.when(amount > 0, amount)
     card = F.lower(F.col("card"))

@@ -19,7 +19,11 @@ def short_title(title: Column) -> Column:
 
 
 def group_key(title: Column, brand: Column) -> Column:
-    family = first_family(model_codes(title))
+    return _key(title, brand, model_codes(title))
+
+
+def _key(title: Column, brand: Column, codes: Column) -> Column:
+    family = first_family(codes)
     maker = F.coalesce(brand, F.lit("unknown-brand"))
     return F.coalesce(F.concat(F.lit("model:"), maker, F.lit(":"), family), F.concat(F.lit("title:"), maker, F.lit(":"), short_title(title)))
 
@@ -41,23 +45,27 @@ def group_offers(offers: DataFrame) -> DataFrame:
     """
     brand = F.col("normalized.brand")
     identity = identity_key(F.col("url"), F.col("sourceSite"), F.col("seller"), F.col("title"), F.col("price"))
-    keyed = offers.withColumn("key", group_key(F.col("title"), brand)).withColumn("_identity", identity)
+    keyed = offers.withColumn("key", _key(F.col("title"), brand, F.col("normalized.codes"))).withColumn("_identity", identity)
     # Better offers sort lower.
     place = F.struct(-F.round("relevanceScore", 9), F.coalesce("price", F.lit(9007199254740991.0)), -F.col("confidence"), F.col("seq"))
     needed = F.struct("title", "url", "price", "currency", "specs", "normalized", "relevanceScore", source_name(F.col("sourceSite")).alias("source"), seller_name(F.col("seller"), F.col("sourceSite")).alias("seller"))
     once = keyed.withColumn("_place", place).groupBy("key", "_identity").agg(F.min_by(needed, "_place").alias("o"), F.min("_place").alias("_place"))
-    finite = F.when(~F.isnan("o.price"), F.col("o.price"))
-    facts = once.groupBy("key").agg(F.count(F.lit(1)).alias("offerCount"), F.min(finite).alias("minPrice"), F.max(finite).alias("maxPrice"), F.min_by("o", "_place").alias("best"))
-    tagged = once.select("key", "_place", F.inline(F.array(
-        F.struct(F.lit("source").alias("kind"), F.col("o.source").alias("v")), F.struct(F.lit("seller").alias("kind"), F.col("o.seller").alias("v")), F.struct(F.lit("currency").alias("kind"), F.nullif("o.currency", F.lit("")).alias("v")),
-    ))).where("v is not null")
-    codes = once.select("key", "_place", F.posexplode("o.normalized.modelCodes").alias("i", "v")).select("key", F.struct("_place", "i").alias("_place"), F.lit("code").alias("kind"), "v")
-    values = tagged.withColumn("_place", F.struct("_place", F.lit(0).alias("i"))).select("key", "_place", "kind", "v").unionByName(codes)
-    firsts = values.groupBy("key", "kind", "v").agg(F.min("_place").alias("p"), F.count(F.lit(1)).alias("n"))
+    # One pass: each offer gives a row for the family as a whole and one for each value that the family lists.
+    value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"), F.lit(0).alias("i"))
+    single = F.array(value("family", F.lit("")), value("source", F.col("o.source")), value("seller", F.col("o.seller")), value("currency", F.nullif("o.currency", F.lit(""))))
+    codes = F.transform(F.coalesce("o.normalized.modelCodes", F.array().cast("array<string>")), lambda c, i: F.struct(F.lit("code").alias("kind"), c.alias("v"), i.alias("i")))
+    values = once.select("key", "_place", "o", F.inline(F.concat(single, codes))).where("v is not null")
+    whole = F.col("kind") == "family"
+    finite = F.when(whole & ~F.isnan("o.price"), F.col("o.price"))
+    firsts = values.groupBy("key", "kind", "v").agg(F.min(F.struct("_place", "i")).alias("p"), F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.min_by(F.when(whole, F.col("o")), "_place").alias("best"))
     of = lambda kind: _in_order(F.when(F.col("kind") == kind, F.struct("p", "v")))
-    lists = firsts.groupBy("key").agg(of("source").alias("sources"), of("seller").alias("sellers"), of("code").alias("modelCodes"), F.min_by("v", F.when(F.col("kind") == "currency", F.struct(-F.col("n"), F.col("p")))).alias("currency"))
+    currency = F.min_by("v", F.when(F.col("kind") == "currency", F.struct(-F.col("n"), F.col("p"))))
+    joined = firsts.groupBy("key").agg(
+        F.max(F.when(whole, F.col("n"))).alias("offerCount"), F.min("lo").alias("minPrice"), F.max("hi").alias("maxPrice"), F.first("best", ignorenulls=True).alias("best"),
+        of("source").alias("sources"), of("seller").alias("sellers"), of("code").alias("modelCodes"), currency.alias("currency"),
+    )
     family = first_family(F.col("best.normalized.codes"))
-    joined = facts.join(lists, "key", "left").withColumn("modelKey", family).withColumn("brand", F.col("best.normalized.brand"))
+    joined = joined.withColumn("modelKey", family).withColumn("brand", F.col("best.normalized.brand"))
     label = F.when(F.col("brand").isNotNull() & F.col("modelKey").isNotNull(), F.concat(F.initcap("brand"), F.lit(" "), F.upper("modelKey"))).otherwise(F.coalesce(F.upper("modelKey"), F.col("best.title")))
     none = F.array().cast("array<string>")
     return joined.select(

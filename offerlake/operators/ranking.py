@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import compatibility, model_codes, model_tokens
 from ..functions.specs import parse_specs, specs_score
-from ..functions.text import collapsed, tokenize
+from ..functions.text import collapsed, let, tokenize
 from ..functions.urls import identity_key
 
 #: Brands and how they are written, in order of precedence.
@@ -78,17 +78,39 @@ def grade(score: Column) -> Column:
     return F.when(score >= 0.82, "exact").when(score >= 0.58, "close").when(score >= 0.34, "broad").otherwise("weak")
 
 
-def enrich_offers(offers: DataFrame, query: str) -> DataFrame:
+def _features(title: Column) -> Column:
+    """What scoring reads from a title alone."""
+    return let(model_codes(title), lambda codes: let(tokenize(title), lambda tokens: F.struct(
+        tokens.alias("tokens"), codes.alias("codes"), model_tokens(title, codes).alias("models"), brand_of(tokens).alias("brand"), parse_specs(F.concat_ws(" ", title, F.lit(""))).alias("specs"),
+    )))
+
+
+def title_features(titles: DataFrame) -> DataFrame:
+    """(title, features) for each distinct title of titles: a table for enrich_offers where many offers share their titles."""
+    return titles.select("title").distinct().withColumn("features", _features(F.col("title")))
+
+
+def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = None) -> DataFrame:
     """offers with relevanceScore (0 to 1), matchGrade, matchReason, warnings, specs and normalized; one row for each.
 
-    All of it is Column expressions over the row and the query's profile, which is a literal; nothing is shuffled.
+    features: from title_features, of a catalogue's titles for instance; titles that it lacks are read row by row. Without it all of
+    this is Column expressions over the row and the query's profile, which is a literal, and nothing is shuffled.
     """
     df = offers.withColumn("_q", query_profile(F.lit(query)))
-    df = df.withColumn("_tokens", tokenize(F.col("title"))).withColumn("_codes", model_codes(F.col("title")))
+    if features is None:
+        df = df.withColumn("_f", _features(F.col("title")))
+    else:
+        known = features.select(F.col("title").alias("_title"), F.col("features").alias("_known"))
+        df = df.join(known, F.col("title") == F.col("_title"), "left").withColumn("_f", F.coalesce("_known", _features(F.col("title")))).drop("_title", "_known")
+    evidence = F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), " ")
+    df = df.withColumns({
+        "_tokens": F.col("_f.tokens"),
+        "_codes": F.col("_f.codes"),
+        "_models": F.col("_f.models"),
+        "_brand": F.col("_f.brand"),
+        "specs": F.when(evidence == "", F.col("_f.specs")).otherwise(parse_specs(F.concat_ws(" ", "title", evidence))),
+    }).drop("_f")
     df = df.withColumns({
-        "_models": model_tokens(F.col("title"), F.col("_codes")),
-        "_brand": brand_of(F.col("_tokens")),
-        "specs": parse_specs(F.concat_ws(" ", "title", F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), " "))),
         "_match": compatibility(F.col("_q.codes"), F.col("_codes")),
         "_hits": F.filter(F.col("_q.tokens"), lambda t: F.array_contains("_tokens", t)),
     })
@@ -150,9 +172,9 @@ def passes(query: str, wanted: OfferFilter) -> Column:
     return out
 
 
-def rank_offers(offers: DataFrame, query: str, wanted: OfferFilter = OfferFilter()) -> DataFrame:
+def rank_offers(offers: DataFrame, query: str, wanted: OfferFilter = OfferFilter(), features: DataFrame | None = None) -> DataFrame:
     """Enriched offers that pass, best first: by relevance (to 9 digits), confidence, arrival."""
-    ranked = enrich_offers(offers, query).where(passes(query, wanted)).orderBy(F.desc(F.round("relevanceScore", 9)), F.desc("confidence"), "seq")
+    ranked = enrich_offers(offers, query, features).where(passes(query, wanted)).orderBy(F.desc(F.round("relevanceScore", 9)), F.desc("confidence"), "seq")
     return ranked if wanted.limit is None else ranked.limit(wanted.limit)
 
 

@@ -17,8 +17,8 @@ class SearchRun:
     groups: DataFrame
 
 
-def search_offers(offers: DataFrame, query: str, wanted: OfferFilter = OfferFilter(), verdicts: DataFrame | None = None, plan: DataFrame | None = None) -> SearchRun:
-    """De-duplicate, rank and filter offers, join verdicts if there are any, and group what is left."""
-    ranked = rank_offers(dedupe_offers(offers), query, wanted)
+def search_offers(offers: DataFrame, query: str, wanted: OfferFilter = OfferFilter(), verdicts: DataFrame | None = None, plan: DataFrame | None = None, features: DataFrame | None = None) -> SearchRun:
+    """De-duplicate, rank and filter offers, join verdicts if there are any, and group what is left. features: see enrich_offers."""
+    ranked = rank_offers(dedupe_offers(offers), query, wanted, features)
     ranked = ranked if verdicts is None else join_verdicts(ranked, verdicts)
     return SearchRun(plan, ranked, group_offers(ranked))

@@ -157,8 +157,13 @@ def fetch_order_topk(spark, sf_dir):
     return discovery.fetch_order(_candidates(spark, sf_dir), CANDIDATE_QUERY, 30).select("seq", F.col("fetchScore").cast("long").alias("fetch_score"), "rank")
 
 
+def _features(spark, sf_dir):
+    """Offers share the titles of parts, so titles are read once each."""
+    return ranking.title_features(titled_parts(spark, sf_dir))
+
+
 def relevance_grade(spark, sf_dir):
-    e = ranking.enrich_offers(ranking.dedupe_offers(offers(spark, sf_dir)), SEARCH)
+    e = ranking.enrich_offers(ranking.dedupe_offers(offers(spark, sf_dir)), SEARCH, _features(spark, sf_dir))
     return e.groupBy(F.col("matchGrade").alias("grade"), F.col("normalized.modelMatch").alias("model_match")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("relevanceScore"), 4).alias("relevance"))
 
 
@@ -168,21 +173,21 @@ def offer_dedupe_best(spark, sf_dir):
 
 def price_condition_filter(spark, sf_dir):
     wanted = ranking.OfferFilter(min_price=20000, max_price=60000, condition="used", sources=("www.shop1",))
-    return ranking.rank_offers(offers(spark, sf_dir), "IC-61E ring", wanted).select("seq", "price", "condition", F.round("relevanceScore", 6).alias("relevance"))
+    return ranking.rank_offers(offers(spark, sf_dir), "IC-61E ring", wanted, _features(spark, sf_dir)).select("seq", "price", "condition", F.round("relevanceScore", 6).alias("relevance"))
 
 
 def ranked_offers_topk(spark, sf_dir):
-    return ranking.rank_offers(ranking.dedupe_offers(offers(spark, sf_dir)), SEARCH, ranking.OfferFilter(limit=20)).select("seq", "title", "price", F.round("relevanceScore", 6).alias("relevance"), F.col("matchGrade").alias("grade"), F.col("matchReason").alias("reason"))
+    return ranking.rank_offers(ranking.dedupe_offers(offers(spark, sf_dir)), SEARCH, ranking.OfferFilter(limit=20), _features(spark, sf_dir)).select("seq", "title", "price", F.round("relevanceScore", 6).alias("relevance"), F.col("matchGrade").alias("grade"), F.col("matchReason").alias("reason"))
 
 
 def group_offers_summary(spark, sf_dir):
-    g = grouping.group_offers(ranking.enrich_offers(offers(spark, sf_dir), SEARCH))
+    g = grouping.group_offers(ranking.enrich_offers(offers(spark, sf_dir), SEARCH, _features(spark, sf_dir)))
     return g.select("key", "label", F.col("offerCount").alias("offer_count"), F.col("minPrice").alias("min_price"), F.col("maxPrice").alias("max_price"), F.size("sources").alias("n_sources"), F.col("sellerCount").cast("long").alias("n_sellers"), "currency", F.array_join(F.array_sort("modelCodes"), ",").alias("codes"))
 
 
 def flagship(spark, sf_dir):
     """The whole search: ranked offers of the model that is asked for, grouped."""
-    run = search_offers(offers(spark, sf_dir), SEARCH)
+    run = search_offers(offers(spark, sf_dir), SEARCH, features=_features(spark, sf_dir))
     return grouping.ordered_groups(run.groups).select("key", "label", F.col("offerCount").alias("offer_count"), F.col("minPrice").alias("min_price"), F.col("maxPrice").alias("max_price"), F.col("sellerCount").cast("long").alias("n_sellers"), F.col("bestTitle").alias("best_title"))
 
 
