@@ -19,11 +19,10 @@ def short_title(title: Column) -> Column:
 
 
 def group_key(title: Column, brand: Column) -> Column:
-    return _key(title, brand, model_codes(title))
+    return _key(title, brand, first_family(model_codes(title)))
 
 
-def _key(title: Column, brand: Column, codes: Column) -> Column:
-    family = first_family(codes)
+def _key(title: Column, brand: Column, family: Column) -> Column:
     maker = F.coalesce(brand, F.lit("unknown-brand"))
     return F.coalesce(F.concat(F.lit("model:"), maker, F.lit(":"), family), F.concat(F.lit("title:"), maker, F.lit(":"), short_title(title)))
 
@@ -45,10 +44,10 @@ def group_offers(offers: DataFrame) -> DataFrame:
     """
     brand = F.col("normalized.brand")
     identity = identity_key(F.col("url"), F.col("sourceSite"), F.col("seller"), F.col("title"), F.col("price"))
-    keyed = offers.withColumn("key", _key(F.col("title"), brand, F.col("normalized.codes"))).withColumn("_identity", identity)
+    keyed = offers.withColumn("key", _key(F.col("title"), brand, F.col("normalized.family"))).withColumn("_identity", identity)
     # Better offers sort lower.
     place = F.struct(-F.round("relevanceScore", 9), F.coalesce("price", F.lit(9007199254740991.0)), -F.col("confidence"), F.col("seq"))
-    needed = F.struct("title", "url", "price", "currency", "specs", "normalized", "relevanceScore", source_name(F.col("sourceSite")).alias("source"), seller_name(F.col("seller"), F.col("sourceSite")).alias("seller"))
+    needed = F.struct("title", "url", "price", "currency", "specs", F.struct("normalized.brand", "normalized.modelCodes", "normalized.family").alias("normalized"), "relevanceScore", source_name(F.col("sourceSite")).alias("source"), seller_name(F.col("seller"), F.col("sourceSite")).alias("seller"))
     once = keyed.withColumn("_place", place).groupBy("key", "_identity").agg(F.min_by(needed, "_place").alias("o"), F.min("_place").alias("_place"))
     # One pass: each offer gives a row for the family as a whole and one for each value that the family lists.
     value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"), F.lit(0).alias("i"))
@@ -64,7 +63,7 @@ def group_offers(offers: DataFrame) -> DataFrame:
         F.max(F.when(whole, F.col("n"))).alias("offerCount"), F.min("lo").alias("minPrice"), F.max("hi").alias("maxPrice"), F.first("best", ignorenulls=True).alias("best"),
         of("source").alias("sources"), of("seller").alias("sellers"), of("code").alias("modelCodes"), currency.alias("currency"),
     )
-    family = first_family(F.col("best.normalized.codes"))
+    family = F.col("best.normalized.family")
     joined = joined.withColumn("modelKey", family).withColumn("brand", F.col("best.normalized.brand"))
     label = F.when(F.col("brand").isNotNull() & F.col("modelKey").isNotNull(), F.concat(F.initcap("brand"), F.lit(" "), F.upper("modelKey"))).otherwise(F.coalesce(F.upper("modelKey"), F.col("best.title")))
     none = F.array().cast("array<string>")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.models import compatibility, model_codes, model_tokens
+from ..functions.models import compatibility, first_family, model_codes, model_tokens
 from ..functions.specs import parse_specs, specs_score
 from ..functions.text import collapsed, let, tokenize
 from ..functions.urls import identity_key
@@ -90,63 +90,72 @@ def title_features(titles: DataFrame) -> DataFrame:
     return titles.select("title").distinct().withColumn("features", _features(F.col("title")))
 
 
-def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = None) -> DataFrame:
-    """offers with relevanceScore (0 to 1), matchGrade, matchReason, warnings, specs and normalized; one row for each.
-
-    features: from title_features, of a catalogue's titles for instance; titles that it lacks are read row by row. Without it all of
-    this is Column expressions over the row and the query's profile, which is a literal, and nothing is shuffled.
-    """
-    df = offers.withColumn("_q", query_profile(F.lit(query)))
-    if features is None:
-        df = df.withColumn("_f", _features(F.col("title")))
-    else:
-        known = features.select(F.col("title").alias("_title"), F.col("features").alias("_known"))
-        df = df.join(known, F.col("title") == F.col("_title"), "left").withColumn("_f", F.coalesce("_known", _features(F.col("title")))).drop("_title", "_known")
-    evidence = F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), " ")
+def _judged(df: DataFrame, query: str) -> DataFrame:
+    """df (title, _f) with what a title alone says for the query: _points, _warned, _reasons, _title_specs, _specs_points and normalized."""
+    df = df.withColumn("_q", query_profile(F.lit(query)))
     df = df.withColumns({
-        "_tokens": F.col("_f.tokens"),
-        "_codes": F.col("_f.codes"),
-        "_models": F.col("_f.models"),
-        "_brand": F.col("_f.brand"),
-        "specs": F.when(evidence == "", F.col("_f.specs")).otherwise(parse_specs(F.concat_ws(" ", "title", evidence))),
-    }).drop("_f")
-    df = df.withColumns({
-        "_match": compatibility(F.col("_q.codes"), F.col("_codes")),
-        "_hits": F.filter(F.col("_q.tokens"), lambda t: F.array_contains("_tokens", t)),
+        "_match": compatibility(F.col("_q.codes"), F.col("_f.codes")),
+        "_hits": F.filter(F.col("_q.tokens"), lambda t: F.array_contains("_f.tokens", t)),
+        "_model_hits": F.filter(F.col("_q.model_tokens"), lambda t: F.array_contains("_f.tokens", t) | F.array_contains("_f.models", t)),
     })
-    df = df.withColumn("_model_hits", F.filter(F.col("_q.model_tokens"), lambda t: F.array_contains("_tokens", t) | F.array_contains("_models", t)))
     ratio = lambda a, b: F.when(F.size(b) > 0, F.size(a) / F.size(b)).otherwise(0.0)
-    wrong_brand = F.col("_q.brand").isNotNull() & F.col("_brand").isNotNull() & (F.col("_brand") != F.col("_q.brand"))
+    brand, asked = F.col("_f.brand"), F.col("_q.brand")
+    wrong_brand = asked.isNotNull() & brand.isNotNull() & (brand != asked)
     phrase = F.lower(collapsed(F.col("_q.raw")))
     points = (
-        F.when(F.col("_brand") == F.col("_q.brand"), 30).when(wrong_brand, -18).otherwise(0)
+        F.when(brand == asked, 30).when(wrong_brand, -18).otherwise(0)
         + ratio("_hits", F.col("_q.tokens")) * 35
         + ratio("_model_hits", F.col("_q.model_tokens")) * 25
         + F.when(F.col("_match") == "exact", 24).when(F.col("_match") == "compatible", 18).when(F.col("_match") == "conflict", -55).otherwise(0)
         + F.when((F.char_length(phrase) > 4) & F.lower("title").contains(phrase), 12).otherwise(0)
-        + F.when(F.coalesce("price", F.lit(0.0)) != 0, 4).otherwise(0)
-        + specs_score(F.col("_q.specs"), F.col("specs"))
-        + F.when(F.col("condition") == "used", 2).otherwise(0)
     )
     names = lambda c: F.coalesce(F.nullif(F.array_join(F.transform(c, lambda x: x["normalized"]), ", "), F.lit("")), F.lit("unknown"))
     warned = F.array(
-        F.when(wrong_brand, F.concat(F.lit("brand mismatch: expected "), F.col("_q.brand"), F.lit(", found "), F.col("_brand"))),
-        F.when(F.col("_match") == "conflict", F.concat(F.lit("model mismatch: requested "), names(F.col("_q.codes")), F.lit(", found "), names(F.col("_codes")))),
+        F.when(wrong_brand, F.concat(F.lit("brand mismatch: expected "), asked, F.lit(", found "), brand)),
+        F.when(F.col("_match") == "conflict", F.concat(F.lit("model mismatch: requested "), names(F.col("_q.codes")), F.lit(", found "), names(F.col("_f.codes")))),
     )
-    reason = F.concat_ws(
-        "; ",
-        F.when(F.col("_brand") == F.col("_q.brand"), F.concat(F.lit("brand "), F.col("_brand"))),
-        F.when(F.size("_model_hits") > 0, F.concat(F.lit("model tokens: "), F.array_join("_model_hits", ", "))),
-        F.when(F.col("_q.specs").isNotNull() & F.col("specs").isNotNull(), "specs compatible"),
-        F.when(F.size("_hits") > 0, F.concat(F.lit("matched: "), F.array_join(F.slice("_hits", 1, 6), ", "))),
+    return df.withColumns({
+        "_points": points,
+        "_warned": F.array_compact(warned),
+        "_says": F.array(
+            F.when(brand == asked, F.concat(F.lit("brand "), brand)),
+            F.when(F.size("_model_hits") > 0, F.concat(F.lit("model tokens: "), F.array_join("_model_hits", ", "))),
+            F.when(F.size("_hits") > 0, F.concat(F.lit("matched: "), F.array_join(F.slice("_hits", 1, 6), ", "))),
+        ),
+        "_title_specs": F.col("_f.specs"),
+        "_specs_points": specs_score(F.col("_q.specs"), F.col("_f.specs")),
+        "normalized": F.struct(brand.alias("brand"), F.transform("_f.codes", lambda c: c["normalized"]).alias("modelCodes"), F.col("_match").alias("modelMatch"), F.col("_f.models").alias("modelTokens"), F.col("_f.tokens").alias("titleTokens"), F.col("_f.codes").alias("codes"), first_family(F.col("_f.codes")).alias("family")),
+    }).drop("_q", "_f", "_match", "_hits", "_model_hits")
+
+
+def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = None) -> DataFrame:
+    """offers with relevanceScore (0 to 1), matchGrade, matchReason, warnings, specs and normalized; one row for each.
+
+    features: from title_features, of a catalogue that holds the offers' titles, say; each title is then judged once, and offers are
+    joined with it (a title that it lacks says nothing). Without it all of this is Column expressions over the row and the query's
+    profile, which is a literal, and nothing is shuffled.
+    """
+    if features is None:
+        df = _judged(offers.withColumn("_f", _features(F.col("title"))), query)
+    else:
+        judged = _judged(features.withColumnRenamed("features", "_f"), query).withColumnRenamed("title", "_title")
+        df = offers.join(judged, F.col("title") == F.col("_title"), "left").drop("_title")
+    none = F.array().cast("array<string>")
+    evidence, asked = F.array_join(F.coalesce("evidence", none), " "), query_profile(F.lit(query))["specs"]
+    df = df.withColumn("specs", F.when(evidence == "", F.col("_title_specs")).otherwise(parse_specs(F.concat_ws(" ", "title", evidence))))
+    points = (
+        F.coalesce("_points", F.lit(0.0))
+        + F.when(F.coalesce("price", F.lit(0.0)) != 0, 4).otherwise(0)
+        + F.when(evidence == "", F.coalesce("_specs_points", F.lit(0))).otherwise(specs_score(asked, F.col("specs")))
+        + F.when(F.col("condition") == "used", 2).otherwise(0)
     )
+    reason = F.concat_ws("; ", F.col("_says")[0], F.col("_says")[1], F.when(asked.isNotNull() & F.col("specs").isNotNull(), "specs compatible"), F.col("_says")[2])
     df = df.withColumn("relevanceScore", F.greatest(F.lit(0.0), F.least(F.lit(1.0), points / 100)))
     return df.withColumns({
         "matchGrade": grade(F.col("relevanceScore")),
         "matchReason": F.coalesce(F.nullif(reason, F.lit("")), F.lit("low textual match")),
-        "warnings": F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array_compact(warned)),
-        "normalized": F.struct(F.col("_brand").alias("brand"), F.transform("_codes", lambda c: c["normalized"]).alias("modelCodes"), F.col("_match").alias("modelMatch"), F.col("_models").alias("modelTokens"), F.col("_tokens").alias("titleTokens"), F.col("_codes").alias("codes")),
-    }).drop("_q", "_tokens", "_codes", "_models", "_brand", "_match", "_hits", "_model_hits")
+        "warnings": F.concat(F.coalesce("warnings", none), F.coalesce("_warned", none)),
+    }).drop("_points", "_warned", "_says", "_title_specs", "_specs_points")
 
 
 def passes(query: str, wanted: OfferFilter) -> Column:
