@@ -235,14 +235,19 @@ def json_ld_offers(pages: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
     return listed.select("page_url", F.inline("o"))
 
 
-def state_offers(pages: DataFrame) -> DataFrame:
-    """Offers of classified-ad pages that embed their state as a JSON text within JSON."""
+def _state_ads() -> Column:
+    """The ads of a page's embedded state; null if the page has none that parses."""
     quoted = F.regexp_extract("html", r'window\.__PRERENDERED_STATE__=\s*("(?:\\.|[^"\\])*")', 1)
     state = F.from_json(F.concat(F.lit('{"s":'), quoted, F.lit("}")), "s string")["s"]
     ad = "struct<title:string,url:string,price:struct<regularPrice:struct<value:double,currencyCode:string>>,params:array<struct<key:string,value:string,normalizedValue:string>>,location:struct<pathName:string>,photos:array<string>>"
-    ads = F.from_json(state, f"listing struct<listing:struct<ads:array<{ad}>>>")["listing"]["listing"]["ads"]
+    return F.from_json(state, f"listing struct<listing:struct<ads:array<{ad}>>>")["listing"]["listing"]["ads"]
+
+
+def state_offers(pages: DataFrame) -> DataFrame:
+    """Offers of classified-ad pages that embed their state as a JSON text within JSON."""
+    ads = _state_ads()
     good = F.slice(F.filter(ads, lambda a: (F.trim(a["title"]) != "") & (F.trim(a["url"]) != "")), 1, PER_PAGE)
-    rows = pages.where(host(F.col("finalUrl")).contains("olx.ua") & (quoted != "")).select(F.col("url").alias("page_url"), F.posexplode(good).alias("i", "a"))
+    rows = pages.where(host(F.col("finalUrl")).contains("olx.ua") & ads.isNotNull()).select(F.col("url").alias("page_url"), F.posexplode(good).alias("i", "a"))
     state_param = F.try_element_at(F.filter("a.params", lambda p: p["key"] == "state"), F.lit(1))
     return rows.select(
         "page_url", "i", F.trim("a.title").alias("title"), F.trim("a.url").alias("url"), F.col("a.price.regularPrice.value").alias("price"), F.coalesce("a.price.regularPrice.currencyCode", F.lit("UAH")).alias("currency"), F.lit("listed").alias("availability"),
@@ -271,7 +276,9 @@ def list_offers(pages: DataFrame) -> DataFrame:
     first = F.coalesce(_pick_shop(lambda s: s.json_first), F.lit(True)) & ~host(F.col("finalUrl")).contains("product-api.rozetka.com.ua")
     structured = json_ld_offers(keyed.where(first))
     state, api = state_offers(pages), api_offers(pages)
-    done = structured.select("page_url").union(state.select("page_url")).distinct()
+    # A state that parses is the whole page, also where it lists nothing.
+    stated = pages.where(host(F.col("finalUrl")).contains("olx.ua") & _state_ads().isNotNull()).select(F.col("url").alias("page_url"))
+    done = structured.select("page_url").union(stated).distinct()
     cards = card_offers(pages.join(done, F.col("url") == F.col("page_url"), "left_anti"))
     return structured.unionByName(state).unionByName(api).unionByName(cards)
 

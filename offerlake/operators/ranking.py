@@ -194,6 +194,15 @@ def dedupe_offers(offers: DataFrame) -> DataFrame:
     return picked.select("o.*", "_first").withColumn("seq", F.col("_first")).drop("_first")
 
 
+#: Fixed value: how many offers a verdict is asked for.
+VERDICT_OFFERS = 20
+
+
+def verdict_input(ranked: DataFrame, most: int = VERDICT_OFFERS) -> DataFrame:
+    """The best offers of a ranking, for which verdicts are asked."""
+    return ranked.orderBy(F.desc(F.round("relevanceScore", 9)), F.desc("confidence"), "seq").limit(most)
+
+
 def join_verdicts(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """offers with ai struct<summary, fit, riskFlags> by url; the last verdict of a url counts, fit is unknown if not given.
 

@@ -286,9 +286,9 @@ def model_rank_score(spark, sf_dir):
 
 
 def query_variants(spark, sf_dir):
-    q = titled_parts(spark, sf_dir).where("p_partkey < 40").select("p_partkey", F.col("title").alias("query"))
+    q = titled_parts(spark, sf_dir).select("p_partkey", F.col("title").alias("query"))
     v = query_plan.query_variants(F.col("query"))
-    return q.select("p_partkey", F.posexplode(v).alias("place", "variant")).where("place < 9")
+    return q.select("p_partkey", F.posexplode(v).alias("place", "variant"))
 
 
 def direct_catalog(spark, sf_dir):
@@ -319,7 +319,11 @@ def jsonld_extract(spark, sf_dir):
 
 def watch_foreachbatch(spark, sf_dir):
     """Events as a stream of offers, watched in one micro-batch: the alerts of the first run."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-watch-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-watch-")
     folder = f"{base.rstrip('/')}/watch-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -397,8 +401,8 @@ UNION ALL SELECT 'new_offer', o.key, o.url, NULL, o.price, 'New offer for ' || u
 r AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM m)
 SELECT id, (1001 - i + CASE WHEN c >= 1000000 THEN 80 WHEN c >= 250000 THEN 40 ELSE 0 END + CASE WHEN o >= 32000 THEN 20 ELSE 0 END + CASE k % 4 WHEN 0 THEN 30 WHEN 1 THEN 8 WHEN 2 THEN -250 ELSE 0 END)::BIGINT AS score,
 'free text model; OpenRouter sorted rank #' || i || CASE WHEN c >= 1000000 THEN '; very large context' WHEN c >= 250000 THEN '; large context' ELSE '' END || CASE WHEN o >= 32000 THEN '; large completion budget' ELSE '' END || CASE k % 4 WHEN 0 THEN '; general reasoning family' WHEN 1 THEN '; coding-capable family' WHEN 2 THEN '; penalized safety/moderation model' ELSE '' END AS reason FROM r""",
-    "query_variants": f"""WITH q AS (SELECT p_partkey, {TITLE} AS t FROM part WHERE p_partkey < 40), v AS (SELECT p_partkey, unnest(generate_series(0, 8))::INT AS place, [t, t || ' купити Україна', t || ' ціна Україна', t || ' в наявності', t || ' б/в OLX', t || ' site:olx.ua OR site:prom.ua OR site:rozetka.com.ua', t || ' site:hotline.ua OR site:ek.ua',
-t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || regexp_extract(t, 'IC-.*') || '" купити Україна'] AS vs FROM q) SELECT p_partkey, place, vs[place + 1] AS variant FROM v""",
+    "query_variants": f"""WITH q AS (SELECT p_partkey, {TITLE} AS t FROM part), v AS (SELECT p_partkey, unnest(generate_series(0, 11))::INT AS place, [t, t || ' купити Україна', t || ' ціна Україна', t || ' в наявності', t || ' б/в OLX', t || ' site:olx.ua OR site:prom.ua OR site:rozetka.com.ua', t || ' site:hotline.ua OR site:ek.ua',
+t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || regexp_extract(t, 'IC-.*') || '" купити Україна', '"' || regexp_extract(t, 'IC-.*') || '" ціна', t || ' Japan used', t || ' JDM fishing tackle'] AS vs FROM q) SELECT p_partkey, place, vs[place + 1] AS variant FROM v""",
     "html_list_extract": f"""WITH p AS (SELECT *, {TITLE} AS title, row_number() OVER (PARTITION BY p_partkey // 15 ORDER BY p_partkey) AS i FROM part)
 SELECT title, 'https://hotline.ua/ua/p' || p_partkey || '/?a=1' AS url, floor(p_retailprice) AS price, 'UAH' AS currency, 'https://hotline.ua/i.png' AS image, 0.78::DOUBLE AS confidence FROM p WHERE i <= 12""",
     "jsonld_extract": f"SELECT {TITLE} AS title, 'https://shop.example/p/' || p_partkey AS url, floor(p_retailprice) + 0.5 AS price, 'UAH' AS currency, 'in_stock' AS availability, 0.82::DOUBLE AS confidence FROM part",

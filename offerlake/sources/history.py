@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -29,18 +31,39 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select("file", "seq", "r")
 
 
+#: When a record was appended, and its place among those of one append. Files of a folder have no order of their own.
+_ORDER = "appendedAt bigint, appendedPlace bigint"
+
+
 def read_history(spark: SparkSession, path: str, schema: str = HISTORY, limit: int | None = 30, saved_search: str | None = None) -> DataFrame:
-    """The last `limit` records of a JSON-lines file or folder, newest first, with seq; limit 0 and None give all."""
-    rows = _lines(spark, path, schema).select("seq", "r.*")
+    """The last `limit` records of a JSON-lines file or folder, newest first, with seq; limit 0 and None give all.
+
+    Records are in the order in which they were appended; those that don't say so come before others, in the order of lines.
+    """
+    rows = _lines(spark, path, f"{schema}, {_ORDER}").select("seq", "r.*")
     if saved_search:
         rows = rows.where(F.col("savedSearchId") == saved_search)
-    newest = rows.orderBy(F.desc("seq"))
+    newest = rows.orderBy(F.desc_nulls_last("appendedAt"), F.desc_nulls_last("appendedPlace"), F.desc("seq")).drop("appendedAt", "appendedPlace")
     return newest.limit(limit) if limit else newest
 
 
 def append_history(records: DataFrame, path: str) -> None:
-    """Append records as JSON lines; null fields are left out."""
-    records.write.mode("append").json(path)
+    """Append records as JSON lines, each with the time of the append and its place in it; other null fields are left out."""
+    stamped = records.withColumn("appendedAt", F.lit(time.time_ns())).withColumn("appendedPlace", F.monotonically_increasing_id())
+    stamped.write.mode("append").json(path)
+
+
+def export_csv(records: DataFrame, path: str) -> None:
+    """Write a history as a CSV text with its header, in the order of seq if records have it."""
+    lines = csv_lines(records)
+    order = [c for c in ("seq", "groupPlace") if c in lines.columns]
+    head = records.sparkSession.range(1).select(*[F.lit(-1).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(",".join(CSV_COLUMNS)).alias("value"), F.lit(0).alias("part"))
+    lines.withColumn("part", F.lit(1)).unionByName(head).orderBy("part", *[F.asc_nulls_first(c) for c in order]).select("value").write.text(path)
+
+
+def export_json(records: DataFrame, path: str) -> None:
+    """Write a history's records as JSON lines, all fields named."""
+    records.drop("seq").write.option("ignoreNullFields", "false").json(path)
 
 
 def history_record(search: DataFrame, groups: DataFrame, alerts: DataFrame, timestamp: Column) -> DataFrame:
@@ -84,10 +107,28 @@ def cheapest_group(records: DataFrame) -> DataFrame:
 
 
 def upsert_searches(searches: DataFrame, changed: DataFrame) -> DataFrame:
-    """Saved searches with those of changed in place of the same id."""
+    """Saved searches with those of changed in place of the same id; those of other ids are added."""
     return searches.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
+def update_searches(searches: DataFrame, changed: DataFrame) -> DataFrame:
+    """Saved searches with those of changed in place of the same id; changes of unknown ids do nothing."""
+    return upsert_searches(searches, changed.join(searches.select("id").distinct(), "id", "left_semi").select(*changed.columns))
+
+
+def write_searches(searches: DataFrame, path: str) -> None:
+    """Write all saved searches in place of what is there."""
+    searches.write.mode("overwrite").json(path)
+
+
+def read_searches(spark: SparkSession, path: str, schema: str = "id string, name string, query string, options map<string,string>, createdAt string, updatedAt string, seq bigint") -> DataFrame:
+    """Saved searches as they were written; none where nothing is there."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def find_search(searches: DataFrame, id_or_name: str) -> DataFrame:
     """The first saved search (by seq) of that id, or of that name whatever its case."""
     return searches.where((F.col("id") == id_or_name) | (F.lower("name") == id_or_name.lower())).orderBy("seq").limit(1)

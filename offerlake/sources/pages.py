@@ -6,9 +6,12 @@ An attempt has url, finalUrl, title, html, markdown, text, status, fetcher. Fetc
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pages import is_blocked_page
 from ..functions.text import collapsed
@@ -25,10 +28,16 @@ def skips_browser(url: Column, human: bool = False, profile: bool = False) -> Co
     return at.rlike(r"(?:product-api|search)\.rozetka\.com\.ua") | (at.endswith("zenmarket.jp") & F.lit(not (human or profile)))
 
 
+@F.pandas_udf(T.StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Texts with their character references decoded."""
+    return texts.map(unescape, na_action="ignore")
+
+
 def plain_text(html: Column) -> Column:
-    """Body text without markup, white space runs as one space, as far as pages are read."""
+    """Body text without markup, character references decoded, white space runs as one space, as far as pages are read."""
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return F.substring(collapsed(body), 1, TEXT_LIMIT)
+    return F.substring(collapsed(decoded(body)), 1, TEXT_LIMIT)
 
 
 def best_pages(attempts: DataFrame, order: Sequence[str], human: bool = False, profile: bool = False) -> DataFrame:

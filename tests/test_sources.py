@@ -24,7 +24,7 @@ def test_best_pages(spark):
     assert {(r["url"], r["fetcher"]) for r in got} == {("u", "browser"), ("w", "scraper")}
     from pyspark.sql import functions as F
 
-    assert spark.range(1).select(plain_text(F.lit("<style>p{}</style><p>a&nbsp;<b>b</b>\n c</p>")).alias("x")).first()["x"] == "a&nbsp; b c"
+    assert spark.range(1).select(plain_text(F.lit("<style>p{}</style><p>a&nbsp;<b>b</b>\n c 1&nbsp;200&#8372; &lt;</p>")).alias("x")).first()["x"] == "a b c 1 200₴ <"
 
 
 def test_notify(spark):

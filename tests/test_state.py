@@ -46,6 +46,31 @@ def test_history_file(spark, tmp_path):
     assert history.read_history(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_appended_history_keeps_its_order(spark, tmp_path):
+    folder = str(tmp_path / "h")
+    for i in range(4):
+        # Later appends are smaller files.
+        history.append_history(spark.createDataFrame([(str(i), "a", "n" * 99 * (4 - i), "q", [], [])], history.HISTORY), folder)
+    assert [r["timestamp"] for r in history.read_history(spark, folder).collect()] == ["3", "2", "1", "0"]
+    assert [r["timestamp"] for r in history.read_history(spark, folder, limit=2).collect()] == ["3", "2"]
+    records = history.read_history(spark, folder)
+    history.export_csv(records, str(tmp_path / "csv"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()]
+    assert lines[0] == ",".join(history.CSV_COLUMNS) and len(lines) == 5
+    history.export_json(records, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 4
+
+
+def test_saved_searches(spark, tmp_path):
+    path, columns = str(tmp_path / "s"), "id string, name string, query string"
+    assert history.read_searches(spark, path).count() == 0
+    history.write_searches(spark.createDataFrame([("1", "a", "q"), ("2", "b", "q")], columns), path)
+    known = history.read_searches(spark, path).select("id", "name", "query")
+    changed = spark.createDataFrame([("2", "new", "q"), ("3", "unknown", "q")], columns)
+    assert sorted(tuple(r) for r in history.update_searches(known, changed).collect()) == [("1", "a", "q"), ("2", "new", "q")]
+    assert history.upsert_searches(known, changed).count() == 3
+
+
 def test_csv(spark):
     empty = spark.createDataFrame([("1", "a", 'n"', "q", [], [])], history.HISTORY)
     line = history.csv_lines(empty).first()["value"]
