@@ -34,8 +34,8 @@ from .textblocks import blocks, word_hashes
 #: Bytes of context, six at most: a gram is one 64-bit number.
 DEPTH = 5
 START_BYTE, END_BYTE = 0xFE, 0xFF
-#: Words, and grams, with at least one in HEAVY of all training tokens (positions) are broadcast: at most HEAVY of them, 16 (12) bytes each.
-HEAVY, HEAVY_GRAMS = 1 << 21, 1 << 21
+#: The most frequent words and grams are broadcast: at most so many of them, 16 bytes each.
+HEAVY, HEAVY_GRAMS = 1 << 20, 1 << 20
 END_TOKEN = np.uint64(0x5EED)
 _TEXT, _WORD, _GRAM = 0, 1, 2
 #: Distinct keys that a task gathers before it hands on their counts.
@@ -170,9 +170,10 @@ def context_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
             above = tables[-1].select(F.col("context").alias("parent"), "node", F.col("mixed").alias("so_far"), F.col("rest").alias("share"))
             down = level.withColumn("parent", _suffix(F.col("context"), d - 1)).join(above, ["parent", "node"])
             down = down.select("context", "node", (F.col("so_far") + F.col("share") * F.col("weight") * one).alias("mixed"), (F.col("share") * (1 - F.col("weight"))).alias("rest"))
-        tables.append(durable(down, "ctw-mixed"))
-    discard(*levels)
-    return [t.select("context", "node", (F.col("mixed") + 0.5 * F.col("rest")).alias("p")) for t in tables]
+        # A probability and a share of it; what follows from them for a 1 and a 0 sums to one whatever their rounding.
+        tables.append(durable(down.select("context", "node", F.col("mixed").cast("float").alias("mixed"), F.col("rest").cast("float").alias("rest")), "ctw-mixed"))
+        discard(level)
+    return [t.select("context", "node", (F.col("mixed").cast("double") + 0.5 * F.col("rest").cast("double")).alias("p")) for t in tables]
 
 
 def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -196,9 +197,17 @@ def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     return seen.union(unseen)
 
 
-def _heavy(table: DataFrame, total: int, most: int, *values: str) -> list[np.ndarray]:
-    """key (as uint64, sorted) and values of the rows whose n is at least one in `most` of total: most rows at most."""
-    rows = table.where(F.col("n") * most >= total).select("key", *values).toArrow()
+def _heavy(table: DataFrame, most: int, *values: str) -> list[np.ndarray]:
+    """key (as uint64, sorted) and values of the rows of largest n: at most `most` of them, rows of n up to a power of 2 together."""
+    size = F.floor(F.log2(F.col("n") + 1)).cast("int")
+    least, held = None, 0
+    # At most 64 sizes.
+    for bucket, count in sorted(map(tuple, table.groupBy(size).agg(F.count(F.lit(1))).collect()), reverse=True):
+        held += count
+        if held > most:
+            break
+        least = bucket
+    rows = (table.where(size >= least) if least is not None else table.limit(0)).select("key", *values).toArrow()
     key = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return [key[order], *[rows.column(v).to_numpy()[order] for v in values]]
@@ -235,9 +244,8 @@ def lm_scores(docs: DataFrame, train: Column | None = None, depth: int = DEPTH)
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(total or 0), int(distinct)
     grams = durable(gram_logs(counts.where(f"kind = {_GRAM}").select("key", "n"), depth), "ctw-grams")
-    positions = int(grams.agg(F.sum("n")).first()[0] or 0)
-    heavy = _heavy(words, max(1, total), HEAVY, "n")
-    model = spark.sparkContext.broadcast((*heavy, *_heavy(grams.withColumn("log", F.col("log").cast("float")), max(1, positions), HEAVY_GRAMS, "log")))
+    heavy = _heavy(words, HEAVY, "n")
+    model = spark.sparkContext.broadcast((*heavy, *_heavy(grams, HEAVY_GRAMS, "log")))
     end_count = int((words.where(F.col("key") == int(END_TOKEN)).first() or {"n": 0})["n"])
     kinds = [docs.schema["doc_id"].dataType, *[T.BooleanType(), T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType()]]
     names = ["doc_id", "held_out", "rid", "kind", "key", "times", "known", "base", "score", "n_bytes"]
