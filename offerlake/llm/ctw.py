@@ -150,7 +150,9 @@ def context_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
 
     grams: (key, n) with n > 0.
     """
-    spread = grams.select(F.shiftright("key", 8).alias("context"), "n", F.inline(_path(F.col("key").bitwiseAND(255))))
+    # Grams of a context come together first, so that the eight rows of each aren't shuffled.
+    together = grams.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte"), "n").repartition("context")
+    spread = together.select("context", "n", F.inline(_path(F.col("byte"))))
     level = spread.groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("zeros"), F.sum(F.col("n") * F.col("bit")).alias("ones"))
     log_e = _log_gamma(F.col("zeros") + 0.5) + _log_gamma(F.col("ones") + 0.5) - _log_gamma(F.col("zeros") + F.col("ones") + 1.0) - math.log(math.pi)
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
@@ -182,13 +184,17 @@ def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     Grams with n = 0 take no part in learning; they get the probability that the contexts known from training give them.
     """
     levels = context_levels(grams.where("n > 0"), depth)
-    spread = grams.select("key", "n", F.shiftright("key", 8).alias("context"), F.inline(_path(F.col("key").bitwiseAND(255))))
     log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    # The contexts of grams that occur in training are there in full depth.
-    seen = spread.where("n > 0").join(levels[depth], ["context", "node"]).groupBy("key").agg(F.max("n").alias("n"), F.sum(log).alias("log"))
+    # The contexts of grams that occur in training are there in full depth, with at most 255 nodes each.
+    nodes = levels[depth].groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", "p"))).alias("nodes"))
+    known = grams.where("n > 0").withColumn("context", F.shiftright("key", 8)).join(nodes, "context")
+    steps = F.transform(_path(F.col("key").bitwiseAND(255)), lambda s: F.struct(F.element_at("nodes", s["node"]).alias("p"), s["bit"].alias("bit")))
+    worth = F.aggregate(steps, F.lit(0.0), lambda total, s: total + F.log10(F.when(s["bit"] == 1, s["p"]).otherwise(1 - s["p"])))
+    seen = known.select("key", "n", worth.alias("log"))
+    spread = grams.where("n = 0").select("key", "n", F.shiftright("key", 8).alias("context"), F.inline(_path(F.col("key").bitwiseAND(255))))
     # Of others, each decision goes by its deepest context that is known, or is a half.
     depths = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    tried = spread.where("n = 0").withColumn("depth", depths).withColumn("context", F.expr(f"context & (shiftleft(1L, 8 * depth) - 1)"))
+    tried = spread.withColumn("depth", depths).withColumn("context", F.expr("context & (shiftleft(1L, 8 * depth) - 1)"))
     known = levels[0].withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         known = known.union(levels[d].withColumn("depth", F.lit(d)))
