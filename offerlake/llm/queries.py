@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compact_windows, ctw, decontam, html_diff, langid, mixing, setsketch, topk, toxicity
+from . import align, bpe, chat, compact_windows, ctw, decontam, html_diff, langid, mixing, runs, setsketch, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,4 +56,26 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_mixing, op7_minhash_near_dedup, op8_decontamination, op9_lm_scoring, op10_exact_top_k)}
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_report(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.with_repeats(_read(spark, sf_dir, "documents")))
+
+
+_ALL = (
+    op1_chat_formatting, op2_toxicity, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_mixing, op7_minhash_near_dedup, op8_decontamination, op9_lm_scoring, op10_exact_top_k, op11_bpe, op12_tokenizer_alignment,
+    op13_periodic_runs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
