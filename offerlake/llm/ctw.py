@@ -68,48 +68,46 @@ def grams_of(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray,
 
 
 class _Tally:
-    """Counts of keys, held as sorted arrays that are merged now and then."""
+    """Counts of keys, in training and in all, held as sorted arrays that are merged now and then."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, weight: int) -> None:
-        keys, n = np.unique(keys, return_counts=True)
-        self.parts.append((keys, n * weight))
+    def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
+        """Count keys; trained says which of them stand in training texts."""
+        keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+        self.parts.append((keys, np.stack([np.bincount(place[trained], minlength=len(keys)), n], axis=1)))
         self.held += len(keys)
         if self.held > 2 * _TALLY and len(self.parts) > 1:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
+        n = np.zeros((len(keys), 2), np.int64)
         np.add.at(n, place, np.concatenate([c for _, c in self.parts]))
         self.parts, self.held = [(keys, n)], len(keys)
         return keys, n
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts (kind, key, n): words of training texts, grams of all texts, n being how often they occur in training."""
+    """Partial counts (kind, key, n, times) of words and grams: in training texts and in all texts."""
     tallies = {_WORD: _Tally(), _GRAM: _Tally()}
 
     def flush(kind: int) -> pa.RecordBatch:
         keys, n = tallies[kind].merge()
         tallies[kind] = _Tally()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        counts = [pa.array(np.ascontiguousarray(n[:, k])) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), *counts], names=["kind", "key", "n", "times"])
 
     for batch in batches:
         trained = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, data, at in blocks(batch.column("text")):
+            mine = trained[lo:hi]
             words, of = word_hashes(data, at)
-            mine = np.repeat(trained[lo:hi], np.diff(of))
-            if trained[lo:hi].any():
-                tallies[_WORD].add(np.concatenate([words[mine], np.full(int(trained[lo:hi].sum()), END_TOKEN)]), 1)
+            tallies[_WORD].add(np.concatenate([words, np.full(hi - lo, END_TOKEN)]), np.concatenate([np.repeat(mine, np.diff(of)), mine]))
             grams, of = grams_of(data, at, depth)
-            mine = np.repeat(trained[lo:hi], np.diff(of))
-            for part, weight in ((grams[mine], 1), (grams[~mine], 0)):
-                if len(part):
-                    tallies[_GRAM].add(part, weight)
+            tallies[_GRAM].add(grams, np.repeat(mine, np.diff(of)))
             for kind, tally in tallies.items():
                 if tally.held > _TALLY and len(tally.merge()[0]) > _TALLY:
                     yield flush(kind)
@@ -119,20 +117,34 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 
 
 def corpus_counts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): training counts of the words of training texts (kind 1, by hash; the end token included) and of all grams (kind 2)."""
-    partial = docs.select("text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(lambda b: _count(b, depth), "kind int, key long, n long")
-    return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    """(kind, key, n, times): how often each word (kind 1, by hash; the end token included) and gram (kind 2) occurs in training texts and in all."""
+    partial = docs.select("text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(lambda b: _count(b, depth), "kind int, key long, n long, times long")
+    return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
-def _log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x >= 1/2, to about 1e-10: Stirling's series at x + 8."""
-    y = x + 8
-    risen = x
-    for i in range(1, 8):
-        risen = risen * (x + i)
-    r = 1 / y
-    r2 = r * r
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) - F.log(risen)
+def _log_kt(zeros: Column, ones: Column) -> Column:
+    """Logarithm of the Krichevsky-Trofimov block probability: of B(zeros + 1/2, ones + 1/2) / pi, B being the beta function.
+
+    Stirling's series at arguments raised by 8, with the large terms taken together, so that what is left is as exact as its own size allows
+    for counts of any size.
+    """
+    a, b = zeros + 0.5, ones + 0.5
+    n = a + b
+
+    def risen(x: Column) -> Column:
+        out = x
+        for i in range(1, 8):
+            out = out * (x + i)
+        return out
+
+    def series(x: Column) -> Column:
+        r = 1 / (x + 8)
+        r2 = r * r
+        return r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 * (1 / 1680 - r2 / 1188))))
+
+    share = lambda x, other: F.when(2 * (x + 8) < n + 8, F.log((x + 8) / (n + 8))).otherwise(F.log1p(-other / (n + 8)))
+    large = (a + 7.5) * share(a, b) + (b + 7.5) * share(b, a) + 7.5 * F.log(n + 8) - 8 + 0.5 * math.log(2 * math.pi)
+    return large + series(a) + series(b) - series(n) + F.log(risen(n)) - F.log(risen(a)) - F.log(risen(b)) - math.log(math.pi)
 
 
 def _path(byte: Column) -> Column:
@@ -145,67 +157,88 @@ def _suffix(context: Column, depth: int) -> Column:
     return context.bitwiseAND(F.lit((1 << (8 * depth)) - 1))
 
 
+def _sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 def context_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """(context, node, p) for each depth from 0: the probability of a 1 at a node for texts whose deepest known context it is.
+    """(context, node, zero, one) for each depth from 0: the probabilities of a 0 and of a 1 at a node where that is the deepest known context.
 
-    grams: (key, n) with n > 0.
+    grams: (key, n) with n > 0. Both probabilities come from counts and weights, neither from the other: where one is a millionth of a
+    millionth, it has as many digits as the other.
     """
     # Grams of a context come together first, so that the eight rows of each aren't shuffled.
     together = grams.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte"), "n").repartition("context")
     spread = together.select("context", "n", F.inline(_path(F.col("byte"))))
     level = spread.groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("zeros"), F.sum(F.col("n") * F.col("bit")).alias("ones"))
-    log_e = _log_gamma(F.col("zeros") + 0.5) + _log_gamma(F.col("ones") + 0.5) - _log_gamma(F.col("zeros") + F.col("ones") + 1.0) - math.log(math.pi)
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    levels = [durable(level.select("context", "node", "zeros", "ones", log_e.alias("log_w"), F.lit(1.0).alias("weight")), "ctw-level")]
+    log_e = _log_kt(F.col("zeros"), F.col("ones"))
+    kt = lambda c: (F.col(c) + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    # gain: by how much (in logarithms) a node's own estimate is better than all its longer contexts; at full depth there are none.
+    levels = [durable(level.select("context", "node", "zeros", "ones", log_e.alias("log_w"), F.lit(math.inf).alias("gain")), "ctw-level")]
     for d in range(depth - 1, -1, -1):
         summed = levels[0].groupBy(_suffix(F.col("context"), d).alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
-        split = summed.withColumn("log_e", log_e)
-        log_w = math.log(0.5) + F.greatest("log_e", "below") + F.log1p(F.exp(-F.abs(F.col("log_e") - F.col("below"))))
-        level = split.withColumn("log_w", log_w).select("context", "node", "zeros", "ones", "log_w", F.exp(math.log(0.5) + F.col("log_e") - F.col("log_w")).alias("weight"))
-        levels.insert(0, durable(level, "ctw-level"))
-    # Down again: `mixed` is what the depths so far give, `rest` the weight that is left for deeper ones.
+        gain = summed.withColumn("log_e", log_e).withColumn("gain", F.col("log_e") - F.col("below"))
+        log_w = math.log(0.5) + F.greatest("log_e", "below") + F.log1p(F.exp(-F.abs("gain")))
+        levels.insert(0, durable(gain.select("context", "node", "zeros", "ones", log_w.alias("log_w"), "gain"), "ctw-level"))
+    # Down again: `zero` and `one` are what the depths so far give, `rest` the weight that is left for deeper ones.
     tables = []
     for d, level in enumerate(levels):
-        if d == 0:
-            down = level.select("context", "node", (F.col("weight") * one).alias("mixed"), (1 - F.col("weight")).alias("rest"))
-        else:
-            above = tables[-1].select(F.col("context").alias("parent"), "node", F.col("mixed").alias("so_far"), F.col("rest").alias("share"))
+        if d:
+            above = tables[-1].select(F.col("context").alias("parent"), "node", F.col("zero").alias("zero_so_far"), F.col("one").alias("one_so_far"), F.col("rest").alias("share"))
             down = level.withColumn("parent", _suffix(F.col("context"), d - 1)).join(above, ["parent", "node"])
-            down = down.select("context", "node", (F.col("so_far") + F.col("share") * F.col("weight") * one).alias("mixed"), (F.col("share") * (1 - F.col("weight"))).alias("rest"))
-        # A probability and a share of it; what follows from them for a 1 and a 0 sums to one whatever their rounding.
-        tables.append(durable(down.select("context", "node", F.col("mixed").cast("float").alias("mixed"), F.col("rest").cast("float").alias("rest")), "ctw-mixed"))
+        else:
+            down = level.withColumns({"zero_so_far": F.lit(0.0), "one_so_far": F.lit(0.0), "share": F.lit(1.0)})
+        part = F.col("share") * _sigmoid(F.col("gain"))
+        down = down.select(
+            "context", "node", (F.col("zero_so_far") + part * kt("zeros")).alias("zero"), (F.col("one_so_far") + part * kt("ones")).alias("one"), (F.col("share") * _sigmoid(-F.col("gain"))).alias("rest")
+        )
+        tables.append(durable(down, "ctw-mixed"))
         discard(level)
-    return [t.select("context", "node", (F.col("mixed").cast("double") + 0.5 * F.col("rest").cast("double")).alias("p")) for t in tables]
+    return tables
 
 
 def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, n, log): log10 of the probability of each gram's byte after its context, learned from the counts n in grams (key, n).
+    """grams (key, n, ...) with log: log10 of the probability of each gram's byte after its context, learned from the counts n.
 
-    Grams with n = 0 take no part in learning; they get the probability that the contexts known from training give them.
+    Grams with n = 0 take no part in learning. Of a gram's eight decisions, those that its longest context knows come first, and those that
+    are left go to its next shorter one; what no context knows is a half. Only grams with decisions left go on to the next join.
     """
     levels = context_levels(grams.where("n > 0"), depth)
-    log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    # The contexts of grams that occur in training are there in full depth, with at most 255 nodes each.
-    nodes = levels[depth].groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", "p"))).alias("nodes"))
-    known = grams.where("n > 0").withColumn("context", F.shiftright("key", 8)).join(nodes, "context")
-    steps = F.transform(_path(F.col("key").bitwiseAND(255)), lambda s: F.struct(F.element_at("nodes", s["node"]).alias("p"), s["bit"].alias("bit")))
-    worth = F.aggregate(steps, F.lit(0.0), lambda total, s: total + F.log10(F.when(s["bit"] == 1, s["p"]).otherwise(1 - s["p"])))
-    seen = known.select("key", "n", worth.alias("log"))
-    spread = grams.where("n = 0").select("key", "n", F.shiftright("key", 8).alias("context"), F.inline(_path(F.col("key").bitwiseAND(255))))
-    # Of others, each decision goes by its deepest context that is known, or is a half.
-    depths = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    tried = spread.withColumn("depth", depths).withColumn("context", F.expr("context & (shiftleft(1L, 8 * depth) - 1)"))
-    known = levels[0].withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        known = known.union(levels[d].withColumn("depth", F.lit(d)))
-    deepest = tried.join(known, ["depth", "context", "node"], "left").groupBy("key", "node").agg(F.max("bit").alias("bit"), F.coalesce(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("depth"))), F.lit(0.5)).alias("p"))
-    unseen = deepest.groupBy("key").agg(F.lit(0).cast("long").alias("n"), F.sum(log).alias("log"))
-    return seen.union(unseen)
+    likely = lambda p: F.when(p > 0, F.log10(p)).otherwise(F.raise_error(F.lit("a probability has to be positive")).cast("double"))
+    steps = F.transform(_path(F.col("key").bitwiseAND(255)), lambda s, i: F.struct(i.alias("i"), s["node"].alias("node"), s["bit"].alias("bit")))
+    start = F.struct(F.col("decided"), F.col("log"))
+    pending, parts = grams.withColumns({"decided": F.lit(0), "log": F.lit(0.0)}), []
+    for d in range(depth, -1, -1):
+        # At most 255 nodes a context; a probability here counts the weight of deeper contexts, which aren't known, at a half.
+        half = lambda c: F.col(c) + 0.5 * F.col("rest")
+        nodes = levels[d].groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct(half("zero").alias("zero"), half("one").alias("one"))))).alias("nodes"))
+        if d < 2:
+            nodes = F.broadcast(nodes)  # at most 256 contexts
+
+        def decide(so_far: Column, s: Column) -> Column:
+            p = F.element_at("nodes", s["node"])
+            here = (s["i"] == so_far["decided"]) & p.isNotNull()
+            return F.when(here, F.struct((so_far["decided"] + 1).alias("decided"), (so_far["log"] + likely(F.when(s["bit"] == 1, p["one"]).otherwise(p["zero"]))).alias("log"))).otherwise(so_far)
+
+        met = pending.withColumn("context", _suffix(F.shiftright("key", 8), d)).join(nodes, "context", "left")
+        met = met.withColumn("_step", F.when(F.col("nodes").isNull(), start).otherwise(F.aggregate(steps, start, decide))).select(*grams.columns, "_step.decided", "_step.log")
+        met = durable(met, "ctw-grams")
+        parts.append(met.where("decided = 8"))
+        pending = met.where("decided < 8")
+    parts.append(pending.withColumn("log", F.col("log") + (8 - F.col("decided")) * math.log10(0.5)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    discard(*levels)
+    return out.drop("decided")
 
 
 def _heavy(table: DataFrame, most: int, *values: str) -> list[np.ndarray]:
-    """key (as uint64, sorted) and values of the rows of largest n: at most `most` of them, rows of n up to a power of 2 together."""
-    size = F.floor(F.log2(F.col("n") + 1)).cast("int")
+    """key (as uint64, sorted) and values of the rows of largest `times`: at most `most` of them, those of a power of 2 together.
+
+    What is frequent in any text counts, in training or not, so that no frequent key is left for the join.
+    """
+    size = F.floor(F.log2(F.col("times") + 1)).cast("int")
     least, held = None, 0
     # At most 64 sizes.
     for bucket, count in sorted(map(tuple, table.groupBy(size).agg(F.count(F.lit(1))).collect()), reverse=True):
@@ -246,10 +279,10 @@ def lm_scores(docs: DataFrame, train: Column | None = None, depth: int = DEPTH)
     spark = docs.sparkSession
     train = F.coalesce(training_fold(F.col("doc_id")) if train is None else train, F.lit(True))
     counts = durable(corpus_counts(docs, train, depth), "ctw-counts")
-    words = counts.where(f"kind = {_WORD}").select("key", "n")
-    total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+    words = counts.where(f"kind = {_WORD}").select("key", "n", "times")
+    total, distinct = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(total or 0), int(distinct)
-    grams = durable(gram_logs(counts.where(f"kind = {_GRAM}").select("key", "n"), depth), "ctw-grams")
+    grams = gram_logs(counts.where(f"kind = {_GRAM}").select("key", "n", "times"), depth)
     heavy = _heavy(words, HEAVY, "n")
     model = spark.sparkContext.broadcast((*heavy, *_heavy(grams, HEAVY_GRAMS, "log")))
     end_count = int((words.where(F.col("key") == int(END_TOKEN)).first() or {"n": 0})["n"])
@@ -268,7 +301,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None, depth: int = DEPTH)
                 doc = np.repeat(np.arange(n), np.diff(of))
                 place, known = _found(keys, hashes)
                 base = np.bincount(doc[known], weights=logs[place[known]], minlength=n)
-                n_known = np.bincount(doc[known], minlength=n)
+                n_known = np.bincount(doc[known], weights=ns[place[known]] > 0, minlength=n).astype(np.int64)
                 rare = [(_WORD, *_rare_rows(doc[~known], hashes[~known]))]
                 mine, gram_of = grams_of(data, at, depth)
                 one, where = np.unique(mine, return_inverse=True)
@@ -295,7 +328,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None, depth: int = DEPTH)
 
     rows = docs.select("doc_id", "text", (~train).alias("held_out"))
     seen = durable(rows.mapInArrow(scan, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])), "ctw-scan")
-    known = words.select(F.lit(_WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value")).union(grams.select(F.lit(_GRAM), "key", "log"))
+    known = words.where("n > 0").select(F.lit(_WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value")).union(grams.select(F.lit(_GRAM), "key", "log"))
     of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0))
     worth = F.col("times") * F.col("value")
     rare = seen.where(f"kind <> {_TEXT}").select("rid", "kind", "key", "times").join(known, ["kind", "key"]).groupBy("rid").agg(of(_WORD, F.col("times")).alias("more"), of(_WORD, worth).alias("more_base"), of(_GRAM, worth).alias("more_score"))

@@ -334,7 +334,7 @@ def test_lm_scores(spark):
     for depth, found in ((ctw.DEPTH, got), (2, ctw.lm_scores(d, depth=2).collect())):
         for i, x in (rows[0], rows[7], rows[41], rows[40]):
             mine = [r["score"] for r in found if r["doc_id"] == i and r["n_bytes"] == len((x or "").encode())]
-            assert abs(mine[0] - ctw_brute(train, x or "", depth)) < 1e-3
+            assert abs(mine[0] - ctw_brute(train, x or "", depth)) < 1e-9
     assert ctw.lm_scores(d.limit(0)).count() == 0
 
 
@@ -358,6 +358,20 @@ def test_context_tree_is_a_distribution(spark):
         assert abs(sum(10.0 ** got[c << 8 | b] for b in range(256)) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("power", range(4, 13, 2))
+def test_context_tree_with_counts_of_any_size(spark, power):
+    """After 10**power sightings of a byte, the one that differs in its last bit has the estimate 1/2 : n + 1, at every depth alike; all bytes sum to 1."""
+    n = 10**power
+    contexts = (0x6161, 0x7A61, 0x7A7A)
+    grams = [(c << 8 | b, n if (c, b) == (0x6161, 0x61) else 3 if (c, b) == (0x7A61, 0x62) else 0) for c in contexts for b in range(256)]
+    got = {r["key"]: r["log"] for r in ctw.gram_logs(spark.createDataFrame(grams, "key long, n long"), 2).collect()}
+    for c in contexts:
+        assert abs(sum(10.0 ** got[c << 8 | b] for b in range(256)) - 1) < 1e-9
+    alone = {r["key"]: r["log"] for r in ctw.gram_logs(spark.createDataFrame([(0x616161, n), (0x616160, 0)], "key long, n long"), 2).collect()}
+    assert abs(alone[0x616160] - (7 * math.log10((n + 0.5) / (n + 1)) + math.log10(0.5 / (n + 1)))) < 1e-9
+    assert abs(alone[0x616161] - 8 * math.log10((n + 0.5) / (n + 1))) < 1e-9
+
+
 def test_texts_without_training_rows(spark):
     d = docs(spark, [(1, "ab"), (2, None)])
     got = {r["doc_id"]: r for r in ctw.lm_scores(d, F.lit(False)).collect()}
