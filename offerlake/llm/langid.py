@@ -25,8 +25,10 @@ WINDOW = 128
 WIDTHS = (2, 3, 5)
 #: Texts that the network is fitted on, of each language, at most about; and windows of one text, spread over it.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1500, 6
-#: Languages that are learned, the most frequent ones, and texts of all of them, at most about: what the driver fits on is bounded.
-LANGUAGES, TEXTS = 200, 60_000
+#: Texts of all languages that the driver fits on, at most about; every language has at least one, so that there can't be more languages.
+TEXTS = 60_000
+#: Adam's first step length; it falls to nothing over the steps.
+RATE = 1e-2
 _AT_ONCE = 512
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -86,36 +88,40 @@ class ByteNetwork:
             parts.append(z / z.sum(axis=1, keepdims=True))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
-    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 4e-3, seed: int = 3) -> None:
+    def gradients(self, windows: np.ndarray, target: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
+        """The mean cross-entropy of windows of languages target, and each parameter with its gradient."""
+        n, e = len(windows), self.embedding.shape[1]
+        hidden, kept = self._pooled(windows, keep=True)
+        z = hidden @ self.out + self.out_offset
+        z -= z.max(axis=1, keepdims=True)
+        log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        d = np.exp(log_p)
+        d[np.arange(n), target] -= 1
+        d /= n
+        back = (d @ self.out.T) * (hidden > 0)
+        found = [(self.out, hidden.T @ d), (self.out_offset, d.sum(axis=0))]
+        to_bytes = np.zeros_like(self.embedding)
+        at = 0
+        for width, w, b, (spans, best) in zip(WIDTHS, self.filters, self.offsets, kept, strict=True):
+            g = back[:, at : at + w.shape[1]]
+            at += w.shape[1]
+            picked = spans[np.arange(n)[:, None], best]  # n x f x width*e
+            found += [(w, np.einsum("nfk,nf->kf", picked, g)), (b, g.sum(axis=0))]
+            to_x = (w.T[None] * g[:, :, None]).reshape(n, -1, width, e)
+            hit = windows[np.arange(n)[:, None, None], best[:, :, None] + np.arange(width)]
+            np.add.at(to_bytes, hit, to_x)
+        return float(-log_p[np.arange(n), target].mean()), [*found, (self.embedding, to_bytes)]
+
+    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = RATE, seed: int = 3) -> None:
         """Minimise the cross-entropy by Adam, each language being drawn equally often."""
         rng = np.random.default_rng(seed)
         by_class = [np.flatnonzero(target == c) for c in range(len(self.languages))]
         state: dict[int, list[np.ndarray]] = {}
-        e = self.embedding.shape[1]
         for t in range(1, steps + 1):
             rows = np.array([rng.choice(by_class[c]) for c in rng.integers(0, len(by_class), batch)])
-            x = windows[rows]
-            hidden, kept = self._pooled(x, keep=True)
-            z = hidden @ self.out + self.out_offset
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = z / z.sum(axis=1, keepdims=True)
-            d[np.arange(batch), target[rows]] -= 1
-            d /= batch
-            back = (d @ self.out.T) * (hidden > 0)
-            steps_for = [(self.out, hidden.T @ d), (self.out_offset, d.sum(axis=0))]
-            to_bytes = np.zeros_like(self.embedding)
-            at = 0
-            for width, w, b, (spans, best) in zip(WIDTHS, self.filters, self.offsets, kept, strict=True):
-                g = back[:, at : at + w.shape[1]]
-                at += w.shape[1]
-                picked = spans[np.arange(batch)[:, None], best]  # batch x f x width*e
-                steps_for += [(w, np.einsum("nfk,nf->kf", picked, g)), (b, g.sum(axis=0))]
-                to_x = (w.T[None] * g[:, :, None]).reshape(batch, -1, width, e)
-                hit = x[np.arange(batch)[:, None, None], best[:, :, None] + np.arange(width)]
-                np.add.at(to_bytes, hit, to_x)
-            steps_for.append((self.embedding, to_bytes))
+            _, found = self.gradients(windows[rows], target[rows])
             pace = rate * (1 - t / (steps + 1))
-            for p, g in steps_for:
+            for p, g in found:
                 m, v = state.setdefault(id(p), [np.zeros_like(p), np.zeros_like(p)])
                 m *= 0.9
                 m += 0.1 * g
@@ -127,17 +133,19 @@ class ByteNetwork:
 def fit(docs: DataFrame, train: Column, texts: int = TEXTS_PER_LANGUAGE) -> ByteNetwork | None:
     """A network for the non-null lang values of the rows where train holds; None if there are no such rows.
 
-    The LANGUAGES most frequent values are learned. A language of more rows than texts is sampled by a hash of doc_id and text, rows
+    Every value is learned; over TEXTS of them raise an error. A language of more rows than texts is sampled by a hash of doc_id and text, rows
     that repeat both counting once, and each text gives about WINDOWS_PER_TEXT windows. The sample is bounded, however rows repeat.
     """
     text_batches(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(31), "doc_id", "text").alias("_place"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(TEXTS + 1)
     known = sorted((r[0], r[1]) for r in counts.collect())
     if not known:
         return None
+    if len(known) > TEXTS:
+        raise ValueError(f"over {TEXTS} languages")
     texts = max(1, min(texts, TEXTS // len(known)))
-    # One row for each language, at most LANGUAGES.
+    # One row for each language, at most TEXTS.
     shares = docs.sparkSession.createDataFrame([(language, min(1.0, 2 * texts / n)) for language, n in known], "lang string, share double")
     unit = F.pmod(F.col("_place"), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).drop("share").dropDuplicates(["lang", "_place"])

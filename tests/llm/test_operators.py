@@ -471,6 +471,45 @@ def test_network_learns_what_it_is_shown():
     assert loss() < 0.5 * before
 
 
+def test_network_gradient():
+    """Every parameter's gradient against differences: embedding, filters, their offsets, output and its offset."""
+    rng = np.random.default_rng(4)
+    network = langid.ByteNetwork.new(["a", "b", "c"], e=2, f=3)
+    network.embedding = network.embedding.astype(float)
+    network.filters = [w.astype(float) for w in network.filters]
+    network.offsets = [rng.standard_normal(3) * 0.1 for _ in network.offsets]
+    network.out, network.out_offset = network.out.astype(float), rng.standard_normal(3)
+    windows, target = rng.integers(1, 256, (7, langid.WINDOW)).astype(np.uint8), np.arange(7) % 3
+    _, found = network.gradients(windows, target)
+    assert len(found) == 2 + 2 * len(langid.WIDTHS) + 1
+    for parameter, gradient in found:
+        flat, want = parameter.reshape(-1), gradient.reshape(-1)
+        places = np.flatnonzero(want)[:40].tolist() + np.flatnonzero(want == 0)[:5].tolist()
+        assert np.any(want)
+        for i in places:
+            at, flat[i] = flat[i], flat[i] + 1e-6
+            above, flat[i] = network.gradients(windows, target)[0], at - 1e-6
+            below, flat[i] = network.gradients(windows, target)[0], at
+            assert abs((above - below) / 2e-6 - want[i]) < 1e-6
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_network_fits_other_windows(seed):
+    rng = np.random.default_rng(seed)
+    windows, target = rng.integers(1, 256, (12, langid.WINDOW)).astype(np.uint8), np.arange(12) % 3
+    network = langid.ByteNetwork.new(["a", "b", "c"], e=2, f=3)
+    before = network.gradients(windows, target)[0]
+    network.fit(windows, target, steps=60, batch=12)
+    assert network.gradients(windows, target)[0] < 0.5 * before
+
+
+def test_every_language_is_learned(spark):
+    """Over 200 languages, each of one word of its own."""
+    rows = [(i, f"w{i % 210:03d} " * 3, f"l{i % 210:03d}") for i in range(840)]
+    network = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(network.languages) == 210
+
+
 def test_windows_hold_all_bytes():
     data, at = textblocks.utf8(pa.array(["x" * 300, "", "ab"]))
     w, doc, held = langid.windows_of(data, at)
