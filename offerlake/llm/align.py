@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,11 +30,14 @@ from .store import durable, text_batches
 FREQUENT_PAIRS = 1 << 20
 #: Texts are aligned in runs of about so many bytes; a longer one is a run of its own.
 RUN_BYTES = 1 << 20
+#: Segments of each tokenizer that a worker remembers, at most.
+SEGMENTS = 1 << 19
 #: Links of larger groups are counted from their distinct ids.
 LARGE_GROUP = 1 << 12
 #: Where no token of A or B holds both sides: from a character that isn't white space to a space.
 SEGMENT = re.compile(f" [{WHITE}]*(?:[^{WHITE}]+(?:[\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000][{WHITE}]*)?)*")
-UNEVEN = re.compile(f"[{WHITE}] ")
+#: Texts in which some space doesn't stand behind a character that isn't white space (the one that is put before a text counts as none).
+UNEVEN = r"(?:^|[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
 #: How byte-level vocabularies of this kind split a text, for characters of Latin scripts; other segments are split by the library.
 LATIN = re.compile("[\t-\r -~\xa0-\u017f]*")
 LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTER}]+| ?[{LATIN_DIGIT}]+| ?[^\s{LATIN_LETTER}{LATIN_DIGIT}]+|\s+(?!\S)|\s+")
@@ -61,12 +63,15 @@ class SpacedBpe:
         for token, i in model["vocab"].items():
             self.bytes[i] = bytes([letters[c] for c in token])
             self.lengths[i] = len(self.bytes[i])
-        self.segment = Remember(self._segment)
+        self.segment = Remember(self._segment, SEGMENTS)
 
-    def _segment(self, segment: str) -> tuple[int, ...]:
-        word = self.bpe.word
+    def _segment(self, rest: str) -> tuple[int, ...]:
+        """The ids of the segment of a space and rest."""
+        segment, word = " " + rest, self.bpe.word
         if LATIN.fullmatch(segment):
-            return tuple(chain.from_iterable([word[w.encode()] for w in LATIN_WORDS.findall(segment)]))
+            words = LATIN_WORDS.findall(segment)
+            # A segment of one word is remembered as a segment.
+            return self.bpe.encode_word(segment.encode()) if len(words) == 1 else tuple(chain.from_iterable([word[w.encode()] for w in words]))
         byte = self.byte
         ids = tuple(chain.from_iterable([word[bytes([byte[c] for c in w])] for w, _ in self.split(segment)]))
         return ids if b"".join([self.bytes[i] for i in ids]) == segment.encode() else UNLIKE
@@ -85,22 +90,21 @@ class SpacedPieces:
         self.bytes = [bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode() for i, piece in enumerate(pieces)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.space = self.model.piece_to_id("▁")
-        self.segment = Remember(lambda segment: self._checked([segment])[0])
+        self.segment = Remember(lambda rest: self._checked([rest])[0], SEGMENTS)
 
-    def _checked(self, segments: list[str]) -> list[tuple[int, ...]]:
-        # The model puts a space before what it encodes, the first of the segment; before nothing it puts none.
+    def _checked(self, rests: list[str]) -> list[tuple[int, ...]]:
+        """The ids of the segments of a space and each of rests."""
+        # The model puts a space before what it encodes; before nothing it puts none.
         of = self.bytes
-        found = [ids if len(s) > 1 else [self.space] for s, ids in zip(segments, self.model.encode([s[1:] for s in segments], num_threads=1), strict=True)]
-        return [tuple(ids) if b"".join([of[i] for i in ids]) == s.encode() else UNLIKE for s, ids in zip(segments, found, strict=True)]
+        found = [ids if rest else [self.space] for rest, ids in zip(rests, self.model.encode(rests, num_threads=1), strict=True)]
+        return [tuple(ids) if b"".join([of[i] for i in ids]) == b" " + rest.encode() else UNLIKE for rest, ids in zip(rests, found, strict=True)]
 
-    def prepare(self, segments: list[str]) -> None:
-        """Encode what isn't known of segments in one call, so that each is quick to look up."""
-        known = self.segment
-        new = [s for s in set(segments) if s not in known and len(s) <= REMEMBERED_CHARS]
-        if len(known) + len(new) > known.most:
-            known.clear()
-            new = [s for s in set(segments) if len(s) <= REMEMBERED_CHARS][: known.most]
-        known.update(zip(new, self._checked(new), strict=True))
+    def prepare(self, rests: list[str]) -> None:
+        """Encode what isn't known of rests, which are distinct, in one call, so that each is quick to look up."""
+        known, older = self.segment, self.segment.older
+        new = [s for s in rests if s not in known and s not in older and len(s) <= REMEMBERED_CHARS]
+        for rest, ids in zip(new, self._checked(new), strict=True):
+            known.store(rest, ids)
 
 
 class Aligner:
@@ -111,19 +115,31 @@ class Aligner:
         self.ids_a = {mark: pa.array([f"{i}{mark}" for i in range(len(self.a.lengths))], pa.large_string()) for mark in ",|"}
         self.ids_b = {mark: pa.array([f"{i}{mark}" for i in range(len(self.b.lengths))], pa.large_string()) for mark in ",;"}
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids of a space and each text under A and B, none where their bytes aren't those, and the n+1 offsets of each text in them."""
-        parts = [[] if not t else [" " + x for x in t.split(" ")] if not UNEVEN.search(" " + t) else SEGMENT.findall(" " + t) for t in texts]
-        self.b.prepare(list(chain.from_iterable(parts)))
-        a, b, ends_a, ends_b = array("i"), array("i"), [0], [0]
-        for segments in parts:
-            ids_a, ids_b = (array("i", chain.from_iterable(map(x.segment.__getitem__, segments))) for x in (self.a, self.b))
-            if UNLIKE[0] not in ids_a and UNLIKE[0] not in ids_b:
-                a += ids_a
-                b += ids_b
-            ends_a.append(len(a))
-            ends_b.append(len(b))
-        return np.array(a, np.int32), np.array(b, np.int32), np.array(ends_a), np.array(ends_b)
+        n = len(texts)
+        texts = texts.fill_null("")
+        listed = pc.split_pattern(texts, " ")
+        if pc.any(pc.match_substring_regex(texts, UNEVEN)).as_py():
+            uneven = pc.match_substring_regex(texts, UNEVEN).to_pylist()
+            listed = pa.array([[x[1:] for x in SEGMENT.findall(" " + text)] if odd else text.split(" ") for text, odd in zip(texts.to_pylist(), uneven, strict=True)], pa.list_(texts.type))
+        coded = pc.list_flatten(listed).dictionary_encode()
+        rests, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        self.b.prepare(rests)
+        known = [list(map(x.segment.__getitem__, rests)) for x in (self.a, self.b)]
+        unlike = np.array([a is UNLIKE or b is UNLIKE for a, b in zip(*known, strict=True)], bool)
+        good = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        good[row[unlike[code]]] = False
+        row, code = row[good[row]], code[good[row]]
+        out, ends = [], []
+        for lists in known:
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat, first = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+            mine = sizes[code]
+            out.append(flat[np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine - first[code], mine)])
+            ends.append(np.concatenate([[0], np.cumsum(np.bincount(row, weights=mine, minlength=n).astype(np.int64))]))
+        return out[0], out[1], ends[0], ends[1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -237,7 +253,7 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             column = batch.column("text")
             for lo, hi in _runs(column):
                 n = hi - lo
-                a, b, ends_a, ends_b = model.batch(column.slice(lo, n).to_pylist())
+                a, b, ends_a, ends_b = model.batch(column.slice(lo, n))
                 at_a, at_b = groups_of(model.a.lengths[a], model.b.lengths[b])
                 text_of = np.searchsorted(ends_a, at_a[:-1], side="right") - 1
                 keys, times, of = linked_pairs(a, b, at_a, at_b, text_of, n)

@@ -42,19 +42,29 @@ LATIN_DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 class Remember(dict):
-    """The results of a function of short strings; forgets all when it is full, so that its memory is bounded."""
+    """The results of a function of short strings: at most `most`, in two generations.
+
+    When the younger one is full it becomes the older one, whose place it takes; what is asked for again moves back, so that frequent
+    strings stay.
+    """
 
     def __init__(self, function: Callable, most: int = REMEMBERED) -> None:
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, key: str):
-        value = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self.store(key, value)
+        return value
+
+    def store(self, key: str, value: object) -> None:
         if len(key) <= REMEMBERED_CHARS:
-            if len(self) >= self.most:
+            if 2 * len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 def byte_letters() -> list[str]:
@@ -91,7 +101,7 @@ class ForcedBpe:
             for x, y in zip(symbols, symbols[1:], strict=False):
                 self.held[512 * x + y] = 1
         self.ends = bool(end)
-        self.fragment = Remember(self._fragment)
+        self.fragment = Remember(self._fragment, 1 << 16)
         self.word = Remember(self.encode_word)
 
     def cuts(self, word: bytes) -> list[int]:
