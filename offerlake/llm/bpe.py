@@ -106,9 +106,15 @@ class ForcedBpe:
 
     def cuts(self, word: bytes) -> list[int]:
         """Positions of word before which a token has to begin: its start, every forced boundary and its length."""
-        held, to = self.held, len(word) - 1
-        inner = [i + 1 for i in range(to) if not held[512 * word[i] + word[i + 1] + (256 if self.ends and i + 1 == to else 0)]]
-        return [0, *inner, len(word)]
+        held, to = self.held, len(word)
+        inner = [i for i, (x, y) in enumerate(zip(word, word[1:], strict=False), 1) if not held[x << 9 | y]]
+        if self.ends and to > 1:
+            # The last byte is another symbol.
+            if inner and inner[-1] == to - 1:
+                inner.pop()
+            if not held[word[-2] << 9 | 256 | word[-1]]:
+                inner.append(to - 1)
+        return [0, *inner, to]
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The ids of a word that the splitter hands over in one piece."""
