@@ -269,9 +269,9 @@ def api_offers(pages: DataFrame) -> DataFrame:
     )
 
 
-def list_offers(pages: DataFrame) -> DataFrame:
-    """Offers of result pages, each page read in one way: API answer, embedded state, JSON-LD (where a shop puts it first or is
-    unknown), else its shop's cards."""
+def listed_offers(pages: DataFrame) -> DataFrame:
+    """Offers of result pages with page_url, i and reader, each page read in one way: API answer, embedded state, JSON-LD (where a shop
+    puts it first or is unknown), else its shop's cards."""
     keyed = pages.withColumn("_shop", shop_of(F.col("finalUrl")))
     first = F.coalesce(_pick_shop(lambda s: s.json_first), F.lit(True)) & ~host(F.col("finalUrl")).contains("product-api.rozetka.com.ua")
     structured = json_ld_offers(keyed.where(first))
@@ -280,7 +280,13 @@ def list_offers(pages: DataFrame) -> DataFrame:
     stated = pages.where(host(F.col("finalUrl")).contains("olx.ua") & _state_ads().isNotNull()).select(F.col("url").alias("page_url"))
     done = structured.select("page_url").union(stated).distinct()
     cards = card_offers(pages.join(done, F.col("url") == F.col("page_url"), "left_anti"))
-    return structured.unionByName(state).unionByName(api).unionByName(cards)
+    by = lambda table, reader: table.withColumn("reader", F.lit(reader))
+    return by(structured, "json-ld").unionByName(by(state, "state")).unionByName(by(api, "api")).unionByName(by(cards, "cards"))
+
+
+def list_offers(pages: DataFrame) -> DataFrame:
+    """The offers of listed_offers, without their reader."""
+    return listed_offers(pages).drop("reader")
 
 
 def _pick_shop(of) -> Column:
@@ -297,13 +303,16 @@ def page_offers(pages: DataFrame) -> DataFrame:
     """
     body = F.substring(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 1, 80_000)
     heading = F.coalesce(null_if_empty(F.regexp_extract("html", r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1)), null_if_empty(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))), F.col("title"), first_line(F.col("text")))
-    search = is_search_page(F.col("finalUrl"), heading) | is_search_page(F.col("url"), heading)
-    text = F.when(~search, body)
-    price, stock, state = page_price(text), text_availability(text), text_condition(text)
-    hits = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in (null_if_empty(heading), F.nullif(price["amount"], F.lit(0.0)), stock, state)), F.lit(0))
+    # Columns of their own: each is used several times below, and its expression would be repeated as often.
+    kept = pages.where(~is_missing_page(F.col("status"), F.col("title"), F.col("text"))).select("url", "finalUrl", "title", heading.alias("_heading"), body.alias("_body"))
+    kept = kept.withColumn("_search", is_search_page(F.col("finalUrl"), F.col("_heading")) | is_search_page(F.col("url"), F.col("_heading")))
+    kept = kept.withColumn("_text", F.when(~F.col("_search"), F.col("_body"))).drop("_body")
+    kept = kept.withColumns({"_price": page_price(F.col("_text")), "_stock": text_availability(F.col("_text")), "_state": text_condition(F.col("_text"))})
+    price, stock, state, search = (F.col(c) for c in ("_price", "_stock", "_state", "_search"))
+    hits = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in (null_if_empty(F.col("_heading")), F.nullif(price["amount"], F.lit(0.0)), stock, state)), F.lit(0))
     evidence = F.array_compact(F.array(F.when(search, "search results page"), F.concat(F.lit("price pattern: "), price["raw"]), F.concat(F.lit("availability pattern: "), stock), F.concat(F.lit("condition pattern: "), state)))
-    read = pages.where(~is_missing_page(F.col("status"), F.col("title"), F.col("text"))).select(
-        F.col("url").alias("page_url"), "finalUrl", "title", clean_title(heading).alias("h_title"), price["amount"].alias("h_price"), price["currency"].alias("h_currency"), stock.alias("h_availability"), state.alias("h_condition"), evidence.alias("h_evidence"), F.when(search, 0.35).otherwise(hits / 6).alias("h_confidence"),
+    read = kept.select(
+        F.col("url").alias("page_url"), "finalUrl", "title", clean_title(F.col("_heading")).alias("h_title"), price["amount"].alias("h_price"), price["currency"].alias("h_currency"), stock.alias("h_availability"), state.alias("h_condition"), evidence.alias("h_evidence"), F.when(search, 0.35).otherwise(hits / 6).alias("h_confidence"),
     )
     best = json_ld_offers(pages, 1).drop("url", "i", "sourceSite")
     names = ["price", "currency", "availability", "condition"]

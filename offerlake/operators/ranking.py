@@ -131,14 +131,16 @@ def _judged(df: DataFrame, query: str) -> DataFrame:
 def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = None) -> DataFrame:
     """offers with relevanceScore (0 to 1), matchGrade, matchReason, warnings, specs and normalized; one row for each.
 
-    features: from title_features, of a catalogue that holds the offers' titles, say; each title is then judged once, and offers are
-    joined with it (a title that it lacks says nothing). Without it all of this is Column expressions over the row and the query's
-    profile, which is a literal, and nothing is shuffled.
+    features: from title_features, of a catalogue that holds most of the offers' titles, say; each title is then judged once, and offers
+    are joined with it. Titles that it lacks are read from the offers, so that it never changes a result. Without it all of this is
+    Column expressions over the row and the query's profile, which is a literal, and nothing is shuffled.
     """
     if features is None:
         df = _judged(offers.withColumn("_f", _features(F.col("title"))), query)
     else:
-        judged = _judged(features.withColumnRenamed("features", "_f"), query).withColumnRenamed("title", "_title")
+        missing = title_features(offers.where("title is not null").join(features.select("title"), "title", "left_anti"))
+        whole = features.dropDuplicates(["title"]).unionByName(missing)
+        judged = _judged(whole.withColumnRenamed("features", "_f"), query).withColumnRenamed("title", "_title")
         df = offers.join(judged, F.col("title") == F.col("_title"), "left").drop("_title")
     none = F.array().cast("array<string>")
     evidence, asked = F.array_join(F.coalesce("evidence", none), " "), query_profile(F.lit(query))["specs"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,12 @@ from pyspark.sql import functions as F
 from .functions import models, pages, specs, text, urls
 from .operators import diff, discovery, extraction, grouping, model_catalog, ranking
 from .plans import query_plan
+from .plans.options import SearchSettings, fetcher_order
+from .plans.run import page_routes, route_pages, run_search
 from .plans.search import search_offers
 from .sources import history, providers
+from .sources.pages import best_pages
+from .sources.tables import shared_folder
 from .streaming.watch import watch
 
 SEARCH = "Tict small ring IC-61E"
@@ -317,14 +320,55 @@ def jsonld_extract(spark, sf_dir):
     return extraction.list_offers(made).select("title", "url", "price", "currency", "availability", "confidence")
 
 
+RUN_QUERY = "the reed price"
+
+
+def _run_inputs(spark, sf_dir):
+    """A candidate for each page, and what two fetchers got for it: shop cards, JSON-LD, plain products, direct searches without hits, blocked pages."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), '["\\\\]', "").alias("title"))
+    number, kind = F.col("page_id").cast("string"), (F.col("page_id") % 6).cast("int")
+    url = F.concat(
+        F.element_at(F.array(*[F.lit(x) for x in ("https://hotline.ua/ua/sr/?q=", "https://shop.example/l/", "https://plain.example/p/", "https://plain.example/d/", "https://hotline.ua/ua/p", "https://late.example/l/")]), kind + 1),
+        number,
+    )
+    provider = F.when(kind.isin(0, 3), F.concat(F.lit("ukrainian-market-search:src"), (F.col("page_id") % 17).cast("string"))).otherwise("brave")
+    candidates = p.select(F.col("page_id").alias("seq"), "title", url.alias("url"), F.lit(None).cast("string").alias("snippet"), provider.alias("sourceProvider"), (F.col("page_id") % 20).cast("int").alias("rank"))
+    card = lambda n: F.concat(F.lit('<div class="list-item"><a class="item-title" href="/ua/p'), number, F.lit(f'-{n}/">'), F.col("title"), F.lit(f" number {n}</a><span>{n}00 грн</span></div>"))
+    node = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"'), F.col("title"), F.lit('","url":"/item/'), number, F.lit('","offers":{"price":"50","priceCurrency":"UAH"}}</script>'))
+    good = F.when(kind == 0, F.concat(card(1), card(2))).when(kind.isin(1, 5), node).otherwise(F.concat(F.lit("<p>"), F.col("title"), F.lit("</p>")))
+    text = F.when(kind.isin(2, 3, 4), F.concat(F.col("title"), F.lit("\nЦіна 700 грн"))).otherwise("")
+    blocked = (kind == 5) | (F.col("page_id") % 12 == 5)
+    attempt = lambda fetcher, bad: p.select(
+        url.alias("url"), url.alias("finalUrl"), F.when(bad, "Just a moment").otherwise(F.col("title")).alias("title"), F.when(bad, "captcha").otherwise(good).alias("html"), F.lit(None).cast("string").alias("markdown"),
+        F.when(bad, "").otherwise(text).alias("text"), F.when(bad, 403).otherwise(200).alias("status"), F.lit(fetcher).alias("fetcher"),
+    )
+    return candidates, attempt("http", blocked).unionByName(attempt("browser", F.col("page_id") % 12 == 5))
+
+
+def search_run_routes(spark, sf_dir):
+    """Which reader each fetched page of a whole search took, and how many offers it gave."""
+    candidates, attempts = _run_inputs(spark, sf_dir)
+    return run_search(candidates, attempts, RUN_QUERY, SearchSettings(max_results=220, max_pages=60)).routes
+
+
+def page_readers(spark, sf_dir):
+    """The reader of every page, without budgets."""
+    candidates, attempts = _run_inputs(spark, sf_dir)
+    pages_got = best_pages(attempts, fetcher_order("auto", True)).join(candidates.select("url", "sourceProvider", F.col("seq").alias("place")), "url")
+    got = route_pages(pages_got, F.col("sourceProvider").startswith("ukrainian-market-search:"))
+    return page_routes(candidates.withColumn("place", F.col("seq")), pages_got, got)
+
+
+def search_run_groups(spark, sf_dir):
+    """The product families of the same search."""
+    candidates, attempts = _run_inputs(spark, sf_dir)
+    groups = run_search(candidates, attempts, RUN_QUERY, SearchSettings(max_results=220, max_pages=60)).groups
+    return groups.select("label", F.col("offerCount").cast("long").alias("offer_count"), F.col("minPrice").alias("min_price"), "currency")
+
+
 def watch_foreachbatch(spark, sf_dir):
     """Events as a stream of offers, watched in one micro-batch: the alerts of the first run."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-watch-")
-    folder = f"{base.rstrip('/')}/watch-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/watch-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def search(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +385,7 @@ QUERIES = {
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
-        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch,
+        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups,
     )
 }
 
@@ -351,6 +395,20 @@ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER B
 k AS (SELECT *, 'model:' || coalesce(brand, 'unknown-brand') || ':ic-' || code AS key, row_number() OVER (PARTITION BY brand, code ORDER BY round(relevance, 9) DESC, price, confidence DESC, seq) AS place FROM d),
 c AS (SELECT key, currency, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(place)) AS i FROM k GROUP BY key, currency)
 """
+_RUN = r"""
+WITH b AS (SELECT page_id, page_id % 6 AS kind, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '["\\]', '', 'g') AS title FROM pages),
+c AS (SELECT *, ['https://hotline.ua/ua/sr/?q=', 'https://shop.example/l/', 'https://plain.example/p/', 'https://plain.example/d/', 'https://hotline.ua/ua/p', 'https://late.example/l/'][kind + 1] || page_id AS url,
+  CASE WHEN kind IN (0, 3) THEN 'ukrainian-market-search:src' || (page_id % 17) ELSE 'brave' END AS provider, (page_id % 20)::INT AS rank FROM b),
+t AS (SELECT *, lower(title || chr(10) || chr(10) || url) AS everything, trim(regexp_replace(lower(title || '  ' || url), '[^\p{L}\p{N}]+', ' ', 'g')) AS txt FROM c),
+s AS (SELECT *, 100 - rank + 8 * list_sum(list_transform(['price','buy','used','купити','ціна','наявності','б/в','olx','rozetka','prom','hotline','flagman','shimano','daiwa'], lambda w: contains(everything, w)::INT))
+    + 12 * list_sum(list_transform(['the','reed','price'], lambda w: contains(everything, w)::INT)) + CASE WHEN kind IN (0, 3) THEN 24 ELSE 0 END AS score FROM t),
+j AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, page_id) AS n FROM s),
+d AS (SELECT * FROM j WHERE provider = 'brave' OR n <= 3 ORDER BY score DESC, page_id LIMIT 220),
+f AS (SELECT *, CASE WHEN kind IN (0, 3) THEN 100 ELSE 0 END + CASE WHEN kind = 0 THEN 0 ELSE 30 END + CASE WHEN contains(txt, 'the reed price') THEN 120 ELSE 0 END + CASE WHEN contains(txt, 'the') THEN 18 ELSE 0 END
+    + CASE WHEN contains(txt, 'reed') THEN 35 ELSE 0 END + CASE WHEN contains(txt, 'price') THEN 35 ELSE 0 END AS fetch_score FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY fetch_score DESC, rank, page_id) AS place FROM f QUALIFY place <= 60)
+"""
+_READER = "CASE WHEN page_id % 12 = 5 THEN 'unread' ELSE ['cards', 'json-ld', 'page', 'skipped', 'page', 'json-ld'][kind + 1] END AS reader, CASE WHEN page_id % 12 = 5 THEN 0 ELSE [2, 1, 1, 0, 1, 1][kind + 1] END::BIGINT AS n_offers"
 ORACLES = {
     "tokenize_titles": f"SELECT p_partkey, lower({TITLE}) AS tokens, len(string_split({TITLE}, ' '))::INT AS n_tokens FROM part",
     "tokenize_documents": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS w FROM documents)
@@ -406,5 +464,7 @@ t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || r
     "html_list_extract": f"""WITH p AS (SELECT *, {TITLE} AS title, row_number() OVER (PARTITION BY p_partkey // 15 ORDER BY p_partkey) AS i FROM part)
 SELECT title, 'https://hotline.ua/ua/p' || p_partkey || '/?a=1' AS url, floor(p_retailprice) AS price, 'UAH' AS currency, 'https://hotline.ua/i.png' AS image, 0.78::DOUBLE AS confidence FROM p WHERE i <= 12""",
     "jsonld_extract": f"SELECT {TITLE} AS title, 'https://shop.example/p/' || p_partkey AS url, floor(p_retailprice) + 0.5 AS price, 'UAH' AS currency, 'in_stock' AS availability, 0.82::DOUBLE AS confidence FROM part",
+    "search_run_routes": f'{_RUN} SELECT place, url, provider AS "sourceProvider", {_READER} FROM o',
+    "page_readers": f'{_RUN} SELECT page_id AS place, url, provider AS "sourceProvider", {_READER} FROM c',
     "watch_foreachbatch": "SELECT 'new_group' AS kind, event_type AS key, min(value) AS price FROM events GROUP BY event_type",
 }
