@@ -16,6 +16,7 @@ from .plans.search import search_offers
 from .sources import history, providers
 from .sources.pages import best_pages
 from .sources.tables import shared_folder
+from .streaming import saved, state
 from .streaming.watch import watch
 
 SEARCH = "Tict small ring IC-61E"
@@ -380,12 +381,55 @@ def watch_foreachbatch(spark, sf_dir):
     return spark.read.parquet(f"{folder}/run=0/alerts").select(F.col("type").alias("kind"), F.col("groupKey").alias("key"), F.col("currentPrice").alias("price"))
 
 
+def _event_offers(events: DataFrame) -> DataFrame:
+    """Events as offers of four searches: a group for each type and seventh of users, an offer for each user."""
+    user = F.col("user_id")
+    return events.select(
+        "ts", "event_id", F.concat(F.lit("s"), (user % 4).cast("string")).alias("search_id"), F.concat("event_type", (user % 7).cast("string")).alias("key"), F.concat(F.lit("u"), user.cast("string")).alias("url"), F.col("value").alias("price")
+    )
+
+
+def saved_search_runs(spark, sf_dir):
+    """Alerts of three runs of four saved searches, each run committed as one body."""
+    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    every = _event_offers(table(spark, sf_dir, "events"))
+    searches = spark.createDataFrame([(f"s{i}", f"n{i}", f"q{i}") for i in range(4)], "id string, name string, query string")
+
+    def search(run: int):
+        o = every.where(F.col("event_id") % 3 == run).groupBy("search_id", "key", "url").agg(F.min("price").alias("price"))
+        o = o.withColumn("title", F.col("url")).withColumn("place", F.xxhash64("url"))
+        none = F.array().cast("array<string>")
+        g = o.groupBy("search_id", "key").agg(F.min("price").alias("minPrice"), F.max("price").alias("maxPrice"), F.count(F.lit(1)).alias("offerCount"), F.min_by("url", F.struct("price", "url")).alias("bestUrl"))
+        g = g.withColumns({"label": F.col("key"), "currency": F.lit("UAH"), "sources": none, "sellers": none, "sellerCount": F.lit(0), "specs": F.lit(None).cast(history._SPECS), "place": F.xxhash64("key")})
+        return g, o
+
+    for run in range(3):
+        saved.run_saved(spark, folder, run, searches, lambda _, r=run: search(r), str(run))
+    return saved.read_sink(spark, folder, "alerts").select("run", "search_id", F.col("type").alias("kind"), "groupKey", "url", "previousPrice", "currentPrice")
+
+
+def watch_keyed_state(spark, sf_dir):
+    """Alerts of the events as a stream in three parts, one after the other, each a run of a day; the stream is stopped and goes on after each."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    events = _event_offers(table(spark, sf_dir, "events"))
+    ends = events.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.66])).first()[0]
+    before = [*ends, None]
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
+    at, least = F.unix_micros("ts"), None
+    for i, most in enumerate(before):
+        part = events.where(at > least) if least is not None else events
+        (part.where(at <= most) if most is not None else part).write.parquet(f"{folder}/in/part{i}")
+        state.watch_state(stream, "1 day", f"{folder}/alerts", f"{folder}/progress").awaitTermination()
+        least = most
+    return spark.read.schema(state.ALERT).parquet(f"{folder}/alerts").select("run", "search_id", F.col("type").alias("kind"), "groupKey", "url", "previousPrice", "currentPrice")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
-        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups,
+        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state,
     )
 }
 
@@ -409,6 +453,14 @@ f AS (SELECT *, CASE WHEN kind IN (0, 3) THEN 100 ELSE 0 END + CASE WHEN kind =
 o AS (SELECT *, row_number() OVER (ORDER BY fetch_score DESC, rank, page_id) AS place FROM f QUALIFY place <= 60)
 """
 _READER = "CASE WHEN page_id % 12 = 5 THEN 'unread' ELSE ['cards', 'json-ld', 'page', 'skipped', 'page', 'json-ld'][kind + 1] END AS reader, CASE WHEN page_id % 12 = 5 THEN 0 ELSE [2, 1, 1, 0, 1, 1][kind + 1] END::BIGINT AS n_offers"
+#: Alerts between neighbouring runs of o (run, before: the number of the search's run before, search_id, key, url, price).
+_RUN_ALERTS = """, g AS (SELECT run, before, search_id, key, min(price) AS p FROM o GROUP BY ALL)
+SELECT n.run, n.search_id, CASE WHEN w.p IS NULL THEN 'new_group' ELSE 'price_drop' END AS kind, n.key AS "groupKey", NULL::VARCHAR AS url, w.p AS "previousPrice", n.p AS "currentPrice"
+FROM g n LEFT JOIN g w ON w.search_id = n.search_id AND w.key = n.key AND w.run = n.before WHERE w.p IS NULL OR n.p < w.p
+UNION ALL SELECT n.run, n.search_id, 'new_offer', n.key, n.url, NULL, n.price FROM o n
+WHERE EXISTS (SELECT 1 FROM g w WHERE w.search_id = n.search_id AND w.key = n.key AND w.run = n.before)
+AND NOT EXISTS (SELECT 1 FROM o x WHERE x.search_id = n.search_id AND x.key = n.key AND x.url = n.url AND x.run = n.before)"""
+_EVENT_OFFER = "'s' || (user_id % 4) AS search_id, event_type || (user_id % 7) AS key, 'u' || user_id AS url, min(value) AS price"
 ORACLES = {
     "tokenize_titles": f"SELECT p_partkey, lower({TITLE}) AS tokens, len(string_split({TITLE}, ' '))::INT AS n_tokens FROM part",
     "tokenize_documents": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS w FROM documents)
@@ -466,5 +518,8 @@ SELECT title, 'https://hotline.ua/ua/p' || p_partkey || '/?a=1' AS url, floor(p_
     "jsonld_extract": f"SELECT {TITLE} AS title, 'https://shop.example/p/' || p_partkey AS url, floor(p_retailprice) + 0.5 AS price, 'UAH' AS currency, 'in_stock' AS availability, 0.82::DOUBLE AS confidence FROM part",
     "search_run_routes": f'{_RUN} SELECT place, url, provider AS "sourceProvider", {_READER} FROM o',
     "page_readers": f'{_RUN} SELECT page_id AS place, url, provider AS "sourceProvider", {_READER} FROM c',
+    "saved_search_runs": f"WITH o AS (SELECT event_id % 3 AS run, event_id % 3 - 1 AS before, {_EVENT_OFFER} FROM events GROUP BY ALL) {_RUN_ALERTS}",
+    "watch_keyed_state": f"""WITH e AS (SELECT *, date_trunc('day', ts) AS run FROM events WHERE value IS NOT NULL), a AS (SELECT run, {_EVENT_OFFER} FROM e WHERE run + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL),
+r AS (SELECT search_id, run, lag(run) OVER (PARTITION BY search_id ORDER BY run) AS before FROM (SELECT DISTINCT search_id, run FROM a)), o AS (SELECT a.*, before FROM a JOIN r USING (search_id, run)) {_RUN_ALERTS}""",
     "watch_foreachbatch": "SELECT 'new_group' AS kind, event_type AS key, min(value) AS price FROM events GROUP BY event_type",
 }
