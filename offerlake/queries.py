@@ -385,7 +385,7 @@ def _event_offers(events: DataFrame) -> DataFrame:
     """Events as offers of four searches: a group for each type and seventh of users, an offer for each user."""
     user = F.col("user_id")
     return events.select(
-        "ts", "event_id", F.concat(F.lit("s"), (user % 4).cast("string")).alias("search_id"), F.concat("event_type", (user % 7).cast("string")).alias("key"), F.concat(F.lit("u"), user.cast("string")).alias("url"), F.col("value").alias("price")
+        F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)))").alias("ts"), "event_id", F.concat(F.lit("s"), (user % 4).cast("string")).alias("search_id"), F.concat("event_type", (user % 7).cast("string")).alias("key"), F.concat(F.lit("u"), user.cast("string")).alias("url"), F.col("value").alias("price")
     )
 
 
@@ -412,10 +412,9 @@ def watch_keyed_state(spark, sf_dir):
     """Alerts of the events as a stream in three parts, one after the other, each a run of a day; the stream is stopped and goes on after each."""
     folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
     events = _event_offers(table(spark, sf_dir, "events"))
-    ends = events.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.66])).first()[0]
-    before = [*ends, None]
-    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
     at, least = F.unix_micros("ts"), None
+    before = [*events.agg(F.percentile_approx(at, [0.33, 0.66])).first()[0], None]
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
     for i, most in enumerate(before):
         part = events.where(at > least) if least is not None else events
         (part.where(at <= most) if most is not None else part).write.parquet(f"{folder}/in/part{i}")
@@ -519,7 +518,7 @@ SELECT title, 'https://hotline.ua/ua/p' || p_partkey || '/?a=1' AS url, floor(p_
     "search_run_routes": f'{_RUN} SELECT place, url, provider AS "sourceProvider", {_READER} FROM o',
     "page_readers": f'{_RUN} SELECT page_id AS place, url, provider AS "sourceProvider", {_READER} FROM c',
     "saved_search_runs": f"WITH o AS (SELECT event_id % 3 AS run, event_id % 3 - 1 AS before, {_EVENT_OFFER} FROM events GROUP BY ALL) {_RUN_ALERTS}",
-    "watch_keyed_state": f"""WITH e AS (SELECT *, date_trunc('day', ts) AS run FROM events WHERE value IS NOT NULL), a AS (SELECT run, {_EVENT_OFFER} FROM e WHERE run + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL),
+    "watch_keyed_state": f"""WITH e AS (SELECT *, epoch(date_trunc('day', ts))::BIGINT AS run FROM events WHERE value IS NOT NULL), a AS (SELECT run, {_EVENT_OFFER} FROM e WHERE run + 86400 <= (SELECT epoch(max(ts)) FROM events) GROUP BY ALL),
 r AS (SELECT search_id, run, lag(run) OVER (PARTITION BY search_id ORDER BY run) AS before FROM (SELECT DISTINCT search_id, run FROM a)), o AS (SELECT a.*, before FROM a JOIN r USING (search_id, run)) {_RUN_ALERTS}""",
     "watch_foreachbatch": "SELECT 'new_group' AS kind, event_type AS key, min(value) AS price FROM events GROUP BY event_type",
 }

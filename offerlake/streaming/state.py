@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ALERT = "search_id string, run timestamp, type string, groupKey string, url string, previousPrice double, currentPrice double"
+#: run is the second (of Unix time) at which a run begins.
+ALERT = "search_id string, run bigint, type string, groupKey string, url string, previousPrice double, currentPrice double"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,7 +32,7 @@ class _LastRun(StatefulProcessor):
         for run, offers in pd.concat(rows).groupby("run", sort=True):
             yield self._alerts(key[0], run, offers)
 
-    def _alerts(self, search_id: str, run: pd.Timestamp, offers: pd.DataFrame) -> pd.DataFrame:
+    def _alerts(self, search_id: str, run: int, offers: pd.DataFrame) -> pd.DataFrame:
         known = {k[0]: v[0] for k, v in self.groups.iterator()}
         seen = {tuple(k) for k in self.offers.keys()}
         least = offers.groupby("key", sort=True)["price"].min()
@@ -72,7 +73,7 @@ def snapshot_stream(offers: DataFrame, every: str, late: str = "0 seconds") -> D
     use_state_store(spark)
     whole = offers.where("search_id is not null and key is not null and url is not null and price is not null").withWatermark("ts", late)
     runs = whole.groupBy(F.window("ts", every), "search_id", "key", "url").agg(F.min("price").alias("price"))
-    rows = runs.select("search_id", F.col("window.start").alias("run"), "key", "url", "price")
+    rows = runs.select("search_id", F.unix_seconds("window.start").alias("run"), "key", "url", "price")
     return rows.groupBy("search_id").transformWithStateInPandas(statefulProcessor=_LastRun(), outputStructType=ALERT, outputMode="Append", timeMode="None")
 
 
