@@ -91,8 +91,13 @@ def title_features(titles: DataFrame) -> DataFrame:
 
 
 def _judged(df: DataFrame, query: str) -> DataFrame:
-    """df (title, _f) with what a title alone says for the query: _points, _warned, _reasons, _title_specs, _specs_points and normalized."""
-    df = df.withColumn("_q", query_profile(F.lit(query)))
+    """judge_titles of one query for all rows of df (title, _f)."""
+    return judge_titles(df.withColumn("_q", query_profile(F.lit(query)))).drop("_q")
+
+
+def judge_titles(df: DataFrame) -> DataFrame:
+    """df (title, _f of title_features, _q of query_profile) with what a title alone says for the row's query, in place of _f: _points, _warned,
+    _says, _title_specs, _specs_points and normalized."""
     df = df.withColumns({
         "_match": compatibility(F.col("_q.codes"), F.col("_f.codes")),
         "_hits": F.filter(F.col("_q.tokens"), lambda t: F.array_contains("_f.tokens", t)),
@@ -125,7 +130,7 @@ def _judged(df: DataFrame, query: str) -> DataFrame:
         "_title_specs": F.col("_f.specs"),
         "_specs_points": specs_score(F.col("_q.specs"), F.col("_f.specs")),
         "normalized": F.struct(brand.alias("brand"), F.transform("_f.codes", lambda c: c["normalized"]).alias("modelCodes"), F.col("_match").alias("modelMatch"), F.col("_f.models").alias("modelTokens"), F.col("_f.tokens").alias("titleTokens"), F.col("_f.codes").alias("codes"), first_family(F.col("_f.codes")).alias("family")),
-    }).drop("_q", "_f", "_match", "_hits", "_model_hits")
+    }).drop("_f", "_match", "_hits", "_model_hits")
 
 
 def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = None) -> DataFrame:
@@ -142,8 +147,13 @@ def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = No
         whole = features.dropDuplicates(["title"]).unionByName(missing)
         judged = _judged(whole.withColumnRenamed("features", "_f"), query).withColumnRenamed("title", "_title")
         df = offers.join(judged, F.col("title") == F.col("_title"), "left").drop("_title")
+    return score_offers(df, query_profile(F.lit(query))["specs"])
+
+
+def score_offers(df: DataFrame, asked: Column) -> DataFrame:
+    """df, offers with the columns of judge_titles, scored; asked: the specs of the row's query."""
     none = F.array().cast("array<string>")
-    evidence, asked = F.array_join(F.coalesce("evidence", none), " "), query_profile(F.lit(query))["specs"]
+    evidence = F.array_join(F.coalesce("evidence", none), " ")
     df = df.withColumn("specs", F.when(evidence == "", F.col("_title_specs")).otherwise(parse_specs(F.concat_ws(" ", "title", evidence))))
     points = (
         F.coalesce("_points", F.lit(0.0))
@@ -162,7 +172,11 @@ def enrich_offers(offers: DataFrame, query: str, features: DataFrame | None = No
 
 def passes(query: str, wanted: OfferFilter) -> Column:
     """Whether an enriched offer passes: no other model, and the prices, condition and sources that are asked for."""
-    q = query_profile(F.lit(query))
+    return passes_profile(query_profile(F.lit(query)), wanted)
+
+
+def passes_profile(q: Column, wanted: OfferFilter) -> Column:
+    """passes for a query_profile, which may differ from row to row."""
     known = F.array_union("normalized.titleTokens", "normalized.modelTokens")
     required = F.filter(q["tokens"], lambda t: ~t.rlike(r"^\d{2}$"))
     covered = (F.size(required) >= 2) & F.forall(required, lambda t: F.array_contains(known, t))

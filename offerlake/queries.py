@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import models, pages, specs, text, urls
-from .operators import diff, discovery, extraction, grouping, model_catalog, ranking
+from .operators import diff, discovery, extraction, grouping, match, model_catalog, ranking
 from .plans import query_plan
 from .plans.options import SearchSettings, fetcher_order
 from .plans.run import page_routes, route_pages, run_search
@@ -423,12 +423,22 @@ def watch_keyed_state(spark, sf_dir):
     return spark.read.schema(state.ALERT).parquet(f"{folder}/alerts").select("run", "search_id", F.col("type").alias("kind"), "groupKey", "url", "previousPrice", "currentPrice")
 
 
+def many_saved_searches(spark, sf_dir):
+    """A saved search for every supplier, all of them against all line items in one plan: the best 20 offers of each."""
+    key = F.col("s_suppkey")
+    brand = F.element_at(F.array(*[F.lit(x) for x in ("Shimano", "Daiwa", "Tict")]), (key % 3 + 1).cast("int"))
+    letter = F.substring(F.lit("SMLEP"), (key % 5 + 1).cast("int"), F.lit(1))
+    searches = table(spark, sf_dir, "supplier").select(key.alias("search_id"), F.concat(brand, F.lit(" IC-"), (50 + key * 7 % 50).cast("string"), letter).alias("query"))
+    best = match.match_searches(searches, offers(spark, sf_dir), ranking.OfferFilter(limit=20))
+    return best.select("search_id", F.col("place").cast("long").alias("place"), "seq", F.round("relevanceScore", 6).alias("relevance"), "matchGrade", "matchReason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
-        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state,
+        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches,
     )
 }
 
@@ -520,5 +530,10 @@ SELECT title, 'https://hotline.ua/ua/p' || p_partkey || '/?a=1' AS url, floor(p_
     "saved_search_runs": f"WITH o AS (SELECT event_id % 3 AS run, event_id % 3 - 1 AS before, {_EVENT_OFFER} FROM events GROUP BY ALL) {_RUN_ALERTS}",
     "watch_keyed_state": f"""WITH e AS (SELECT *, epoch(date_trunc('day', ts))::BIGINT AS run FROM events WHERE value IS NOT NULL), a AS (SELECT run, {_EVENT_OFFER} FROM e WHERE run + 86400 <= (SELECT epoch(max(ts)) FROM events) GROUP BY ALL),
 r AS (SELECT search_id, run, lag(run) OVER (PARTITION BY search_id ORDER BY run) AS before FROM (SELECT DISTINCT search_id, run FROM a)), o AS (SELECT a.*, before FROM a JOIN r USING (search_id, run)) {_RUN_ALERTS}""",
+    "many_saved_searches": f"""WITH s AS (SELECT s_suppkey AS search_id, ['shimano', 'daiwa', 'tict'][s_suppkey % 3 + 1] AS asked, (50 + s_suppkey * 7 % 50)::VARCHAR || lower(substr('SMLEP', (s_suppkey % 5 + 1)::INT, 1)) AS wanted FROM supplier),
+m AS (SELECT search_id, seq, confidence, wanted, asked, brand = asked AS same, greatest(0, least(1, (CASE WHEN brand = asked THEN 30 + 35 WHEN brand IS NULL THEN 17.5 ELSE 17.5 - 18 END + 25 + 24 + 4 + CASE WHEN condition = 'used' THEN 2 ELSE 0 END) / 100.0)) AS r FROM s JOIN ({OFFERS}) ON code = wanted),
+p AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(r, 9) DESC, confidence DESC, seq) AS place FROM m)
+SELECT search_id, place, seq, round(r, 6)::DOUBLE AS relevance, CASE WHEN r >= 0.82 THEN 'exact' WHEN r >= 0.58 THEN 'close' WHEN r >= 0.34 THEN 'broad' ELSE 'weak' END AS "matchGrade",
+CASE WHEN same THEN 'brand ' || asked || '; ' ELSE '' END || 'model tokens: ic-' || wanted || ', ' || wanted || '; matched: ' || CASE WHEN same THEN asked || ', ' ELSE '' END || 'ic-' || wanted AS "matchReason" FROM p WHERE place <= 20""",
     "watch_foreachbatch": "SELECT 'new_group' AS kind, event_type AS key, min(value) AS price FROM events GROUP BY event_type",
 }
