@@ -76,18 +76,21 @@ class _Tally:
 
     def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
         """Count keys; trained says which of them stand in training texts."""
-        keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-        self.parts.append((keys, np.stack([np.bincount(place[trained], minlength=len(keys)), n], axis=1)))
-        self.held += len(keys)
+        for part, times in ((keys[trained], (1, 1)), (keys[~trained], (0, 1))):
+            if len(part):
+                part, n = np.unique(part, return_counts=True)
+                self.parts.append((part, n[:, None] * np.array(times)))
+                self.held += len(part)
         if self.held > 2 * _TALLY and len(self.parts) > 1:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        n = np.zeros((len(keys), 2), np.int64)
-        np.add.at(n, place, np.concatenate([c for _, c in self.parts]))
-        self.parts, self.held = [(keys, n)], len(keys)
-        return keys, n
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")  # parts are sorted runs
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.parts, self.held = [(keys[first], np.add.reduceat(counts[order], first, axis=0))], len(first)
+        return self.parts[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
