@@ -198,7 +198,7 @@ class WordTokenizer:
         for name, chars in (("\\p{L}", LATIN_LETTER), ("\\p{N}", LATIN_DIGIT), ("\\s", WHITE)):
             pattern = pattern.replace(f"[{name}]", f"[{chars}]").replace(name, chars)
         self.latin_words = re.compile(pattern).findall
-        self.chunk = Remember(self._chunk)
+        self.chunk = Remember(self._chunk, 2 * REMEMBERED)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of a string without white space and special tokens."""
