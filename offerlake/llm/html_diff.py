@@ -2,12 +2,12 @@
 
 1. A page is read into visible text lines (blocks), each of which knows whether it is inside article or main, and whether it is
    inside an element that is never main text (menus, forms, adverts and the like, by element, role, class or id).
-2. All pages are sorted by host and URL path into ranges of bounded size; each page is paired with its neighbour in the host of the
-   longest common path prefix, also across the bounds of ranges. The two pages' lines are aligned by their longest common
-   subsequence, and shared lines are deleted.
+2. All pages are sorted by host and URL path into ranges, a fixed number for each shuffle partition; each page is paired with that of
+   its two nearest neighbours of other html in the host that has the longer common path prefix, also across the bounds of ranges.
+   The two pages' lines are aligned by their longest common subsequence, and shared lines are deleted.
 3. Lines inside article or main are kept although shared: pages of one host do repeat paragraphs, which are main text all the
-   same. If a page has such an element, only its lines are the main text. Where all is shared the partner is a copy, and
-   nothing is deleted.
+   same. If a page has such an element, only its lines are the main text. Where all is shared the partner shows the same, and
+   nothing is deleted. Copies of a page aren't its partners: they get the text that the page has alone.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_batches
+from .store import discard, durable, text_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -42,6 +42,8 @@ NEVER_NAMED = frozenset(
     "disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promotion related reply replies "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that such names are made up with. Inside an article or main a name tells only if it holds nothing else: share-buttons, not share-price.
+BESIDE = frozenset("area bar block box buttons container content form inner items left link links list outer panel posts right section slot thread top unit wrap wrapper".split())
 
 
 class Line(NamedTuple):
@@ -61,8 +63,11 @@ def _never(name: str, attributes: str, main: bool) -> int:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return HARD
         # An article's own class words say what it is about, not that it isn't one.
-        if name not in MAIN and key in ("class", "id", "role") and not NEVER_NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            found = max(found, SOFT)
+        if name not in MAIN and key in ("class", "id", "role"):
+            for word in value.split():
+                parts = set(filter(None, re.split(r"[^a-z0-9]+", word)))
+                if not NEVER_NAMED.isdisjoint(parts) and (not main or parts <= NEVER_NAMED | BESIDE):
+                    found = max(found, SOFT)
     return found
 
 
@@ -228,11 +233,8 @@ def main_text(lines: list[Line], partner: list[Line] | None) -> str:
 
 
 class _Page(NamedTuple):
-    page_id: int | None
-    url: str | None
     host: str
     path: str
-    html: str | None
     lines: list[Line]
 
 
@@ -248,55 +250,110 @@ _OUT = "page_id long, url string, text string, n_chars long"
 SAMPLED_KEYS = 20_000
 #: Ranges for each shuffle partition.
 RANGES_PER_PARTITION = 4
+#: Bounds of one batch of texts, in rows and characters.
+_BATCH_ROWS, _BATCH_CHARS = 1_000, 1 << 22
+
+
+def _text_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Record batches of (page_id, url, text), bounded in rows and characters."""
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        ids, urls, texts = zip(*held, strict=True)
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, urls, texts, [len(x) for x in texts]), kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[2])
+        if len(held) >= _BATCH_ROWS or chars >= _BATCH_CHARS:
+            yield batch_of(held)
+            held, chars = [], 0
+    if held:
+        yield batch_of(held)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of sorted pages, range by range; pages that only stand by as neighbours give none."""
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
-
-    def settle(before: tuple | None, here: tuple, after: tuple | None) -> list[tuple]:
-        number, own, page = here
-        if not own:
-            return []
-        near = [x[2] if x and x[0] == number else None for x in (before, after)]
-        text = _differenced(page, *near)
-        return [(page.page_id, page.url, text, len(text))]
-
-    before = here = None
-    for batch in batches:
-        rows = []
-        for number, own, i, u, h, p, x in zip(*(batch.column(n).to_pylist() for n in ("range", "own", "page_id", "url", "host", "path", "html")), strict=True):
-            after = (number, own, _Page(i, u, h, p, x, lines_of(x)))
-            if here:
-                rows += settle(before, here, after)
-            before, here = here, after
-        if rows:
-            yield batch_of(rows)
-    if here:
-        yield batch_of(settle(before, here, None))
+    """Texts of sorted pages, range by range; pages that only stand by as neighbours give none.
+
+    Copies of a page follow each other and are read once. What is held of them is their ids and urls.
+    """
+
+    def rows() -> Iterator[tuple]:
+        part = run = before = here = None
+        waiting: list[tuple] = []
+
+        def settled(after: _Page | None) -> Iterator[tuple]:
+            if waiting:
+                text = _differenced(here, before, after)
+                yield from ((i, u, text) for i, u in waiting)
+                waiting.clear()
+
+        for batch in batches:
+            for number, r, own, i, u, h, p, x in zip(*(batch.column(n).to_pylist() for n in ("range", "run", "own", "page_id", "url", "host", "path", "html")), strict=True):
+                if (number, r) != (part, run):
+                    page = _Page(h, p, lines_of(x))
+                    if number == part:
+                        yield from settled(page)
+                        before = here
+                    else:
+                        yield from settled(None)
+                        before = None
+                    part, run, here = number, r, page
+                if own:
+                    waiting.append((i, u))
+        yield from settled(None)
+
+    return _text_batches(rows())
+
+
+def _beside(ends: list[tuple]) -> list[tuple[str, int]]:
+    """(key, range): the pages of other ranges that each range needs as neighbours.
+
+    ends has for each range (range, first run, last run, last key of another run than the last, first key of another run than the
+    first, first key, last key). A range needs the nearest page before it that isn't of its first run, and the nearest one
+    behind it that isn't of its last run; both may lie several ranges off where a page has many copies.
+    """
+    out = []
+    ends = sorted(ends)
+    before: list[tuple[str, str]] = []  # the last page so far, and the last one of another run than that: (run, key)
+    for number, first, last, other_last, _, _, last_key in ends:
+        out += [(key, number) for run, key in before if run != first][:1]
+        if other_last is not None:
+            before = [(last, last_key), ("", other_last)]
+        elif not before or before[0][0] != last:
+            before = [(last, last_key), *before[:1]]
+    after: list[tuple[str, str]] = []
+    for number, first, last, _, other_first, first_key, _ in reversed(ends):
+        out += [(key, number) for run, key in after if run != last][:1]
+        if other_first is not None:
+            after = [(first, first_key), ("", other_first)]
+        elif not after or after[0][0] != first:
+            after = [(first, first_key), *after[:1]]
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
     Null and empty html give an empty text. Pages without a host (null or odd URLs) form a host of their own; a page that is alone
-    in its host has no partner. Repeated rows are pages each. Other columns are left aside.
+    in its host has no partner. Repeated rows are pages each, with the text of a single one: a page of the same URL path and html is
+    a copy, never a partner. Other columns are left aside.
 
     The order of pages is parted into ranges at keys that are sampled once, so that ranges stay the same however often a task is run
-    again. Each range also gets the last page before it and the first page behind it.
+    again. Each range also gets its neighbours before and behind it. Keys are written once and read for all that is asked of them.
     """
     spark = pages.sparkSession
     text_batches(spark)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_replace("url", r"(?d)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*", ""), F.lit(""))
-    key = F.concat_ws("\u0000", "host", "path", F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex(F.xxhash64("html")))
-    located = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path")).withColumn("key", key)
-    n_pages = located.count()
+    run = F.concat_ws("\u0000", "host", "path", F.coalesce(F.md5("html"), F.lit("")))
+    key = F.concat_ws("\u0000", "run", F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    located = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path")).withColumn("run", run).withColumn("key", key)
+    known = durable(located.select("run", "key"), "pages-keys")
+    n_pages = known.count()
     share = min(1.0, SAMPLED_KEYS / max(1, n_pages))
-    picked = located.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").distinct()
+    picked = known.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").distinct()
     keys = sorted(r[0] for r in picked.limit(2 * SAMPLED_KEYS).collect())
     n_ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
@@ -305,12 +362,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def range_of(k: pd.Series) -> pd.Series:
         return pd.Series([bisect_right(bounds, x) for x in k], dtype="int32")
 
-    dealt = located.withColumn("range", range_of("key"))
-    # The first and last page of each range: at most two a range, whose keys the driver pairs with the ranges beside.
-    ends = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.min("key"), F.max("key")).collect())
-    beside = [(first, r) for (r, _, _), (_, first, _) in zip(ends, ends[1:], strict=False)] + [(last, r) for (_, _, last), (r, _, _) in zip(ends, ends[1:], strict=False)]
-    names = ["page_id", "url", "html", "host", "path", "key"]
+    # Two rows at most for each range, whose keys the driver pairs with the ranges beside.
+    dealt = known.withColumn("range", range_of("key"))
+    edges = dealt.groupBy("range").agg(F.min(F.struct("key", "run")).alias("a"), F.max(F.struct("key", "run")).alias("z"))
+    edges = durable(edges.select("range", F.col("a.run").alias("first"), F.col("z.run").alias("last"), F.col("a.key").alias("first_key"), F.col("z.key").alias("last_key")), "pages-edges")
+    other = lambda run: F.when(F.col("run") != F.col(run), F.col("key"))
+    inner = dealt.join(F.broadcast(edges), "range").groupBy("range", "first", "last", "first_key", "last_key").agg(F.max(other("last")).alias("other_last"), F.min(other("first")).alias("other_first"))
+    beside = _beside([tuple(r) for r in inner.select("range", "first", "last", "other_last", "other_first", "first_key", "last_key").collect()])
+    discard(known, edges)
+    names = ["page_id", "url", "html", "host", "path", "run", "key"]
     guests = located.join(F.broadcast(spark.createDataFrame(beside, "key string, range int")), "key").dropDuplicates(["key", "range"]).select(*names, "range", F.lit(False).alias("own"))
-    rows = dealt.select(*names, "range", F.lit(True).alias("own")).unionByName(guests)
+    rows = located.withColumn("range", range_of("key")).select(*names, "range", F.lit(True).alias("own")).unionByName(guests)
     ordered = rows.repartition("range").sortWithinPartitions("range", "key", "own")
-    return ordered.select("range", "own", "page_id", "url", "host", "path", "html").mapInArrow(_texts, _OUT)
+    return ordered.select("range", "run", "own", "page_id", "url", "host", "path", "html").mapInArrow(_texts, _OUT)

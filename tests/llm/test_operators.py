@@ -798,3 +798,47 @@ def test_neighbours_in_a_large_host(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert got == {i: f"own {i}" for i, _, _ in rows}
+
+
+def test_names_inside_an_article():
+    page = "<div class='share-price'>menu</div><article><div class='share-price'><p>Shares rose</p></div><div class='share-buttons ad'>x</div><div class='price related'>y</div></article>"
+    assert html_diff.main_text(html_diff.lines_of(page), None) == "Shares rose"
+
+
+def test_copies_are_no_partners(spark):
+    """A page's text is the same however often it and its neighbours are repeated, in whatever ranges its copies lie."""
+    page = lambda x: f"<div>Home</div><div>Shop</div><p>{x}</p>"
+    rng = random.Random(21)
+    one = [(f"http://{h}.example/{p}", page(f"{h} {p} {v}")) for h in "ab" for p in ("x", "x/1", "x/2", "y") for v in range(rng.randint(1, 2))]
+    rows = [(i, *row) for i, row in enumerate(row for row in one for _ in range(rng.choice((1, 2, 40))))] + [(999, *one[0]), (999, *one[0]), (None, *one[0])]
+    rng.shuffle(rows)
+    want = {(u, x): x.split("<p>")[1].split("</p>")[0] for u, x in one}
+    html_of = {i: x for i, _, x in rows}
+    for partitions in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = [(r["page_id"], r["url"], r["text"]) for r in html_diff.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(got, key=str) == sorted(((i, u, want[u, html_of[i]]) for i, u, _ in rows), key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbours_of_ranges(seed):
+    """Each range gets the nearest pages of another run than its first and last one."""
+    rng = random.Random(seed)
+    for _ in range(200):
+        keys = sorted(f"{rng.randint(0, 4)}/{i:03d}" for i in range(rng.randint(1, 30)))
+        bounds = sorted(rng.sample(keys, min(len(keys), 6)))
+        ranges: dict[int, list[str]] = {}
+        for k in keys:
+            ranges.setdefault(sum(k >= b for b in bounds), []).append(k)
+        run = lambda k: k[0]
+        ends = [(n, run(r[0]), run(r[-1]), max((k for k in r if run(k) != run(r[-1])), default=None), min((k for k in r if run(k) != run(r[0])), default=None), r[0], r[-1]) for n, r in ranges.items()]
+        got: dict[int, set[str]] = {}
+        for key, n in html_diff._beside(ends):
+            got.setdefault(n, set()).add(run(key))
+        for n, r in ranges.items():
+            before = [run(k) for k in keys if k < r[0] and run(k) != run(r[0])][-1:]
+            after = [run(k) for k in keys if k > r[-1] and run(k) != run(r[-1])][:1]
+            assert got.get(n, set()) == set(before + after)
