@@ -433,12 +433,36 @@ def many_saved_searches(spark, sf_dir):
     return best.select("search_id", F.col("place").cast("long").alias("place"), "seq", F.round("relevanceScore", 6).alias("relevance"), "matchGrade", "matchReason")
 
 
+def _two_step_answers(spark, sf_dir):
+    """(answers, goods, variants): each order asks a marketplace for its parts, whose own answers come from a second table; some fail."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    item = F.struct("l_linenumber", "l_partkey", F.when(F.col("l_quantity") <= 45, F.col("l_partkey")).alias("id"))
+    # An order has a few lines.
+    asked = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"))).alias("goods"))
+    asked = asked.withColumn("query", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")))
+    meta = F.when(F.col("l_orderkey") % 2 == 0, F.struct(F.concat(F.lit("found for "), F.col("query")).alias("title")))
+    body = F.to_json(F.struct(F.struct("goods", meta.alias("meta")).alias("data")))
+    answers = asked.select(F.lit("rozetka-search").alias("provider"), "query", body.alias("body"))
+    data = F.struct(
+        key.alias("id"), F.when(key % 5 != 0, F.col("p_name")).alias("title"), F.when(key % 3 != 0, F.floor("p_retailprice")).otherwise(0).alias("price"),
+        F.when(key % 13 != 0, F.concat(F.lit("https://rozetka.com.ua/p"), key.cast("string"))).alias("href"), F.when(key % 2 == 0, "available").alias("sell_status"), F.when(key % 4 == 3, "active").alias("status"),
+    )
+    goods = part.where(key % 7 != 0).select(key.alias("goods_id"), F.to_json(F.struct(F.when(key % 11 != 0, data).alias("data"))).alias("body"))
+    return answers, goods, asked.select("query", F.col("l_orderkey").alias("variant_place"))
+
+
+def two_step_candidates(spark, sf_dir):
+    found = providers.all_candidates(*_two_step_answers(spark, sf_dir), limit=4)
+    return found.where(F.col("sourceProvider") == "rozetka-api").select("query", "title", "url", "snippet", F.col("rank").cast("long").alias("rank"), "seq")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
-        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches,
+        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches, two_step_candidates,
     )
 }
 
@@ -520,6 +544,16 @@ UNION ALL SELECT 'new_offer', o.key, o.url, NULL, o.price, 'New offer for ' || u
 r AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM m)
 SELECT id, (1001 - i + CASE WHEN c >= 1000000 THEN 80 WHEN c >= 250000 THEN 40 ELSE 0 END + CASE WHEN o >= 32000 THEN 20 ELSE 0 END + CASE k % 4 WHEN 0 THEN 30 WHEN 1 THEN 8 WHEN 2 THEN -250 ELSE 0 END)::BIGINT AS score,
 'free text model; OpenRouter sorted rank #' || i || CASE WHEN c >= 1000000 THEN '; very large context' WHEN c >= 250000 THEN '; large context' ELSE '' END || CASE WHEN o >= 32000 THEN '; large completion budget' ELSE '' END || CASE k % 4 WHEN 0 THEN '; general reasoning family' WHEN 1 THEN '; coding-capable family' WHEN 2 THEN '; penalized safety/moderation model' ELSE '' END AS reason FROM r""",
+    "two_step_candidates": """
+WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_quantity <= 45),
+a AS (SELECT *, 'order ' || l_orderkey AS query FROM l JOIN part ON p_partkey = l_partkey WHERE n <= 4 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)
+SELECT query, CASE WHEN p_partkey % 5 <> 0 THEN p_name ELSE 'Rozetka product ' || p_partkey END AS title,
+  'https://product-api.rozetka.com.ua/v4/goods/get-main?goodsId=' || p_partkey || '&front-type=xl&country=UA&lang=ua' AS url,
+  coalesce(nullif(concat_ws(' | ', CASE WHEN p_partkey % 3 <> 0 THEN floor(p_retailprice)::BIGINT || ' UAH' END, CASE WHEN p_partkey % 2 = 0 THEN 'available' WHEN p_partkey % 4 = 3 THEN 'active' END,
+      CASE WHEN p_partkey % 13 <> 0 THEN 'https://rozetka.com.ua/p' || p_partkey END), ''),
+    CASE WHEN l_orderkey % 2 = 0 THEN 'found for ' || query ELSE 'Rozetka search API result for ' || query END) AS snippet,
+  n AS rank, (l_orderkey * 64 + 7) * 1048576 + n AS seq
+FROM a""",
     "query_variants": f"""WITH q AS (SELECT p_partkey, {TITLE} AS t FROM part), v AS (SELECT p_partkey, unnest(generate_series(0, 11))::INT AS place, [t, t || ' купити Україна', t || ' ціна Україна', t || ' в наявності', t || ' б/в OLX', t || ' site:olx.ua OR site:prom.ua OR site:rozetka.com.ua', t || ' site:hotline.ua OR site:ek.ua',
 t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || regexp_extract(t, 'IC-.*') || '" купити Україна', '"' || regexp_extract(t, 'IC-.*') || '" ціна', t || ' Japan used', t || ' JDM fishing tackle'] AS vs FROM q) SELECT p_partkey, place, vs[place + 1] AS variant FROM v""",
     "html_list_extract": f"""WITH p AS (SELECT *, {TITLE} AS title, row_number() OVER (PARTITION BY p_partkey // 15 ORDER BY p_partkey) AS i FROM part)

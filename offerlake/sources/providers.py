@@ -93,13 +93,17 @@ def direct_candidates(queries: DataFrame, limit: int = 20) -> DataFrame:
     return base.unionByName(named.join(F.broadcast(extra), F.lit(True)).select("query", "title", "url", "snippet", "sourceProvider", (F.col("last") + F.col("n")).alias("rank")))
 
 
-def _items(answers: DataFrame, provider: str, schema: str, items: str) -> DataFrame:
+def _items(answers: DataFrame, provider: str, schema: str, items: str, of: Column | None = None) -> DataFrame:
+    """(query, _i, x): each item of the provider's answers; of: what x is, if not the item itself."""
     mine = answers.where(F.col("provider") == provider).withColumn("_r", F.from_json("body", schema))
-    return mine.select("query", "_r", F.posexplode(f"_r.{items}").alias("_i", "x"))
+    rows = mine.select("query", "_r", F.posexplode(f"_r.{items}").alias("_i", "x"))
+    return rows.select("query", "_i", (F.col("x") if of is None else of).alias("x"))
 
 
-def _candidates(rows: DataFrame, title: Column, url: Column, snippet: Column, provider: Column, rank: Column) -> DataFrame:
-    return rows.select("query", title.alias("title"), url.alias("url"), null_if_empty(snippet).alias("snippet"), provider.alias("sourceProvider"), rank.cast("int").alias("rank"))
+def _candidates(rows: DataFrame, title: Column, url: Column, snippet: Column, provider: Column, rank: Column, place: Column | None = None) -> DataFrame:
+    """place: the order within one answer, where it isn't the rank."""
+    place = (rank if place is None else place).cast("int").alias("place")
+    return rows.select("query", title.alias("title"), url.alias("url"), null_if_empty(snippet).alias("snippet"), provider.alias("sourceProvider"), rank.cast("int").alias("rank"), place)
 
 
 def _first(rows: DataFrame, keep: Column, limit: int) -> DataFrame:
@@ -129,9 +133,9 @@ def serpapi(answers: DataFrame, limit: int = 20) -> DataFrame:
     mine = answers.where(F.col("provider") == "serpapi").withColumn("_r", F.from_json("body", f"organic_results {item}, shopping_results {item}"))
     tagged = lambda field, shop: F.transform(F.coalesce(f"_r.{field}", F.array().cast(item)), lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.lit(shop).alias("shop")))
     both = F.slice(F.filter(F.concat(tagged("shopping_results", True), tagged("organic_results", False)), lambda y: F.coalesce(y["x"]["link"], F.lit("")) != ""), 1, limit)
-    rows = mine.select("query", F.inline(both))
+    rows = mine.select("query", F.posexplode(both).alias("_n", "y")).select("query", "_n", "y.*")
     shop = F.concat_ws(" - ", null_if_empty(F.col("x.source")), null_if_empty(F.col("x.price")))
-    return _candidates(rows, F.coalesce("x.title", "x.link"), F.col("x.link"), F.when(F.col("shop"), shop).otherwise(F.col("x.snippet")), F.when(F.col("shop"), "serpapi:shopping").otherwise("serpapi"), F.coalesce("x.position", F.col("i") + 1))
+    return _candidates(rows, F.coalesce("x.title", "x.link"), F.col("x.link"), F.when(F.col("shop"), shop).otherwise(F.col("x.snippet")), F.when(F.col("shop"), "serpapi:shopping").otherwise("serpapi"), F.coalesce("x.position", F.col("i") + 1), F.col("_n") + 1)
 
 
 def _at_host(url: Column, new_host: str, keep_query: bool = True) -> Column:
@@ -163,19 +167,26 @@ def shimano_kiev(answers: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def rozetka_ids(answers: DataFrame, limit: int = 12) -> DataFrame:
-    """(query, goods_id, rank): the goods to ask the product API about."""
-    rows = _first(_items(answers, "rozetka-search", "data struct<goods:array<struct<id:bigint>>>", "data.goods"), F.col("x.id").isNotNull(), min(limit, 12))
-    return rows.select("query", F.col("x.id").alias("goods_id"), F.col("_n").alias("rank"))
+    """(query, goods_id, rank, said): the goods to ask the product API about, and what the answer calls itself."""
+    meta = "data struct<goods:array<struct<id:bigint>>,meta:struct<title:string>>"
+    rows = _first(_items(answers, "rozetka-search", meta, "data.goods", F.struct(F.col("x.id").alias("id"), F.col("_r.data.meta.title").alias("said"))), F.col("x.id").isNotNull(), min(limit, 12))
+    return rows.select("query", F.col("x.id").alias("goods_id"), F.col("_n").alias("rank"), F.col("x.said").alias("said"))
 
 
-def rozetka(ids: DataFrame, answers: DataFrame) -> DataFrame:
-    """Candidates from the product API's answers (goods_id, body); goods without an answer are left out, ranks stay."""
+def rozetka(ids: DataFrame, goods: DataFrame) -> DataFrame:
+    """Candidates from the product API's answers, goods (goods_id, body); ids without a good answer are left out, ranks stay.
+
+    An id that many queries ask for is answered once; of several answers for one id the first in order of their text counts.
+    """
     data = F.from_json("body", "data struct<id:bigint,title:string,price:double,href:string,sell_status:string,status:string>")["data"]
-    rows = ids.join(answers.select("goods_id", data.alias("x")), "goods_id").where("x.id is not null")
-    url = F.concat(F.lit("https://product-api.rozetka.com.ua/v4/goods/get-main?goodsId="), F.col("x.id").cast("string"), F.lit("&front-type=xl&country=UA&lang=ua"))
+    once = goods.where("goods_id is not null").groupBy("goods_id").agg(F.min("body").alias("body"))
+    rows = ids.join(once.select("goods_id", data.alias("x")), "goods_id").where("x.id is not null")
+    text = F.col("x.id").cast("string")
+    url = F.concat(F.lit("https://product-api.rozetka.com.ua/v4/goods/get-main?goodsId="), text, F.lit("&front-type=xl&country=UA&lang=ua"))
     price = F.when(F.col("x.price") != 0, F.concat(number_text(F.col("x.price")), F.lit(" UAH")))
-    snippet = null_if_empty(F.concat_ws(" | ", price, F.coalesce("x.sell_status", "x.status"), "x.href"))
-    return _candidates(rows, F.coalesce("x.title", F.concat(F.lit("Rozetka product "), F.col("x.id").cast("string"))), url, F.coalesce(snippet, F.concat(F.lit("Rozetka search API result for "), F.col("query"))), F.lit("rozetka-api"), F.col("rank"))
+    parts = F.concat_ws(" | ", price, null_if_empty(F.coalesce("x.sell_status", "x.status")), null_if_empty(F.col("x.href")))
+    snippet = F.coalesce(null_if_empty(parts), F.col("said"), F.concat(F.lit("Rozetka search API result for "), F.col("query")))
+    return _candidates(rows, F.coalesce("x.title", F.concat(F.lit("Rozetka product "), text)), url, snippet, F.lit("rozetka-api"), F.col("rank"))
 
 
 def unwrap_bing(url: Column) -> Column:
@@ -223,23 +234,49 @@ def result_pages(answers: DataFrame, limit: int = 20) -> DataFrame:
     most = F.when(quick, min(limit, 10)).otherwise(limit)
     kept = good.groupBy("provider", "query").agg(F.array_sort(F.collect_list(F.struct("_i", "title", "url", "snippet"))).alias("k")).select("provider", "query", F.inline(F.slice("k", F.lit(1), most)))
     said = F.when(F.col("provider") == "ek-quick-search", F.concat_ws(" | ", F.lit("E-Katalog quick search"), null_if_empty(F.col("snippet")))).otherwise(F.col("snippet"))
-    return kept.select("query", "title", "url", said.alias("snippet"), F.col("provider").alias("sourceProvider"), (F.col("_i") + 1).alias("rank"))
+    return kept.select("query", "title", "url", said.alias("snippet"), F.col("provider").alias("sourceProvider"), (F.col("_i") + 1).alias("rank"), (F.col("_i") + 1).alias("place"))
 
 
 #: Parsers by provider; each takes the table of answers.
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"exa": exa, "brave": brave, "tavily": tavily, "serpapi": serpapi, "flagman-api": flagman, "ibis-api": ibis, "shimano-kiev-api": shimano_kiev, "html": result_pages}
 
 
+#: Providers in the order in which a search asks them; two HTML engines stand in where none of the first four has a key.
+KEYED, UNKEYED = ("exa", "brave", "tavily", "serpapi"), ("duckduckgo-html", "bing-html")
+ALWAYS = ("rozetka-api", "ek-quick-search", "flagman-api", "ibis-api", "shimano-kiev-api", DIRECT)
+#: seq of a candidate: its variant, then its provider (below PROVIDER_SPAN), then its place in the answer (below PLACE_SPAN).
+PROVIDER_SPAN, PLACE_SPAN = 1 << 6, 1 << 20
+
+
 def configured_providers(keys: dict[str, str | None]) -> list[str]:
     """The providers of a search: those whose key is given, or two HTML engines if none is; the direct ones always."""
-    keyed = [p for p in ("exa", "brave", "tavily", "serpapi") if keys.get(p)]
-    return [*(keyed or ["duckduckgo-html", "bing-html"]), "rozetka-api", "ek-quick-search", "flagman-api", "ibis-api", "shimano-kiev-api", DIRECT]
+    return [*([p for p in KEYED if keys.get(p)] or UNKEYED), *ALWAYS]
+
+
+def candidate_seq(variant_place: Column, provider: Column, place: Column) -> Column:
+    """The order of candidates in which a search asks: by variant, provider, place in the answer. It doesn't depend on partitions."""
+    names = F.array(*[F.lit(p) for p in (*KEYED, *UNKEYED, *ALWAYS)])
+    # What follows a colon tells where within the provider a candidate is from.
+    number = F.array_position(names, F.substring_index(provider, ":", 1))
+    return (variant_place.cast("long") * PROVIDER_SPAN + number) * PLACE_SPAN + place
+
 
+def all_candidates(answers: DataFrame, goods: DataFrame | None = None, variants: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """Candidates of all providers, with seq: query, title, url, snippet, sourceProvider, rank, seq.
 
-def all_candidates(answers: DataFrame) -> DataFrame:
-    """Candidates of all parsers, with seq."""
+    answers: provider, query, body. goods: goods_id, body, what the second step of the two-step provider answered; without it that provider
+    has no candidates. variants: query, variant_place, each query once; with them the direct search pages of each variant are candidates as
+    well, and seq is unique within a search. Without them each query is a search of its own, and candidates are those of answers.
+    """
     tables = [parser(answers) for parser in PARSERS.values()]
+    if goods is not None:
+        tables.append(rozetka(rozetka_ids(answers, limit), goods))
+    if variants is not None:
+        tables.append(direct_candidates(variants, limit).withColumn("place", F.col("rank")))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.withColumn("seq", F.monotonically_increasing_id())
+    variant = F.lit(0)
+    if variants is not None:
+        out, variant = out.join(variants.select("query", "variant_place"), "query"), F.col("variant_place")
+    return out.select("query", "title", "url", "snippet", "sourceProvider", "rank", candidate_seq(variant, F.col("sourceProvider"), F.col("place")).alias("seq"))

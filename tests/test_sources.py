@@ -1,4 +1,5 @@
 from offerlake.plans.options import SearchSettings, deepened, discovery_limit, fetcher_order, normalize_settings, offer_filter, per_query_limit
+from offerlake.sources import providers
 from offerlake.sources.notify import notify
 from offerlake.sources.pages import PAGE, best_pages, plain_text
 
@@ -39,3 +40,26 @@ def test_notify(spark):
     got = notify(alerts, groups, searches, senders, enabled=True).orderBy("provider").collect()
     assert [tuple(r) for r in got] == [("s", "bad", False, "no way"), ("s", "good", True, None)]
     assert notify(alerts, groups, searches, senders, enabled=False).count() == 0
+
+
+def _answers(spark, partitions):
+    answers = [("rozetka-search", "v1", '{"data":{"goods":[{"id":3},{"id":null},{"id":1},{"id":2},{"id":3}],"meta":{"title":"said"}}}'), ("brave", "v1", '{"web":{"results":[{"title":"b","url":"http://b"}]}}')]
+    answers += [("rozetka-search", "v2", '{"data":{"goods":[{"id":4}]}}'), ("rozetka-search", "v3", "broken"), ("rozetka-search", None, None)]
+    answers += [("serpapi", "v2", '{"organic_results":[{"title":"o","link":"http://o","position":1}],"shopping_results":[{"title":"s","link":"http://s","position":1}]}')]
+    goods = [(1, '{"data":{"id":1,"price":12.5,"status":"active"}}'), (3, '{"data":{"id":3,"title":"three","href":""}}'), (2, '{"data":null}'), (4, '{"data":{"id":4,"sell_status":""}}'), (5, '{"data":{"id":5}}'), (None, "x"), (3, None)]
+    frames = spark.createDataFrame(answers, "provider string, query string, body string"), spark.createDataFrame(goods, "goods_id long, body string"), spark.createDataFrame([("v1", 0), ("v2", 1), ("v3", 2)], "query string, variant_place int")
+    return [f.repartition(partitions) for f in frames]
+
+
+def test_two_step_provider(spark):
+    """Failed second answers drop out, ranks stay those of the first answer, and order doesn't depend on partitions."""
+    rows = [[tuple(r) for r in providers.all_candidates(*_answers(spark, p)).orderBy("seq").collect()] for p in (1, 2, 8)]
+    assert rows[0] == rows[1] == rows[2]
+    assert len({r[-1] for r in rows[0]}) == len(rows[0])
+    steps = [(r[0], r[1], r[3], r[5]) for r in rows[0] if r[4] == "rozetka-api"]
+    assert steps == [("v1", "three", "said", 1), ("v1", "Rozetka product 1", "12.5 UAH | active", 2), ("v1", "three", "said", 4), ("v2", "Rozetka product 4", "Rozetka search API result for v2", 1)]
+    first = [(r[0], r[4]) for r in rows[0] if not r[4].startswith(providers.DIRECT)]
+    assert first == [("v1", "brave"), *[("v1", "rozetka-api")] * 3, ("v2", "serpapi:shopping"), ("v2", "serpapi"), ("v2", "rozetka-api")]
+    assert sum(r[4].startswith(providers.DIRECT) for r in rows[0]) == 3 * 19
+    answers, _, _ = _answers(spark, 1)
+    assert {r["sourceProvider"] for r in providers.all_candidates(answers).collect()} == {"brave", "serpapi", "serpapi:shopping"}
