@@ -219,17 +219,21 @@ def _read_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(5)], names=["page_url", "finalUrl", "i", "node", "link"])
 
 
-def json_ld_offers(pages: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
-    """Offers of the Product nodes in pages' JSON-LD, the first per_page of each page."""
+def json_ld_offers(pages: DataFrame, per_page: int = PER_PAGE, complete: bool = True) -> DataFrame:
+    """Offers of the Product nodes in pages' JSON-LD, the first per_page of each page; those without title and url only where complete is False."""
     nodes = pages.select("url", "finalUrl", "html").mapInArrow(_read_nodes, "page_url string, finalUrl string, i int, node string, link string")
     get = lambda *paths: F.coalesce(*[null_if_empty(F.trim(F.get_json_object("node", p))) for p in paths])
     offer = lambda key: get(f"$.offers.offers[0].{key}", f"$.offers[0].{key}", f"$.offers.{key}")
-    price = F.regexp_extract(F.regexp_replace(F.regexp_replace(offer("price"), r"[^\d.,]", ""), "^([^,]*),", "$1."), r"^\d+\.?\d*", 0).try_cast("double")
+    # A single product may have its price beside its offers.
+    own = lambda key: offer(key) if complete else F.coalesce(offer(key), get(f"$.{key}"))
+    price = F.regexp_extract(F.regexp_replace(F.regexp_replace(own("price"), r"[^\d.,]", ""), "^([^,]*),", "$1."), r"^\d+\.?\d*", 0).try_cast("double")
     made = nodes.select(
-        "page_url", "finalUrl", "i", get("$.name").alias("title"), F.col("link").alias("url"), F.when(price > 0, price).alias("price"), F.when(price > 0, offer("priceCurrency")).alias("currency"),
+        "page_url", "finalUrl", "i", get("$.name").alias("title"), F.col("link").alias("url"), F.when(price > 0, price).alias("price"), F.when(price > 0, own("priceCurrency")).alias("currency"),
         schema_availability(offer("availability")).alias("availability"), schema_availability(offer("itemCondition")).alias("condition"), F.coalesce(offer("seller.name"), get("$.brand.name")).alias("seller"),
         get("$.image[0]", "$.image").alias("imageUrl"), host(F.col("finalUrl")).alias("sourceSite"), F.array(F.lit("json-ld Product list")).alias("evidence"), F.lit(0.82).alias("confidence"),
-    ).where("title is not null and url is not null")
+    )
+    if complete:
+        made = made.where("title is not null and url is not null")
     # What comes together for a page are its own nodes.
     listed = made.groupBy("page_url").agg(F.slice(F.array_sort(F.collect_list(F.struct("i", *[c for c in made.columns if c not in ("page_url", "i", "finalUrl")]))), 1, per_page).alias("o"))
     return listed.select("page_url", F.inline("o"))
@@ -296,11 +300,71 @@ def _pick_shop(of) -> Column:
     return out
 
 
+#: The shop whose product pages have a reader of their own, and its fields: selector, attributes in order (none: the text).
+PRODUCT_SHOP = "shimano.kiev.ua"
+_PRODUCT_FIELDS = {
+    "heading": ("h1", ()),
+    "named": ('meta[property="og:title"]', ("content",)),
+    "price_text": ("[id^=price_update_] .ty-price", ()),
+    "stock_text": (".stock-wrap", ()),
+    "sku": (".ut2-pb__sku", ()),
+    "pictured": ('meta[property="og:image"]', ("content",)),
+    "shown": (".ut2-pb__img-wrapper img[src], .ut2-pb__img-wrapper img[data-src]", ("src", "data-src")),
+}
+
+
+def _read_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text or attribute of the first element of each field, null where there is none."""
+
+    def value(tree: Node, selector: str, attributes: tuple[str, ...]) -> str | None:
+        first = next(iter(tree.find(selector)), None)
+        if first is None:
+            return None
+        return next((first.attributes[a] for a in attributes if first.attributes.get(a)), None) if attributes else first.text()
+
+    for batch in batches:
+        urls, finals = batch.column("url"), batch.column("finalUrl").to_pylist()
+        rows = [{f: value(tree, *how) for f, how in _PRODUCT_FIELDS.items()} for tree in map(parse, batch.column("html").to_pylist())]
+        images = [urljoin(at, x.strip()) if (x := r["pictured"] or r["shown"]) else None for at, r in zip(finals, rows, strict=True)]
+        names = list(_PRODUCT_FIELDS)
+        yield pa.RecordBatch.from_arrays([urls, pa.array(finals, pa.string()), *[pa.array([r[n] for r in rows], pa.string()) for n in names], pa.array(images, pa.string())], names=["page_url", "finalUrl", *names, "image"])
+
+
+def _of_product_shop() -> Column:
+    return F.coalesce(host(F.col("finalUrl")).contains(PRODUCT_SHOP), F.lit(False))
+
+
+def shop_product_offers(pages: DataFrame) -> DataFrame:
+    """One offer for each product page of PRODUCT_SHOP that has a title; missing pages and other shops give none."""
+    kept = pages.where(_of_product_shop() & ~is_missing_page(F.col("status"), F.col("title"), F.col("text"))).select("url", "finalUrl", "html")
+    schema = "page_url string, finalUrl string, " + ", ".join(f"{n} string" for n in _PRODUCT_FIELDS) + ", image string"
+    # Digits with the first comma as the decimal sign.
+    digits = F.regexp_replace(F.regexp_replace("price_text", r"[^\d.,]", ""), "^([^,]*),", "$1.")
+    read = kept.mapInArrow(_read_products, schema).withColumn("price", null_if_empty(F.regexp_extract(digits, r"^(?:\d+\.?\d*|\.\d+)", 0)).cast("double"))
+    read = read.withColumn("title", clean_title(F.coalesce(null_if_empty(F.col("heading")), F.col("named")))).where("title is not null")
+    paid = F.coalesce(F.col("price") != 0, F.lit(False))
+    said = F.concat_ws(" product price: ", F.lit(PRODUCT_SHOP), "price_text")
+    return read.select(
+        "page_url", "title", F.col("finalUrl").alias("url"), "price", F.when(paid, "UAH").alias("currency"),
+        F.when(F.lower("stock_text").rlike("є в наявності|в наличии|in stock"), "in_stock").otherwise("listed").alias("availability"),
+        F.lit("new").alias("condition"), F.lit(PRODUCT_SHOP).alias("seller"), F.col("image").alias("imageUrl"), F.lit(PRODUCT_SHOP).alias("sourceSite"),
+        F.array_compact(F.array(F.when(F.col("price_text") != "", said).otherwise(f"{PRODUCT_SHOP} product page"), null_if_empty(F.col("sku")), null_if_empty(F.col("stock_text")))).alias("evidence"),
+        F.when(paid, 0.86).otherwise(0.72).alias("confidence"),
+    )
+
+
 def page_offers(pages: DataFrame) -> DataFrame:
-    """One offer for each page that is read as a single product: JSON-LD first, then what the text gives; confidence at least 0.25.
+    """One offer for each page that is read as a single product: by its shop's own reader, else from JSON-LD, then from what the text gives.
 
-    Missing pages give none. Fields that JSON-LD lacks are taken from the text.
+    Missing pages give none, and so do pages whose confidence is below 0.25. Fields that JSON-LD lacks are taken from the text.
     """
+    own = shop_product_offers(pages)
+    # Only pages of that shop are joined.
+    unread = pages.where(_of_product_shop()).join(own.select(F.col("page_url").alias("url")), "url", "left_anti").select(*pages.columns)
+    return own.unionByName(_general_page_offers(pages.where(~_of_product_shop()).unionByName(unread)))
+
+
+def _general_page_offers(pages: DataFrame) -> DataFrame:
     body = F.substring(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 1, 80_000)
     heading = F.coalesce(null_if_empty(F.regexp_extract("html", r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1)), null_if_empty(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))), F.col("title"), first_line(F.col("text")))
     # Columns of their own: each is used several times below, and its expression would be repeated as often.
@@ -314,10 +378,10 @@ def page_offers(pages: DataFrame) -> DataFrame:
     read = kept.select(
         F.col("url").alias("page_url"), "finalUrl", "title", clean_title(F.col("_heading")).alias("h_title"), price["amount"].alias("h_price"), price["currency"].alias("h_currency"), stock.alias("h_availability"), state.alias("h_condition"), evidence.alias("h_evidence"), F.when(search, 0.35).otherwise(hits / 6).alias("h_confidence"),
     )
-    best = json_ld_offers(pages, 1).drop("url", "i", "sourceSite")
+    best = json_ld_offers(pages, 1, complete=False).drop("url", "i", "sourceSite").withColumn("s_known", F.lit(True))
     names = ["price", "currency", "availability", "condition"]
-    joined = read.join(best.select("page_url", *[F.col(c).alias(f"s_{c}") for c in ("title", *names, "seller", "imageUrl")]), "page_url", "left")
-    known = F.col("s_title").isNotNull()
+    joined = read.join(best.select("page_url", *[F.col(c).alias(f"s_{c}") for c in ("title", *names, "seller", "imageUrl")], "s_known"), "page_url", "left")
+    known = F.coalesce("s_known", F.lit(False))
     return joined.select(
         "page_url", F.coalesce("s_title", "h_title", "title", host(F.col("finalUrl")), "finalUrl").alias("title"), F.col("finalUrl").alias("url"), *[F.coalesce(f"s_{c}", f"h_{c}").alias(c) for c in names], F.col("s_seller").alias("seller"),
         F.col("s_imageUrl").alias("imageUrl"), host(F.col("finalUrl")).alias("sourceSite"), F.slice(F.array_distinct(F.concat(F.when(known, F.array(F.lit("json-ld Product"))).otherwise(F.array().cast("array<string>")), "h_evidence")), 1, 8).alias("evidence"),

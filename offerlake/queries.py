@@ -14,7 +14,7 @@ from .plans.options import SearchSettings, fetcher_order
 from .plans.run import page_routes, route_pages, run_search
 from .plans.search import search_offers
 from .sources import history, providers
-from .sources.pages import best_pages
+from .sources.pages import best_pages, scraper_pages
 from .sources.tables import shared_folder
 from .streaming import saved, state
 from .streaming.watch import watch
@@ -457,12 +457,30 @@ def two_step_candidates(spark, sf_dir):
     return found.where(F.col("sourceProvider") == "rozetka-api").select("query", "title", "url", "snippet", F.col("rank").cast("long").alias("rank"), "seq")
 
 
+def scraped_product_pages(spark, sf_dir):
+    """A scraping service's answers for one shop's product pages, one a part, read as single products; some answers are empty or not found."""
+    key = F.col("p_partkey")
+    number, site = key.cast("string"), "https://shimano.kiev.ua/"
+    heading = F.when(key % 5 != 0, F.concat(F.lit("<h1> "), F.col("p_name"), F.lit("\n "), number, F.lit(" | shop</h1>"))).otherwise(F.concat(F.lit('<meta property="og:title" content="'), F.col("p_name"), F.lit(" og "), number, F.lit('">')))
+    price = F.when(key % 4 != 0, F.concat(F.lit('<span id="price_update_'), number, F.lit('"><b class="ty-price">1 '), F.floor("p_retailprice").cast("string"), F.lit(",50 ₴</b></span>"))).otherwise("")
+    stock = F.when(key % 2 == 0, "Є в наявності").otherwise("немає")
+    image = F.when(key % 3 == 0, F.concat(F.lit('<div class="ut2-pb__img-wrapper"><img data-src="/i/'), number, F.lit('.png"></div>'))).otherwise("")
+    html = F.concat(F.lit("<html><body>"), heading, price, F.lit('<div class="stock-wrap">'), stock, F.lit("</div>"), image, F.lit('<i class="ut2-pb__sku">SKU '), number, F.lit("</i></body></html>"))
+    status = F.when(key % 11 == 0, 404).otherwise(200).alias("statusCode")
+    place = lambda letter, n: F.when(key % 3 == n, F.concat(F.lit(f"{site}{letter}"), number))
+    told = F.struct(F.col("p_name").alias("title"), place("p", 0).alias("sourceURL"), place("u", 1).alias("url"), status).alias("metadata")
+    data = F.when(key % 7 != 0, F.struct(F.concat(F.lit("# "), F.col("p_name")).alias("markdown"), html.alias("html"), told))
+    answers = table(spark, sf_dir, "part").select(F.concat(F.lit(f"{site}a"), number).alias("url"), F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data"))).alias("body"))
+    read = extraction.page_offers(best_pages(scraper_pages(answers), fetcher_order("auto", True)))
+    return read.select("title", "url", "price", "currency", "availability", F.col("imageUrl").alias("image"), F.array_join("evidence", "; ").alias("evidence"), "confidence")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
-        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches, two_step_candidates,
+        model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches, two_step_candidates, scraped_product_pages,
     )
 }
 
@@ -554,6 +572,15 @@ SELECT query, CASE WHEN p_partkey % 5 <> 0 THEN p_name ELSE 'Rozetka product ' |
     CASE WHEN l_orderkey % 2 = 0 THEN 'found for ' || query ELSE 'Rozetka search API result for ' || query END) AS snippet,
   n AS rank, (l_orderkey * 64 + 7) * 1048576 + n AS seq
 FROM a""",
+    "scraped_product_pages": """
+SELECT p_name || CASE WHEN p_partkey % 5 <> 0 THEN ' ' ELSE ' og ' END || p_partkey AS title,
+  'https://shimano.kiev.ua/' || CASE p_partkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'u' ELSE 'a' END || p_partkey AS url,
+  CASE WHEN p_partkey % 4 <> 0 THEN ('1' || floor(p_retailprice)::BIGINT || '.5')::DOUBLE END AS price, CASE WHEN p_partkey % 4 <> 0 THEN 'UAH' END AS currency,
+  CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'listed' END AS availability, CASE WHEN p_partkey % 3 = 0 THEN 'https://shimano.kiev.ua/i/' || p_partkey || '.png' END AS image,
+  CASE WHEN p_partkey % 4 <> 0 THEN 'shimano.kiev.ua product price: 1 ' || floor(p_retailprice)::BIGINT || ',50 ₴' ELSE 'shimano.kiev.ua product page' END || '; SKU ' || p_partkey
+    || CASE WHEN p_partkey % 2 = 0 THEN '; Є в наявності' ELSE '; немає' END AS evidence,
+  CASE WHEN p_partkey % 4 <> 0 THEN 0.86 ELSE 0.72 END AS confidence
+FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0""",
     "query_variants": f"""WITH q AS (SELECT p_partkey, {TITLE} AS t FROM part), v AS (SELECT p_partkey, unnest(generate_series(0, 11))::INT AS place, [t, t || ' купити Україна', t || ' ціна Україна', t || ' в наявності', t || ' б/в OLX', t || ' site:olx.ua OR site:prom.ua OR site:rozetka.com.ua', t || ' site:hotline.ua OR site:ek.ua',
 t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || regexp_extract(t, 'IC-.*') || '" купити Україна', '"' || regexp_extract(t, 'IC-.*') || '" ціна', t || ' Japan used', t || ' JDM fishing tackle'] AS vs FROM q) SELECT p_partkey, place, vs[place + 1] AS variant FROM v""",
     "html_list_extract": f"""WITH p AS (SELECT *, {TITLE} AS title, row_number() OVER (PARTITION BY p_partkey // 15 ORDER BY p_partkey) AS i FROM part)

@@ -40,6 +40,14 @@ def plain_text(html: Column) -> Column:
     return F.substring(collapsed(decoded(body)), 1, TEXT_LIMIT)
 
 
+def scraper_pages(answers: DataFrame) -> DataFrame:
+    """Attempts (PAGE) from a scraping service's JSON answers (url, body): its markdown is the page's text. Answers without data give no row."""
+    told = "metadata struct<title:string, sourceURL:string, url:string, statusCode:int>"
+    rows = answers.select("url", F.from_json("body", f"data struct<markdown:string, html:string, {told}>")["data"].alias("d")).where("d is not null")
+    at = F.coalesce("d.metadata.sourceURL", "d.metadata.url", "url")
+    return rows.select("url", at.alias("finalUrl"), "d.metadata.title", "d.html", "d.markdown", F.col("d.markdown").alias("text"), F.col("d.metadata.statusCode").alias("status"), F.lit("scraper").alias("fetcher"))
+
+
 def best_pages(attempts: DataFrame, order: Sequence[str], human: bool = False, profile: bool = False) -> DataFrame:
     """For each url the page of the first fetcher, in order, that has content and isn't blocked; urls without one are left out."""
     place = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("fetcher"))

@@ -1,7 +1,8 @@
+from offerlake.operators.extraction import page_offers
 from offerlake.plans.options import SearchSettings, deepened, discovery_limit, fetcher_order, normalize_settings, offer_filter, per_query_limit
 from offerlake.sources import providers
 from offerlake.sources.notify import notify
-from offerlake.sources.pages import PAGE, best_pages, plain_text
+from offerlake.sources.pages import PAGE, best_pages, plain_text, scraper_pages
 
 
 def test_settings():
@@ -63,3 +64,39 @@ def test_two_step_provider(spark):
     assert sum(r[4].startswith(providers.DIRECT) for r in rows[0]) == 3 * 19
     answers, _, _ = _answers(spark, 1)
     assert {r["sourceProvider"] for r in providers.all_candidates(answers).collect()} == {"brave", "serpapi", "serpapi:shopping"}
+
+
+def test_scraper_answers(spark):
+    rows = [
+        ("http://a", '{"data":{"markdown":"# t","html":"<p>x","metadata":{"title":"t","url":"http://a/2","statusCode":200}}}'),
+        ("http://b", '{"data":{"html":"<p>y","metadata":{"sourceURL":"http://b/1","url":"http://b/2"}}}'),
+        ("http://c", '{"data":{}}'), ("http://d", '{"success":false}'), ("http://e", "broken"), ("http://f", None), (None, '{"data":{"markdown":"m"}}'),
+    ]
+    got = {r["url"]: tuple(r)[1:] for r in scraper_pages(spark.createDataFrame(rows, "url string, body string")).collect()}
+    assert got == {
+        "http://a": ("http://a/2", "t", "<p>x", "# t", "# t", 200, "scraper"),
+        "http://b": ("http://b/1", None, "<p>y", None, None, None, "scraper"),
+        "http://c": ("http://c", None, None, None, None, None, "scraper"),
+        None: (None, None, None, "m", "m", None, "scraper"),
+    }
+
+
+def test_product_pages_of_a_shop(spark):
+    """Pages of the shop without a title of theirs are read as any other page, and so are those of other shops."""
+    page = lambda url, html, text="": (url, url, None, html, None, text, 200, "http")
+    shop = "https://www.shimano.kiev.ua/"
+    rows = [
+        page(shop + "1", '<h1>Reel - shop</h1><meta property="og:image" content="/i.png"><p id="price_update_7"><b class="ty-price">0</b></p>'),
+        page(shop + "2", '<script type="application/ld+json">{"@type":"Product","name":"Structured","offers":{"price":"5","priceCurrency":"UAH"}}</script>'),
+        page("https://other.example/3", "<title>Other reel</title><h1>x</h1>", "Ціна 700 грн, в наявності"),
+        page("https://other.example/6", '<title>Named elsewhere</title><script type="application/ld+json">{"@type":"Product","price":"7,5","priceCurrency":"USD"}</script>'),
+        page(shop + "4", None), page(shop + "5", "<h1>Помилка 404</h1>", "Помилка 404"),
+    ]
+    got = {r["url"]: r for r in page_offers(spark.createDataFrame(rows, PAGE)).collect()}
+    assert set(got) == {shop + "1", shop + "2", "https://other.example/3", "https://other.example/6"}
+    assert [got["https://other.example/6"][c] for c in ("title", "price", "currency", "confidence")] == ["Named elsewhere", 7.5, "USD", 0.78]
+    first = got[shop + "1"]
+    assert (first["title"], first["price"], first["currency"], first["availability"], first["imageUrl"], first["confidence"]) == ("Reel", 0.0, None, "listed", shop + "i.png", 0.72)
+    assert first["evidence"] == ["shimano.kiev.ua product price: 0"]
+    assert got[shop + "2"]["title"] == "Structured"
+    assert got["https://other.example/3"]["title"] == "Other reel"
