@@ -579,7 +579,7 @@ SELECT p_name || CASE WHEN p_partkey % 5 <> 0 THEN ' ' ELSE ' og ' END || p_part
   CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'listed' END AS availability, CASE WHEN p_partkey % 3 = 0 THEN 'https://shimano.kiev.ua/i/' || p_partkey || '.png' END AS image,
   CASE WHEN p_partkey % 4 <> 0 THEN 'shimano.kiev.ua product price: 1 ' || floor(p_retailprice)::BIGINT || ',50 ₴' ELSE 'shimano.kiev.ua product page' END || '; SKU ' || p_partkey
     || CASE WHEN p_partkey % 2 = 0 THEN '; Є в наявності' ELSE '; немає' END AS evidence,
-  CASE WHEN p_partkey % 4 <> 0 THEN 0.86 ELSE 0.72 END AS confidence
+  (CASE WHEN p_partkey % 4 <> 0 THEN 0.86 ELSE 0.72 END)::DOUBLE AS confidence
 FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0""",
     "query_variants": f"""WITH q AS (SELECT p_partkey, {TITLE} AS t FROM part), v AS (SELECT p_partkey, unnest(generate_series(0, 11))::INT AS place, [t, t || ' купити Україна', t || ' ціна Україна', t || ' в наявності', t || ' б/в OLX', t || ' site:olx.ua OR site:prom.ua OR site:rozetka.com.ua', t || ' site:hotline.ua OR site:ek.ua',
 t || ' site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua', '"' || regexp_extract(t, 'IC-.*') || '" купити Україна', '"' || regexp_extract(t, 'IC-.*') || '" ціна', t || ' Japan used', t || ' JDM fishing tackle'] AS vs FROM q) SELECT p_partkey, place, vs[place + 1] AS variant FROM v""",
