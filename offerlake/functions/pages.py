@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WS, collapsed, group, let, null_if_empty
 from .urls import path, query_string
 
+#: How amounts and currencies are written in lists of goods.
 _THOUSANDS = r"\d{1,3}(?:[  ,]\d{3})+|\d+(?:[.,]\d+)?"
 _MONEY = r"грн|₴|UAH|JPY|¥|￥|USD|\$"
 LIST_AFTER, LIST_BEFORE = rf"(?iu)({_THOUSANDS})[{WS}]?({_MONEY})", rf"(?iu)({_MONEY})[{WS}]?({_THOUSANDS})"
 _PAGE_AMOUNT = rf"\d{{1,3}}(?:[,{WS}]\d{{3}})+|\d+(?:\.\d+)?"
-#: (pattern, group of the amount, group of the currency), the first that matches counting.
+#: Fixed values: (pattern, group of the amount, group of the currency), the first that matches counting.
 PAGE_PRICES = (
     (rf"(?iu)(¥|￥|JPY)[{WS}]?({_PAGE_AMOUNT})", 2, 1),
     (rf"(?iu)({_PAGE_AMOUNT})[{WS}]?(円|JPY|USD|EUR|UAH|грн|₴|\$|€)", 1, 2),
@@ -99,23 +103,26 @@ def first_line(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(F.split(text, "\n+"), lambda x: collapsed(x)), lambda x: F.char_length(x) > 8), F.lit(1))
 
 
+#: Marks of search pages in paths, query strings and titles, of missing pages, of refusals and of checks of who asks.
+SEARCH_PATHS, SEARCH_KEYS = ("/search", "/s/"), ("keyword=", "search=", "search_=", "search_term=", "?p=", "&p=", "q=")
+SEARCH_TITLES = ("search", "検索", "一覧")
+MISSING = ("помилка 404", "сторінка не знайдена", "not found")
+REFUSED, REFUSING = ("just a moment", "access denied", "captcha", "forbidden"), (403, 429)
+CHECKING = (r"challenges\.cloudflare\.com", "cf-chl", "checking your browser", "verify you are human")
+
+
 def is_search_page(url: Column, title: Column) -> Column:
     p, q, t = F.lower(path(url)), F.lower(F.concat(F.lit("?"), query_string(url))), F.lower(F.coalesce(title, F.lit("")))
-    marks = [p.contains("/search"), p.contains("/s/")]
-    marks += [q.contains(x) for x in ("keyword=", "search=", "search_=", "search_term=", "?p=", "&p=", "q=")]
-    marks += [t.contains(x) for x in ("search", "検索", "一覧")]
-    some = marks[0]
-    for m in marks[1:]:
-        some = some | m
-    return F.coalesce(some, F.lit(False))
+    marks = [where.contains(x) for where, found in ((p, SEARCH_PATHS), (q, SEARCH_KEYS), (t, SEARCH_TITLES)) for x in found]
+    return F.coalesce(reduce(or_, marks), F.lit(False))
 
 
 def is_missing_page(status: Column, title: Column, text: Column) -> Column:
     t = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
-    return F.coalesce(status == 404, F.lit(False)) | t.rlike("помилка 404|сторінка не знайдена|not found")
+    return F.coalesce(status == 404, F.lit(False)) | t.rlike("|".join(MISSING))
 
 
 def is_blocked_page(status: Column, title: Column, html: Column, text: Column) -> Column:
     body = F.lower(F.concat(F.coalesce(html, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
-    words = F.concat(F.lower(F.coalesce(title, F.lit(""))), body).rlike("just a moment|access denied|captcha|forbidden")
-    return (F.coalesce(status.isin(403, 429), F.lit(False)) & words) | body.rlike(r"challenges\.cloudflare\.com|cf-chl|checking your browser|verify you are human")
+    words = F.concat(F.lower(F.coalesce(title, F.lit(""))), body).rlike("|".join(REFUSED))
+    return (F.coalesce(status.isin(*REFUSING), F.lit(False)) & words) | body.rlike("|".join(CHECKING))

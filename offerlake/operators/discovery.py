@@ -29,6 +29,18 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+#: What direct sources are worth, by the end of their name; others are worth the last figure.
+SOURCE_POINTS = (
+    (78, ("olx", "rozetka", "prom", "zenmarket", "digitaka", "japantackle", "jdmtackleheaven", "ebay")),
+    (48, ("flagman", "ibis", "fish-fish", "shimano-kiev", "jdm-com-ua")),
+    (24, ("",)),
+)
+#: Phrases of a direct page's title and their points, each counted once.
+TITLE_POINTS = ((4, ("купити україна", "ціна україна")), (-5, ("japan used", "jdm fishing")))
+#: A phrase that belongs to one source, and what it costs others.
+USED_PHRASE, USED_SOURCE, USED_POINTS = "б/в olx", ":olx", -18
+
+
 def query_points(query: str, text: Column) -> Column:
     """12 points for each distinct query token that the text holds."""
     tokens = F.array_distinct(plain_tokens(F.lit(query), 1))
@@ -36,12 +48,10 @@ def query_points(query: str, text: Column) -> Column:
 
 
 def provider_points(provider: Column) -> Column:
-    return (
-        F.when(~provider.startswith(DIRECT), 0)
-        .when(provider.rlike("(olx|rozetka|prom|zenmarket|digitaka|japantackle|jdmtackleheaven|ebay)$"), 78)
-        .when(provider.rlike("(flagman|ibis|fish-fish|shimano-kiev|jdm-com-ua)$"), 48)
-        .otherwise(24)
-    )
+    points = F.when(~provider.startswith(DIRECT), 0)
+    for worth, names in SOURCE_POINTS:
+        points = points.when(F.coalesce(provider.rlike(f"({'|'.join(names)})$"), F.lit(False)) if any(names) else F.lit(True), worth)
+    return points
 
 
 def candidate_score(query: str, url: str = "url") -> Column:
@@ -53,12 +63,10 @@ def candidate_score(query: str, url: str = "url") -> Column:
 
 def direct_score(query: str) -> Column:
     title, provider = _text("title"), F.col("sourceProvider")
-    return (
-        candidate_score(query)
-        + F.when(title.contains("купити україна") | title.contains("ціна україна"), 4).otherwise(0)
-        - F.when(title.contains("japan used") | title.contains("jdm fishing"), 5).otherwise(0)
-        - F.when(~provider.endswith(":olx") & title.contains("б/в olx"), 18).otherwise(0)
-    )
+    score = candidate_score(query) + F.when(~provider.endswith(USED_SOURCE) & title.contains(USED_PHRASE), USED_POINTS).otherwise(0)
+    for points, phrases in TITLE_POINTS:
+        score = score + F.when(title.rlike("|".join(phrases)), points).otherwise(0)
+    return score
 
 
 def dedupe_candidates(candidates: DataFrame, query: str) -> DataFrame:

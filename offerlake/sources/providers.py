@@ -51,12 +51,17 @@ SCORPION_PAGES = (
     ("JDM Tackle Heaven collection: Shimano Scorpion DC", "https://jdmtackleheaven.com/collections/shimano-scorpion-dc", "Site-specific Shopify collection for Shimano Scorpion DC variants.", "jdmtackleheaven-collection"),
 )
 DIRECT = "ukrainian-market-search"
+#: What a shop's own search isn't asked: operators, words of commerce, shops' names, the market's words, words of Japanese.
+NOT_ASKED = (
+    r"(?i)\bOR\b", r"(?i)\bsite:\S+", r"(?i)\b(japan|japanese|jdm|used|for sale|price|buy)\b", r"(?i)\b(olx|rozetka|prom|hotline)\b",
+    r"(?iu)(^|\s)(купити|ціна|україна|наявності)(?=\s|$)", r"(?iu)(^|\s)б/в(?=\s|$)", "中古|釣竿|ロッド|ヤフオク|メルカリ|楽天",
+)
 
 
 def direct_query(c: Column) -> Column:
     """A query without operators, shop names and commerce words."""
     out = c
-    for pattern in (r"(?i)\bOR\b", r"(?i)\bsite:\S+", r"(?i)\b(japan|japanese|jdm|used|for sale|price|buy)\b", r"(?i)\b(olx|rozetka|prom|hotline)\b", r"(?iu)(^|\s)(купити|ціна|україна|наявності)(?=\s|$)", r"(?iu)(^|\s)б/в(?=\s|$)", "中古|釣竿|ロッド|ヤフオク|メルカリ|楽天"):
+    for pattern in NOT_ASKED:
         out = F.regexp_replace(out, pattern, " ")
     return collapsed(F.regexp_replace(out, "[\"']", ""))
 
