@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import models, pages, specs, text, urls
-from .operators import diff, discovery, extraction, grouping, match, model_catalog, ranking
+from .operators import diff, discovery, extraction, grouping, jobs, match, model_catalog, ranking
 from .plans import query_plan
 from .plans.options import SearchSettings, fetcher_order
 from .plans.run import page_routes, route_pages, run_search
@@ -475,12 +475,33 @@ def scraped_product_pages(spark, sf_dir):
     return read.select("title", "url", "price", "currency", "availability", F.col("imageUrl").alias("image"), F.array_join("evidence", "; ").alias("evidence"), "confidence")
 
 
+def _job_log(spark, sf_dir, daily=False):
+    """Events as the log of a queue for each user, or for each user and day: a job is what a user does in a quarter of a day."""
+    e, seconds = table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    state = F.element_at(F.create_map(*[F.lit(x) for x in ("view", jobs.QUEUED, "click", jobs.RUNNING, "purchase", jobs.COMPLETED, "error", jobs.FAILED, "signup", "noted")]), F.col("event_type"))
+    quarter = F.floor(seconds / 21_600_000_000).cast("string")
+    user, day = F.col("user_id").cast("string"), F.floor(seconds / 86_400_000_000).cast("string")
+    queue = F.concat(user, F.lit("-"), day) if daily else user
+    return e.select(F.concat(user, F.lit("-"), quarter).alias("job"), queue.alias("queue"), state.alias("state"), seconds.alias("at"), F.col("event_id").alias("seq"))
+
+
+def job_retention(spark, sf_dir):
+    """The jobs that each queue keeps, with their states; -1 for times that aren't known."""
+    return jobs.kept_jobs(jobs.job_states(_job_log(spark, sf_dir))).drop("created_seq").fillna(-1)
+
+
+def job_queue_next(spark, sf_dir):
+    """The next job of every idle queue."""
+    return jobs.next_jobs(jobs.job_states(_job_log(spark, sf_dir, daily=True)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flagship, tokenize_titles, tokenize_documents, brand_detect, model_code_extract, model_compatibility, spec_overlap_score, canonical_url, offer_identity_keys, candidate_url_dedupe, diversify_top3_per_source, candidate_score_topk, source_alias_filter, fetch_order_topk,
         relevance_grade, offer_dedupe_best, price_condition_filter, ranked_offers_topk, group_offers_summary, ai_left_join, snapshot_alerts, snapshot_first_run, history_flatten_csv, cheapest_group_per_record, history_last_n, page_predicates, price_extract_first_last,
         model_rank_score, query_variants, direct_catalog, html_list_extract, jsonld_extract, watch_foreachbatch, search_run_routes, page_readers, search_run_groups, saved_search_runs, watch_keyed_state, many_saved_searches, two_step_candidates, scraped_product_pages,
+        job_retention, job_queue_next,
     )
 }
 
@@ -512,7 +533,20 @@ UNION ALL SELECT n.run, n.search_id, 'new_offer', n.key, n.url, NULL, n.price FR
 WHERE EXISTS (SELECT 1 FROM g w WHERE w.search_id = n.search_id AND w.key = n.key AND w.run = n.before)
 AND NOT EXISTS (SELECT 1 FROM o x WHERE x.search_id = n.search_id AND x.key = n.key AND x.url = n.url AND x.run = n.before)"""
 _EVENT_OFFER = "'s' || (user_id % 4) AS search_id, event_type || (user_id % 7) AS key, 'u' || user_id AS url, min(value) AS price"
+_JOBS = """
+WITH l AS (SELECT user_id::VARCHAR AS queue, user_id || '-' || (epoch_us(ts) // 21600000000) AS job, event_type AS kind, epoch_us(ts) AS t, event_id AS seq FROM events WHERE event_type <> 'signup'),
+j AS (SELECT queue, job, arg_min(kind, row(t, seq)) FILTER (kind IN ('purchase', 'error')) AS ended, min(t) FILTER (kind = 'click') AS started_at, min(t) FILTER (kind IN ('purchase', 'error')) AS finished_at,
+  min(t) FILTER (kind = 'view') AS queued_at, min(row(t, seq)) FILTER (kind = 'view') AS queued, min(row(t, seq)) AS first FROM l GROUP BY 1, 2),
+s AS (SELECT queue, job, CASE ended WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE CASE WHEN started_at IS NULL THEN 'queued' ELSE 'running' END END AS state,
+  coalesce(queued, first)[1] AS created_at, coalesce(queued, first)[2] AS created_seq, started_at, finished_at, coalesce(finished_at, started_at, queued_at) AS updated_at FROM j)
+"""
+
 ORACLES = {
+    "job_retention": _JOBS + """, n AS (SELECT *, state IN ('completed', 'failed') AS done FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY queue, done ORDER BY created_at DESC, created_seq DESC, job DESC) AS place, count(*) FILTER (NOT done) OVER (PARTITION BY queue) AS open FROM n)
+SELECT queue, job, state, created_at, coalesce(started_at, -1) AS started_at, coalesce(finished_at, -1) AS finished_at, coalesce(updated_at, -1) AS updated_at FROM r WHERE NOT done OR place <= 50 - open""",
+    "job_queue_next": _JOBS.replace("user_id::VARCHAR AS queue", "user_id || '-' || (epoch_us(ts) // 86400000000) AS queue") + """, i AS (SELECT *, count(*) FILTER (state = 'running') OVER (PARTITION BY queue) AS busy, row_number() OVER (PARTITION BY queue, state ORDER BY created_at, created_seq, job) AS place FROM s)
+SELECT queue, job FROM i WHERE busy = 0 AND state = 'queued' AND place = 1""",
     "tokenize_titles": f"SELECT p_partkey, lower({TITLE}) AS tokens, len(string_split({TITLE}, ' '))::INT AS n_tokens FROM part",
     "tokenize_documents": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS w FROM documents)
 SELECT doc_id, len(list_filter(w, lambda x: length(x) > 1))::INT AS n_tokens, len(list_distinct(list_filter(w, lambda x: length(x) > 2)))::INT AS n_distinct FROM t""",

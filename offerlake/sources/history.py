@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import null_if_empty, number_text
+from .settings import read_version, write_version
 
 _SPECS = "struct<rodLengthM:double,lureMinG:double,lureMaxG:double,lineMinLb:double,lineMaxLb:double,weightG:double,bearings:string,gearRatio:string,reelSize:string,handedness:string,power:string>"
 GROUP = f"struct<key:string,label:string,minPrice:double,maxPrice:double,currency:string,offerCount:bigint,sources:array<string>,sellers:array<string>,sellerCount:int,specs:{_SPECS},bestOfferUrl:string>"
@@ -117,16 +118,13 @@ def update_searches(searches: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def write_searches(searches: DataFrame, path: str) -> None:
-    """Write all saved searches in place of what is there."""
-    searches.write.mode("overwrite").json(path)
+    """Write all saved searches in place of what is there, as one version: who reads meanwhile sees the former ones."""
+    write_version(searches, path)
 
 
 def read_searches(spark: SparkSession, path: str, schema: str = "id string, name string, query string, options map<string,string>, createdAt string, updatedAt string, seq bigint") -> DataFrame:
     """Saved searches as they were written; none where nothing is there."""
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return read_version(spark, path, schema)
 
 
 def find_search(searches: DataFrame, id_or_name: str) -> DataFrame:
