@@ -695,6 +695,25 @@ def test_variant_before_base(spark):
     assert sum((3 * g + 2, 3 * g + 1) in found for g in range(60)) >= 57
 
 
+@pytest.mark.parametrize("families", [60, 250])
+def test_families_of_one_template(spark, families):
+    """Pairs of variants, whose texts are all made from one template: more strangers share a signature than there are rounds at first."""
+    rng = random.Random(3)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    template = [next(fresh) for _ in range(150)]
+    rows = []
+    for g in range(families):
+        base = list(template)
+        for p in rng.sample(range(150), 14):
+            base[p] = next(fresh)
+        other = list(base)
+        for p in rng.sample(range(150), 2):
+            other[p] = next(fresh)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    found = {(r["doc_id"], r["of_doc_id"]) for r in compact_windows.passage_pairs(docs(spark, rows)).collect() if r["end"] - r["start"] >= 120}
+    assert sum((2 * g + 1, 2 * g) in found for g in range(families)) >= 0.95 * families
+
+
 def test_long_texts(spark):
     """Beyond 65 535 tokens and one block: a passage at the end of one long text that another begins with."""
     words = [f"w{i}" for i in range(90_000)]
