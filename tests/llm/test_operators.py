@@ -714,6 +714,44 @@ def test_families_of_one_template(spark, families):
     assert sum((2 * g + 1, 2 * g) in found for g in range(families)) >= 0.95 * families
 
 
+@pytest.mark.parametrize("tile", [4, 512])
+def test_a_pair_behind_many_strangers(spark, monkeypatch, tile):
+    """A signature whose first twelve places are strangers, each of the others and of the one pair behind them."""
+    monkeypatch.setattr(compact_windows, "TILE", tile, raising=False)
+    rng = random.Random(31)
+    rows = [(i, text_of(rng, 80)) for i in range(12)]
+    last = text_of(rng, 80)
+    rows += [(12, last), (13, last.rsplit(" ", 1)[0] + " other")]
+    d = docs(spark, rows)
+    # Both functions' spans are the whole text, and all texts meet in one key of each.
+    places = spark.createDataFrame([(4 * 7 + f, i, 20 + f, 0, 75) for i, _ in rows for f in (0, 1)], "key long, doc_id long, c int, l int, r int")
+    none = spark.createDataFrame([], "doc_id long, start int, end int, of_id long, of_start int, of_end int, similarity double")
+    found = compact_windows._rest(places, none, d, 5, 50, 80, 4)
+    assert {(r["doc_id"], r["of_id"]) for r in found.collect()} == {(13, 12)}
+
+
+def test_spans_that_may_be_alike():
+    """Spans that hold passages alike enough are never ruled out, strangers are, whether tokens repeat or not."""
+    rng = np.random.default_rng(32)
+    texts, fresh = [], iter(range(10**6))
+    for i in range(60):
+        base = [f"w{next(fresh)}" for _ in range(int(rng.integers(60, 400)))] if i % 3 else [f"r{j % int(rng.integers(2, 9))}" for j in range(70)]
+        other = list(base)
+        for at in rng.integers(0, len(base), len(base) // 60):
+            other[at] = f"w{next(fresh)}"
+        texts += [" ".join(base), " ".join(other)]
+    wanted = [[{"key": 1, "c": 0, "l": 0, "r": len(t.split()) - 5}] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "text": texts, "wanted": wanted}, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("wanted", pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])))]))
+    rows = pa.Table.from_batches(compact_windows._mark_spans([batch], 5, 46)).to_pydict()
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(120, -1)
+    x, y = np.triu_indices(120, 1)
+    may = compact_windows.likely_pairs(np.array(rows["n"]), np.array(rows["least"]), bits, x, y, 80)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    assert rows["n"] == [len(s) for s in sets]
+    alike = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(x, y, strict=True)])
+    assert alike.sum() > 20 and may[alike].all() and may.mean() < 0.5
+
+
 def test_long_texts(spark):
     """Beyond 65 535 tokens and one block: a passage at the end of one long text that another begins with."""
     words = [f"w{i}" for i in range(90_000)]
