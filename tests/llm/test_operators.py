@@ -752,6 +752,45 @@ def test_spans_that_may_be_alike():
     assert alike.sum() > 20 and may[alike].all() and may.mean() < 0.5
 
 
+def test_wide_spans_that_may_be_alike():
+    """Spans of hundreds of words, which the small map can't tell apart: the wide one rules strangers out, and none that are alike."""
+    rng = np.random.default_rng(33)
+    texts = []
+    for i in range(40):
+        base = [f"w{i}x{j}" for j in range(int(rng.integers(90, 500)))]
+        other = list(base)
+        for at in rng.integers(0, len(base), len(base) // 40):
+            other[at] = f"q{i}x{at}"
+        texts += [" ".join(base), " ".join(other)]
+    wanted = [[{"key": 1, "c": 0, "l": 0, "r": len(t.split()) - 5}] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(80)), "text": texts, "wanted": wanted}, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("wanted", pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])))]))
+    rows = pa.Table.from_batches(compact_windows._mark_spans([batch], 5, 46))
+    x, y = np.triu_indices(80, 1)
+    may = compact_windows.likely_wide_pairs(rows["n"].to_numpy(), rows["least"].to_numpy(), rows["slots"], x, y, 80)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(x, y, strict=True)])
+    assert alike.sum() > 10 and may[alike].all() and may.mean() < 0.02
+
+
+def test_words_that_repeat_on_end():
+    """Both sides repeat one word, or one phrase in another phase; their sets are equal, so they are passages, and a shorter one isn't."""
+    word, phrase = np.full(57, 7, np.uint64), np.tile(np.arange(30, dtype=np.uint64), 5)
+    assert [x[:2] + x[4:] for x in compact_windows.verify_region(word, np.full(563, 7, np.uint64), 5, 50, 80)] == [(0, 57, 1.0)]
+    assert [x[:2] + x[4:] for x in compact_windows.verify_region(phrase[:50], phrase[13:63], 5, 50, 80)] == [(0, 50, 1.0)]
+    assert compact_windows.verify_region(word, word[:45], 5, 50, 80) == []
+
+
+def test_fewest_distinct_in_windows():
+    rng = np.random.default_rng(34)
+    values, last = rng.integers(0, 9, 200).tolist(), {}
+    before = np.full(200, -1)
+    for i, x in enumerate(values):
+        before[i], last[x] = last.get(x, -1), i
+    for width in (1, 3, 10, 46):
+        got = compact_windows._distinct_in_windows(before, width)[: 200 - width + 1]
+        assert got.tolist() == [len(set(values[p : p + width])) for p in range(200 - width + 1)]
+
+
 def test_long_texts(spark):
     """Beyond 65 535 tokens and one block: a passage at the end of one long text that another begins with."""
     words = [f"w{i}" for i in range(90_000)]
