@@ -791,6 +791,26 @@ def test_fewest_distinct_in_windows():
         assert got.tolist() == [len(set(values[p : p + width])) for p in range(200 - width + 1)]
 
 
+def test_places_left_out_lie_in_kept_ones():
+    """Every span lies in a kept one of its function and value, whose centre is at most _SLACK tokens away."""
+    rng = random.Random(35)
+    texts = [" ".join(rng.choice("abc") for _ in range(150)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    (rows,) = list(compact_windows._windows([batch], 12, 2, 4))
+    kept = {}
+    for key, doc, c, left, right in zip(*(rows.column(n).to_pylist() for n in ("key", "doc_id", "c", "l", "r")), strict=True):
+        kept.setdefault((doc, key), []).append((c, left, right))
+    for doc, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        tokens, of = textblocks.shingles(*textblocks.word_hashes(data, np.array([0, len(data)])), 2)
+        for i in range(4):
+            values = textblocks.mix(tokens ^ textblocks.mix(np.array([i + 1], np.uint64)))
+            key = textblocks.mix(values + np.uint64(i)).view(np.int64)
+            key = key - key % 4 + i
+            for left, c, right in zip(*(x.tolist() for x in compact_windows.compact_windows(values, of, 11)), strict=True):
+                assert any(0 <= c - at < compact_windows._SLACK and a <= left and b >= right for at, a, b in kept[(doc, int(key[c]))])
+
+
 def test_long_texts(spark):
     """Beyond 65 535 tokens and one block: a passage at the end of one long text that another begins with."""
     words = [f"w{i}" for i in range(90_000)]
