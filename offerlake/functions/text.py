@@ -71,6 +71,5 @@ def group(c: Column, pattern: str, i: int) -> Column:
 
 def ordered_unique(values: Column, key=lambda v: v) -> Column:
     """Without nulls, empty values and what a key has occurred before for; order kept."""
-    kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+    once = lambda kept, keys: F.filter(kept, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return let(F.filter(values, lambda v: v.isNotNull() & (v != "")), lambda kept: let(F.transform(kept, key), lambda keys: once(kept, keys)))

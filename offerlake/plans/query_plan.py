@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import REEL_FAMILIES, REEL_VARIANTS
-from ..functions.text import B, collapsed, group, ordered_unique
+from ..functions.text import B, collapsed, group, let, ordered_unique
 
 #: Words of queries that Japanese shops may answer.
 JDM_TERMS = (
@@ -17,6 +17,7 @@ JDM_TERMS = (
 MARKET_TERMS = ("Україна", "купити", "ціна", "в наявності", "б/в", "вудилище", "спінінг", "котушка", "OLX", "Rozetka", "Prom", "Hotline")
 _JDM = rf"(?i){B}(?:{'|'.join(JDM_TERMS)}){B}"
 _FAMILY = "^(?:" + "|".join((*REEL_FAMILIES, "stella", "vanquish", "stradic", "twin", "power", "certate", "exist")) + ")$"
+_REEL_FAMILY = f"(?i){'|'.join(REEL_FAMILIES)}"
 _REEL = rf"(?i){B}(?:shimano\s+)?(?:\d{{2}}\s+)?(?:{'|'.join(REEL_FAMILIES)})\s+(?:(?:{'|'.join(REEL_VARIANTS)})\s+)?\d{{2,4}}(?:\s+(?:{'|'.join(REEL_VARIANTS)}))?(?:\s+[a-z]{{1,4}})?{B}"
 
 
@@ -27,13 +28,18 @@ def is_jdm(query: Column) -> Column:
 def quoted_model(query: Column) -> Column:
     """The reel's name, else all tokens with a digit, in quotes; null if there are none."""
     tokens = F.filter(F.split(query, " "), lambda t: t.rlike("[0-9]"))
-    inner = F.coalesce(F.trim(group(query, _REEL, 0)), F.nullif(F.array_join(tokens, " "), F.lit("")))
+    # A reel's name holds a family; the whole pattern is tried on such queries alone.
+    reel = F.when(query.rlike(_REEL_FAMILY), F.trim(group(query, _REEL, 0)))
+    inner = F.coalesce(reel, F.nullif(F.array_join(tokens, " "), F.lit("")))
     return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
 def fallback_queries(query: Column) -> Column:
     """Wider queries of the family that the query names."""
-    tokens = F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != "")
+    return let(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), _family_queries)
+
+
+def _family_queries(tokens: Column) -> Column:
     has = lambda t: F.array_contains(tokens, t)
     family = F.try_element_at(F.filter(tokens, lambda t: t.rlike(_FAMILY)), F.lit(1))
     base = F.when((family == "power") & has("twin"), "shimano twin power").otherwise(F.concat(F.lit("shimano "), family))
@@ -44,12 +50,16 @@ def fallback_queries(query: Column) -> Column:
 
 def query_variants(query: Column) -> Column:
     """Ordered variants of a query, no two alike but for case."""
-    q = collapsed(query)
+    none = F.array().cast("array<string>")
+    # What several variants share is found once for each query.
+    with_more = lambda q, jdm: let(quoted_model(q), lambda model: let(F.when(jdm, fallback_queries(q)).otherwise(none), lambda more: _variants(q, jdm, model, more)))
+    return let(collapsed(query), lambda q: let(is_jdm(q), lambda jdm: with_more(q, jdm)))
+
+
+def _variants(q: Column, jdm: Column, model: Column, more: Column) -> Column:
     with_end = lambda end: F.concat(q, F.lit(f" {end}"))
-    jdm = is_jdm(q)
-    more = F.when(jdm, fallback_queries(q)).otherwise(F.array().cast("array<string>"))
     fixed = [q] + [with_end(e) for e in ("купити Україна", "ціна Україна", "в наявності", "б/в OLX", "site:olx.ua OR site:prom.ua OR site:rozetka.com.ua", "site:hotline.ua OR site:ek.ua", "site:flagman.ua OR site:ibis-gear.com OR site:fish-fish.com.ua")]
-    quoted = [F.concat(quoted_model(q), F.lit(" купити Україна")), F.concat(quoted_model(q), F.lit(" ціна"))]
+    quoted = [F.concat(model, F.lit(" купити Україна")), F.concat(model, F.lit(" ціна"))]
     last = [F.when(jdm, with_end("Japan used")), F.when(jdm, with_end("JDM fishing tackle"))]
     every = F.concat(F.array(*fixed, *quoted), more, F.transform(more, lambda m: F.concat(m, F.lit(" OLX"))), F.transform(more, lambda m: F.concat(m, F.lit(" JDM fishing tackle"))), F.array(*last))
     return ordered_unique(every, F.lower)

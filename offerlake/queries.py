@@ -15,7 +15,7 @@ from .plans.run import page_routes, route_pages, run_search
 from .plans.search import search_offers
 from .sources import history, providers
 from .sources.pages import best_pages, scraper_pages
-from .sources.tables import shared_folder
+from .sources.tables import shared_folder, spread
 from .streaming import saved, state
 from .streaming.watch import watch
 
@@ -290,7 +290,7 @@ def model_rank_score(spark, sf_dir):
 
 
 def query_variants(spark, sf_dir):
-    q = titled_parts(spark, sf_dir).select("p_partkey", F.col("title").alias("query"))
+    q = spread(titled_parts(spark, sf_dir).select("p_partkey", F.col("title").alias("query")))
     v = query_plan.query_variants(F.col("query"))
     return q.select("p_partkey", F.posexplode(v).alias("place", "variant"))
 

@@ -24,3 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores: rows of a small file or a short shuffle lie in one partition, which costly expressions over them would keep to one core."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
