@@ -16,6 +16,7 @@ from ..functions.models import compatibility, first_family, model_codes, model_t
 from ..functions.specs import parse_specs, specs_score
 from ..functions.text import collapsed, let, tokenize
 from ..functions.urls import identity_key
+from ..sources.tables import spread
 
 #: Brands and how they are written, in order of precedence.
 BRANDS = {
@@ -87,7 +88,7 @@ def _features(title: Column) -> Column:
 
 def title_features(titles: DataFrame) -> DataFrame:
     """(title, features) for each distinct title of titles: a table for enrich_offers where many offers share their titles."""
-    return titles.select("title").distinct().withColumn("features", _features(F.col("title")))
+    return spread(titles.select("title").distinct()).withColumn("features", _features(F.col("title")))
 
 
 def _judged(df: DataFrame, query: str) -> DataFrame:
@@ -180,8 +181,13 @@ def passes_profile(q: Column, wanted: OfferFilter) -> Column:
     known = F.array_union("normalized.titleTokens", "normalized.modelTokens")
     required = F.filter(q["tokens"], lambda t: ~t.rlike(r"^\d{2}$"))
     covered = (F.size(required) >= 2) & F.forall(required, lambda t: F.array_contains(known, t))
-    price = F.coalesce("price", F.lit(0.0))
-    out = (F.col("normalized.modelMatch") != "conflict") & ~((F.size(q["codes"]) > 0) & (F.col("normalized.modelMatch") == "unknown") & ~covered & (F.col("relevanceScore") < 0.75))
+    alike = (F.col("normalized.modelMatch") != "conflict") & ~((F.size(q["codes"]) > 0) & (F.col("normalized.modelMatch") == "unknown") & ~covered & (F.col("relevanceScore") < 0.75))
+    return alike & passes_alone(wanted)
+
+
+def passes_alone(wanted: OfferFilter) -> Column:
+    """The part of passes that an offer's own columns decide, whatever the query."""
+    price, out = F.coalesce("price", F.lit(0.0)), F.lit(True)
     if wanted.min_price is not None:
         out = out & (price != 0) & (price >= wanted.min_price)
     if wanted.max_price is not None:
