@@ -48,21 +48,24 @@ def group_offers(offers: DataFrame) -> DataFrame:
     # Better offers sort lower.
     place = F.struct(-F.round("relevanceScore", 9), F.coalesce("price", F.lit(9007199254740991.0)), -F.col("confidence"), F.col("seq"))
     needed = F.struct("title", "url", "price", "currency", "specs", F.struct("normalized.brand", "normalized.modelCodes", "normalized.family").alias("normalized"), "relevanceScore", source_name(F.col("sourceSite")).alias("source"), seller_name(F.col("seller"), F.col("sourceSite")).alias("seller"))
-    once = keyed.withColumn("_place", place).groupBy("key", "_identity").agg(F.min_by(needed, "_place").alias("o"), F.min("_place").alias("_place"))
-    # One pass: each offer gives a row for the family as a whole and one for each value that the family lists.
-    value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"), F.lit(0).alias("i"))
-    single = F.array(value("family", F.lit("")), value("source", F.col("o.source")), value("seller", F.col("o.seller")), value("currency", F.nullif("o.currency", F.lit(""))))
-    codes = F.transform(F.coalesce("o.normalized.modelCodes", F.array().cast("array<string>")), lambda c, i: F.struct(F.lit("code").alias("kind"), c.alias("v"), i.alias("i")))
-    values = once.select("key", "_place", "o", F.inline(F.concat(single, codes))).where("v is not null")
-    whole = F.col("kind") == "family"
-    finite = F.when(whole & ~F.isnan("o.price"), F.col("o.price"))
-    firsts = values.groupBy("key", "kind", "v").agg(F.min(F.struct("_place", "i")).alias("p"), F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.min_by(F.when(whole, F.col("o")), "_place").alias("best"))
-    of = lambda kind: _in_order(F.when(F.col("kind") == kind, F.struct("p", "v")))
-    currency = F.min_by("v", F.when(F.col("kind") == "currency", F.struct(-F.col("n"), F.col("p"))))
-    joined = firsts.groupBy("key").agg(
-        F.max(F.when(whole, F.col("n"))).alias("offerCount"), F.min("lo").alias("minPrice"), F.max("hi").alias("maxPrice"), F.first("best", ignorenulls=True).alias("best"),
-        of("source").alias("sources"), of("seller").alias("sellers"), of("code").alias("modelCodes"), currency.alias("currency"),
+    # Most offers are alone with their identity, so that nothing would be gained by sorting them before the shuffle too.
+    once = keyed.withColumn("_place", place).select("key", "_identity", "_place", needed.alias("o")).repartition("key", "_identity").groupBy("key", "_identity").agg(F.min_by("o", "_place").alias("o"), F.min("_place").alias("_place"))
+    # One pass: each offer gives a row for the family, with what few values tell apart, and one for its seller. The offer itself goes with the first.
+    fields = {"whole": F.lit(True), "seller": F.lit(None).cast("string"), "source": F.col("o.source"), "currency": F.nullif("o.currency", F.lit("")), "codes": F.col("o.normalized.modelCodes"), "o": F.col("o")}
+    of_seller = {"whole": F.lit(False), "seller": F.col("o.seller")}
+    row = lambda given: F.struct(*[given.get(name, F.lit(None).cast(once.select(c).schema[0].dataType)).alias(name) for name, c in fields.items()])
+    rows = once.select("key", "_place", F.inline(F.array(row(fields), row(of_seller)))).where("whole or seller is not null")
+    finite = F.when(~F.isnan("o.price"), F.col("o.price"))
+    parts = rows.groupBy("key", "whole", "seller", "source", "currency", "codes").agg(F.min("_place").alias("p"), F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.min_by("o", "_place").alias("best"))
+    joined = parts.groupBy("key").agg(
+        F.sum(F.when(F.col("whole"), F.col("n"))).alias("offerCount"), F.min("lo").alias("minPrice"), F.max("hi").alias("maxPrice"), F.min_by("best", F.when(F.col("whole"), F.col("p"))).alias("best"),
+        F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("p", "n", "source", "currency", "codes")))).alias("parts"), _in_order(F.when(~F.col("whole"), F.struct("p", F.col("seller").alias("v")))).alias("sellers"),
     )
+    # Parts stand in the order of their first places, and so do their values.
+    listed = lambda name: F.array_distinct(F.array_compact(F.transform("parts", lambda x: x[name])))
+    times = lambda currency: F.aggregate(F.filter("parts", lambda x: x["currency"] == currency), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    currency = F.array_min(F.transform(listed("currency"), lambda c, i: F.struct((-times(c)).alias("n"), i.alias("i"), c.alias("v"))))["v"]
+    joined = joined.withColumns({"sources": listed("source"), "modelCodes": F.array_distinct(F.array_compact(F.flatten(listed("codes")))), "currency": currency})
     family = F.col("best.normalized.family")
     joined = joined.withColumn("modelKey", family).withColumn("brand", F.col("best.normalized.brand"))
     label = F.when(F.col("brand").isNotNull() & F.col("modelKey").isNotNull(), F.concat(F.initcap("brand"), F.lit(" "), F.upper("modelKey"))).otherwise(F.coalesce(F.upper("modelKey"), F.col("best.title")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grouping import group_offers
-from ..operators.ranking import OfferFilter, dedupe_offers, join_verdicts, rank_offers, verdict_input
+from ..operators.ranking import OfferFilter, dedupe_offers, join_verdicts, other_models, rank_offers, verdict_input
 from ..sources.tables import written
 
 
@@ -45,5 +45,6 @@ def with_verdicts(ranked: DataFrame, verdicts: DataFrame | Callable[[DataFrame],
 
 def search_offers(offers: DataFrame, query: str, wanted: OfferFilter = OfferFilter(), verdicts: DataFrame | Callable[[DataFrame], DataFrame] | None = None, plan: DataFrame | None = None, features: DataFrame | None = None) -> SearchRun:
     """De-duplicate, rank and filter offers, join verdicts on the best if there are any, and group what is left. features: see enrich_offers."""
-    ranked = with_verdicts(rank_offers(dedupe_offers(offers), query, wanted, features), verdicts)
+    once = dedupe_offers(offers, other_models(features, query) if features is not None else None)
+    ranked = with_verdicts(rank_offers(once, query, wanted, features), verdicts)
     return SearchRun(plan, ranked, group_offers(ranked))

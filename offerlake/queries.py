@@ -15,7 +15,7 @@ from .plans.run import page_routes, route_pages, run_search
 from .plans.search import search_offers
 from .sources import history, providers
 from .sources.pages import best_pages, scraper_pages
-from .sources.tables import shared_folder, spread
+from .sources.tables import shared_folder, spread, written
 from .streaming import saved, state
 from .streaming.watch import watch
 
@@ -163,7 +163,7 @@ def fetch_order_topk(spark, sf_dir):
 
 def _features(spark, sf_dir):
     """Offers share the titles of parts, so titles are read once each."""
-    return ranking.title_features(titled_parts(spark, sf_dir))
+    return written(ranking.title_features(titled_parts(spark, sf_dir)), "titles")
 
 
 def relevance_grade(spark, sf_dir):
@@ -181,7 +181,9 @@ def price_condition_filter(spark, sf_dir):
 
 
 def ranked_offers_topk(spark, sf_dir):
-    return ranking.rank_offers(ranking.dedupe_offers(offers(spark, sf_dir)), SEARCH, ranking.OfferFilter(limit=20), _features(spark, sf_dir)).select("seq", "title", "price", F.round("relevanceScore", 6).alias("relevance"), F.col("matchGrade").alias("grade"), F.col("matchReason").alias("reason"))
+    features = _features(spark, sf_dir)
+    once = ranking.dedupe_offers(offers(spark, sf_dir), ranking.other_models(features, SEARCH))
+    return ranking.rank_offers(once, SEARCH, ranking.OfferFilter(limit=20), features).select("seq", "title", "price", F.round("relevanceScore", 6).alias("relevance"), F.col("matchGrade").alias("grade"), F.col("matchReason").alias("reason"))
 
 
 def group_offers_summary(spark, sf_dir):

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of numbers that are broadcast: 8 bytes each.
+BROADCAST_IDS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores: rows of a small file or a short shuffle lie in one partition, which costly expressions over them would keep to one core."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def few_of(ids: DataFrame) -> DataFrame:
+    """ids, a written table of numbers, marked for broadcast if they are BROADCAST_IDS at most; more are joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
